@@ -476,7 +476,8 @@ def _(t: Tables):
 
 
 @query("N37_pairs_from_ratings", """
-with c as (select o.o_orderkey as id, o.o_orderpriority as instruction, l.l_linenumber as pos, l.l_returnflag || l.l_linenumber as response, cast(l.l_quantity as int) % 6 as rating
+with c as (select o.o_orderkey as id, o.o_orderpriority as instruction,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag, cast(l_quantity as int) % 6) as pos, l.l_returnflag || l.l_linenumber as response, cast(l.l_quantity as int) % 6 as rating
   from orders o join lineitem l on l.l_orderkey = o.o_orderkey),
 g as (select id, any_value(instruction) as instruction, count(*) as n, max(rating) as best, min(rating) as worst,
   arg_max(response, rating * 1000 - pos) as chosen, arg_min(response, rating * 1000 - pos) as rejected from c group by id)
