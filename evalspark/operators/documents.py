@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_udf
 from ..functions.text import col, strip, word_count
 
 # Bracket tags of writing prompts and split-off clitics.
@@ -87,13 +88,13 @@ def _pick(text: str | None) -> tuple[str | None, str | None]:
     return None, error
 
 
-@F.pandas_udf("struct<json:string,error:string>")
+@arrow_udf("struct<json:string,error:string>")
 def pick_json(text: pd.Series) -> pd.DataFrame:
     """First fenced JSON block, else the first balanced object, else the first balanced array."""
     return pd.DataFrame([_pick(t) for t in text], columns=["json", "error"], dtype=object)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def last_envelope(body: pd.Series) -> pd.Series:
     """The last JSON object with a stdout key; raw line breaks inside strings are accepted."""
 
@@ -247,7 +248,7 @@ def extract_docstrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 CASES = "array<struct<input:string,output:string,testtype:string>>"
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def unpack_payload(raw: pd.Series) -> pd.Series:
     """Plain JSON, or base64 of zlib of JSON. Pickled payloads are refused and give NULL."""
     import base64
