@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +26,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """documents for work that is heavy per row: a table of few files is spread over all cores."""
+        return spread(self.documents)
+
     @property
     def events(self) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")

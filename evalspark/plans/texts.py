@@ -228,7 +228,7 @@ SQL_TOK = "tok as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '
 
 @query("T1_tokenize", f"with {SQL_TOK} select lang, w as word, count(*) as n from tok group by 1, 2")
 def _(t: Tables):
-    return textstats.token_counts(t.documents, "text", "lang")
+    return textstats.token_counts(t.texts, "text", "lang")
 
 
 @query("J9_freq_outer", f"""with {SQL_TOK}, a as (select w, count(*) as n from tok where lang = 'en' group by 1), b as (select w, count(*) as n from tok where lang = 'fr' group by 1)
@@ -241,7 +241,7 @@ def _(t: Tables):
 @query("T2_token_l2", f"""with {SQL_TOK}, f as (select w, count(*) filter (where lang = 'en') as a, count(*) filter (where lang <> 'en') as b from tok group by w)
 select round(sqrt(sum(power(a / (select sum(a) from f) - b / (select sum(b) from f), 2))), 6) as token_l2 from f""")
 def _(t: Tables):
-    return textstats.token_l2(t.documents, "text", F.when(F.col("lang") == "en", "a").otherwise("b"))
+    return textstats.token_l2(t.texts, "text", F.when(F.col("lang") == "en", "a").otherwise("b"))
 
 
 SLOPPY = (" a tapestry of — light", " it was not cold, but warm", " she couldn't help - well - delve", " plain", " a myriad myriad; not dark, it's grey")
@@ -267,32 +267,36 @@ def phrase_table(t: Tables):
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "phrase")) - 1
-    return grams.withColumn("rank", rank).select("phrase", "rank", (F.col("rank") * 0.0005).alias("adjustment"))
+    return grams.withColumn("rank", rank).select("phrase", "rank", (F.col("rank") / 1733.0).alias("adjustment"))
 
 
 SQL_PIECES = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]'"
 SQL_SLOP = f"""bt as (select item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') as w from benchmark),
 bg as (select unnest(w) as phrase from bt union all select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) from bt),
 br as (select phrase, row_number() over (order by count(*) desc, phrase) - 1 as rank from bg group by phrase),
-ph as (select phrase, rank, 1.0 - rank * 0.0005::double as weight, regexp_extract_all(phrase, {SQL_PIECES}) as pieces from br),
-dp as (select doc_id, lang, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) as n, regexp_extract_all(lower(text), {SQL_PIECES}) as p from documents),
-lens as (select distinct len(pieces) as l from ph),
-gr as (select doc_id, l, unnest(list_transform(range(1, len(p) - l + 2), lambda i: array_to_string(p[i:i+l-1], ''))) as phrase from dp, lens),
-cnt as (select g.doc_id, g.phrase, count(*) as hits from gr g join ph on ph.phrase = g.phrase and len(ph.pieces) = g.l group by 1, 2)"""
+ph as (select phrase, rank, 1.0 - rank / 1733.0::double as weight, regexp_extract_all(phrase, {SQL_PIECES}) as pieces from br),
+dn as (select doc_id, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) as n, regexp_extract_all(lower(text), {SQL_PIECES}) as p from documents),
+pp as (select doc_id, unnest(p) as a, generate_subscripts(p, 1) as i from dn),
+tr as (select doc_id, i, a, lead(a, 1) over w as b, lead(a, 2) over w as c from pp window w as (partition by doc_id order by i)),
+gr as (select doc_id, i, a as phrase, false as border from tr union all select doc_id, i, a || ' ' || c, a = c from tr where b = ' '),
+hit as (select gr.* from gr join ph using (phrase)),
+runs as (select doc_id, phrase, border, case when border then i - 2 * row_number() over (partition by doc_id, phrase order by i) end as run from hit),
+part as (select doc_id, phrase, case when border then ceil(count(*) / 2) else count(*) end as hits from runs group by doc_id, phrase, border, run),
+cnt as (select doc_id, phrase, sum(hits) as hits from part group by 1, 2)"""
 
 
 @query("T4_slop_index", f"""with {SQL_SLOP}
 select d.doc_id, round(coalesce(sum(c.hits * ph.weight), 0) / any_value(d.n) * 1000, 6) as slop_index
-from dp d left join (cnt c join ph on ph.phrase = c.phrase and ph.rank < 600) on c.doc_id = d.doc_id group by d.doc_id""")
+from dn d left join (cnt c join ph on ph.phrase = c.phrase and ph.rank < 600) on c.doc_id = d.doc_id group by d.doc_id""")
 def _(t: Tables):
-    return textstats.slop_index(t.documents, "doc_id", "text", textstats.phrase_weights(phrase_table(t), 0, 600))
+    return textstats.slop_index(t.texts, "doc_id", "text", textstats.phrase_weights(phrase_table(t), 0, 600))
 
 
 @query("T5_slop_bands", f"""with {SQL_SLOP}, bands(band, lo, hi) as (values ('0-300',0,300),('300-700',300,700))
 select d.doc_id, b.band, round(coalesce(sum(c.hits * ph.weight), 0) / any_value(d.n) * 1000, 6) as slop_index
-from dp d cross join bands b left join (cnt c join ph on ph.phrase = c.phrase) on c.doc_id = d.doc_id and ph.rank >= b.lo and ph.rank < b.hi group by 1, 2""")
+from dn d cross join bands b left join (cnt c join ph on ph.phrase = c.phrase) on c.doc_id = d.doc_id and ph.rank >= b.lo and ph.rank < b.hi group by 1, 2""")
 def _(t: Tables):
-    return textstats.slop_bands(t.documents, "doc_id", "text", phrase_table(t), [(0, 300), (300, 700)])
+    return textstats.slop_bands(t.texts, "doc_id", "text", phrase_table(t), [(0, 300), (300, 700)])
 
 
 SQL_GRAMS = """w as (select doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9'']+') as w from documents),
@@ -303,7 +307,7 @@ g as (select doc_id, lang, list_sort(list_distinct(list_transform(range(1, len(w
 p as (select a.doc_id as x, b.doc_id as y, count(*) as sh, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
 select round((select sum(sh / (na + nb - sh)) from p) / ((select count(*) from documents) * ((select count(*) from documents) - 1) / 2), 6) as self_bleu""")
 def _(t: Tables):
-    return textstats.self_bleu(t.documents, "doc_id", "text")
+    return textstats.self_bleu(t.texts, "doc_id", "text")
 
 
 @query("J11_shared_ngram_pairs", f"""with {SQL_GRAMS}, k as (select min(doc_id) as doc_id, count(*) as c, s from g where len(s) > 0 group by s),
@@ -311,7 +315,7 @@ e as (select doc_id, c, len(s) as n, unnest(s) as gram from k)
 select a.doc_id as a, b.doc_id as b, count(*) as shared, any_value(a.n) + any_value(b.n) - count(*) as union_size, any_value(a.c) as copies_a, any_value(b.c) as copies_b
 from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2""")
 def _(t: Tables):
-    return textstats.shared_ngram_pairs(t.documents, "doc_id", "text")
+    return textstats.shared_ngram_pairs(t.texts, "doc_id", "text")
 
 
 @query("T7_mmd2", """
@@ -333,7 +337,7 @@ g as (select doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array
 c as (select doc_id, gram, count(*) as n from g group by 1, 2), m as (select doc_id, max(n) as worst from c group by 1)
 select d.doc_id, coalesce(worst, 0)::bigint as worst, coalesce(worst, 0) >= 10 as degenerate from documents d left join m using (doc_id)""")
 def _(t: Tables):
-    rows = t.documents.select("doc_id", textstats.worst_ngram("text").cast("long").alias("worst"))
+    rows = t.texts.select("doc_id", textstats.worst_ngram("text").cast("long").alias("worst"))
     return rows.withColumn("degenerate", F.col("worst") >= 10)
 
 
@@ -345,13 +349,13 @@ select d.doc_id, top, coalesce(top > 4, false) as looped from documents d left j
 
 @query("T9_ngram_loop", loop_sql("len(w) - 6"))
 def _(t: Tables):
-    rows = t.documents.select("doc_id", textstats.ngram_loop("text").cast("long").alias("top"))
+    rows = t.texts.select("doc_id", textstats.ngram_loop("text").cast("long").alias("top"))
     return rows.withColumn("looped", F.coalesce(F.col("top") > 4, F.lit(False)))
 
 
 @query("T9_ngram_loop_legacy", loop_sql("len(w) - 7"))
 def _(t: Tables):
-    rows = t.documents.select("doc_id", textstats.ngram_loop("text", legacy=True).cast("long").alias("top"))
+    rows = t.texts.select("doc_id", textstats.ngram_loop("text", legacy=True).cast("long").alias("top"))
     return rows.withColumn("looped", F.coalesce(F.col("top") > 4, F.lit(False)))
 
 
@@ -361,13 +365,13 @@ b as (select doc_id, i, ch, i - row_number() over (partition by doc_id, ch order
 r as (select doc_id, ch, grp, count(*) as n from b group by 1, 2, 3)
 select doc_id, max(n) as run, max(n) > 12 as spam from r group by doc_id""")
 def _(t: Tables):
-    rows = t.documents.select("doc_id", textstats.char_run("text").cast("long").alias("run"))
+    rows = t.texts.select("doc_id", textstats.char_run("text").cast("long").alias("run"))
     return rows.withColumn("spam", F.col("run") > 12)
 
 
 @query("T11_compression_ratio")
 def _(t: Tables):
-    rows = t.documents.select("doc_id", F.round(textstats.compression_ratio("text"), 3).alias("ratio"))
+    rows = t.texts.select("doc_id", F.round(textstats.compression_ratio("text"), 3).alias("ratio"))
     return rows.withColumn("repetitive", F.col("ratio") < 0.18)
 
 
@@ -382,7 +386,7 @@ def _(t: Tables):
 
 @query("T13_degenerate_flags")
 def _(t: Tables):
-    rows = textstats.degenerate_flags(t.documents.select("doc_id", "text"), "text")
+    rows = textstats.degenerate_flags(t.texts.select("doc_id", "text"), "text")
     return rows.select("doc_id", F.array_join("flags", ";").alias("flags"))
 
 

@@ -52,3 +52,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a file scan only when it has fewer splits than the cluster has cores.
+
+    Large tables have many splits and pass through unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
