@@ -1,6 +1,6 @@
 """Every plan module, imported once so that its queries are registered."""
 
-from . import evaluations, label_tables, texts, trajectories  # noqa: F401
+from . import evaluations, grading, label_tables, texts, trajectories  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "R4_rrf"
