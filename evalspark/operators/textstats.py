@@ -302,7 +302,7 @@ def mmd2(x: DataFrame, y: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     sides = x.select(id_col, vec_col, F.lit(0).alias("_s")).unionByName(y.select(id_col, vec_col, F.lit(1).alias("_s")))
     packed = tiles.pack_vectors(sides.filter("_s = 0"), id_col, vec_col).withColumn("side", F.lit(0)).unionByName(
         tiles.pack_vectors(sides.filter("_s = 1"), id_col, vec_col).withColumn("side", F.lit(1)))
-    packed = packed.withColumn("tile", F.col("tile") * 2 + F.col("side")).drop("exclude")
+    packed = packed.withColumn("tile", F.col("tile") * 2 + F.col("side"))
     pairs = tiles.self_pairs(packed)
     sizes = {r["_s"]: r["n"] for r in sides.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     m, n = sizes.get(0, 0), sizes.get(1, 0)

@@ -19,25 +19,19 @@ from ..session import durable, shuffle_width
 ROWS = 1024
 
 
-def pack_vectors(df: DataFrame, id_col: str, vec_col: str, exclude_col: str | None = None, rows: int = ROWS) -> DataFrame:
-    """tile, ids, n, data (row-major float64 bytes) and per-row excluded ids."""
+def pack_vectors(df: DataFrame, id_col: str, vec_col: str, rows: int = ROWS) -> DataFrame:
+    """Tiles of ids, n and data (row-major float64 bytes)."""
     id_type = dict(df.dtypes)[id_col]
-    chosen = df.select(
-        F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-        (F.col(exclude_col) if exclude_col else F.array().cast(f"array<{id_type}>")).alias("exclude"),
-    )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), rows):
                 part = pdf.iloc[start : start + rows]
                 data = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                yield pd.DataFrame({
-                    "ids": [part["id"].to_numpy()], "n": [len(part)], "data": [data.tobytes()],
-                    "exclude": [[list(x) for x in part["exclude"]]],
-                })
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "n": [len(part)], "data": [data.tobytes()]})
 
-    schema = f"ids array<{id_type}>, n int, data binary, exclude array<array<{id_type}>>"
+    chosen = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    schema = f"ids array<{id_type}>, n int, data binary"
     return chosen.mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
 
 
@@ -132,3 +126,21 @@ def shared_counts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in np.flatnonzero(hi > lo):
         shared[owner_l[i], owner_r[order[lo[i] : hi[i]]]] += 1
     return shared, size_l, size_r
+
+
+def pack_queries(queries: DataFrame, exclude_col: str, rows: int = 256) -> DataFrame:
+    """Query tiles: query_id as id, vector, excluded item ids."""
+    query_type, item_type = dict(queries.dtypes)["query_id"], dict(queries.dtypes)[exclude_col]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start : start + rows]
+                data = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({
+                    "ids": [part["query_id"].to_numpy()], "n": [len(part)], "data": [data.tobytes()],
+                    "exclude": [[list(x) for x in part["exclude"]]]})
+
+    chosen = queries.select("query_id", "vector", F.col(exclude_col).alias("exclude"))
+    schema = f"ids array<{query_type}>, n int, data binary, exclude array<{item_type}>"
+    return chosen.mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())

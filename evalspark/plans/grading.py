@@ -26,7 +26,7 @@ def _(t: Tables):
     return graded(outputs(t), "contains", graders.grade_contains("text", F.concat("lang", F.lit("t")))).select("doc_id", "score", "passed")
 
 
-@query("G2_grade_regex", """select doc_id, regexp_matches(text, '(?i)\\b' || lang || '[a-z]{2,4}\\b')::int::double as score from documents""")
+@query("G2_grade_regex", r"""select doc_id, regexp_matches(text, '(?i)(^|\s)' || lang || '[a-z]{2,4}(\s|$)')::int::double as score from documents""")
 def _(t: Tables):
     pattern = F.concat(F.lit(r"(^|\s)"), "lang", F.lit(r"[a-z]{2,4}(\s|$)"))
     return graded(outputs(t), "regex", graders.grade_regex("text", pattern, case_sensitive=False)).select("doc_id", "score")
