@@ -32,8 +32,8 @@ def write_versioned(df: DataFrame, registry: DataFrame, out: str, version: str,
 
 
 def append_results(df: DataFrame, out: str, ts: str = "timestamp") -> None:
-    """Append rows below profile=<p>/month=<yyyy-MM>."""
-    rows = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
+    """Append rows below profile=<p>/month=<yyyy-MM>; a large shard is split over several tasks."""
+    rows = df.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "profile", "month")
     rows.write.mode("append").partitionBy("profile", "month").parquet(out)
 
 
