@@ -16,6 +16,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """body(value) with the value computed once per row, however often the body uses it."""
+    return F.transform(F.array(col(value)), body)[0]
+
+
 def strip(c) -> Column:
     """Unicode-aware trim of every kind of white space, not only blanks."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")

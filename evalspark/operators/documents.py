@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_udf
-from ..functions.text import col, strip, word_count
+from ..functions.text import col, let, strip, word_count
 
 # Bracket tags of writing prompts and split-off clitics.
 PROMPT_TAGS = "WP|EU|CW|TT|IP|RF|PI|PM|MP|OT|SP|CC"
@@ -115,41 +115,52 @@ def last_envelope(body: pd.Series) -> pd.Series:
 
 def open_json(text) -> Column:
     """VARIANT of a possibly fenced or padded JSON text: fence, whole text, then the outermost span."""
-    t = strip(F.coalesce(col(text), F.lit("")))
-    fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    inner = F.when(fence != "", fence).otherwise(t)
-    return F.coalesce(F.try_parse_json(inner), F.try_parse_json(F.regexp_extract(inner, r"(?s)[\[{].*[\]}]", 0)))
+    def opened(t: Column) -> Column:
+        fence = F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
+        return let(F.coalesce(fence, t), lambda x: F.coalesce(
+            F.try_parse_json(x), F.try_parse_json(F.regexp_extract(x, r"(?s)[\[{].*[\]}]", 0))))
+
+    return let(strip(F.coalesce(col(text), F.lit(""))), opened)
 
 
 def json_path(value: Column, path: str) -> Column:
     """VARIANT at a dotted or bracketed path; negative list indices count from the end."""
     for token in re.findall(r"[^.\[\]]+", path or ""):
         token = token.strip().strip("'\"")
-        key = F.try_variant_get(value, "$['" + token.replace("'", "\\'") + "']", "variant")
         if re.fullmatch(r"-?\d+", token):
             at = int(token)
-            listed = F.try_variant_get(value, "$", "array<variant>")
-            value = F.coalesce(F.try_element_at(listed, F.lit(at + 1 if at >= 0 else at)), key)
+            value = let(value, _at_index(at))
         else:
-            value = key
+            value = F.try_variant_get(value, "$['" + token.replace("'", "\\'") + "']", "variant")
     return value
 
 
+def _at_index(at: int):
+    """Item of a list, or the key of that name in an object."""
+    def found(v: Column) -> Column:
+        listed = F.try_variant_get(v, "$", "array<variant>")
+        return F.coalesce(F.try_element_at(listed, F.lit(at + 1 if at >= 0 else at)), F.try_variant_get(v, f"$['{at}']", "variant"))
+
+    return found
+
+
 def json_path_get(df: DataFrame, text: str, path: str, default: str = "") -> DataFrame:
     """Columns value_text, value_int, value_float, ok for one path over a JSON text column."""
-    opened = df.withColumn("_v", open_json(text)).withColumn("_at", json_path(F.col("_v"), path))
-    kind = F.schema_of_variant("_at")
-    ok = F.col("_at").isNotNull()
-    as_text = F.when(kind == "STRING", F.try_variant_get("_at", "$", "string")).otherwise(F.to_json("_at"))
-    shown = opened.withColumn("ok", ok).withColumn("value_text", F.when(ok, as_text).otherwise(F.lit(default)))
-    number = F.when(kind == "BOOLEAN", F.try_variant_get("_at", "$", "boolean").cast("double")).when(
-        kind.isNull() | (kind == "STRING"), _first_number("value_text")
-    ).otherwise(F.coalesce(F.try_variant_get("_at", "$", "double"), F.lit(0.0)))
+
+    def described(at: Column) -> Column:
+        kind, ok = F.schema_of_variant(at), at.isNotNull()
+        as_text = F.when(kind == "STRING", F.try_variant_get(at, "$", "string")).otherwise(F.to_json(at))
+        shown = F.when(ok, as_text).otherwise(F.lit(default))
+        number = F.when(kind == "BOOLEAN", F.try_variant_get(at, "$", "boolean").cast("double")).when(
+            kind.isNull() | (kind == "STRING"), _first_number(shown)).otherwise(F.coalesce(F.try_variant_get(at, "$", "double"), F.lit(0.0)))
+        return F.struct(ok.alias("ok"), shown.alias("text"), number.alias("number"))
+
+    found = let(json_path(open_json(text), path), described)
+    out = df.withColumn("_f", found)
+    number = F.col("_f.number")
     return (
-        shown.withColumn("value_float", number)
-        .withColumn("value_int", F.when(F.col("ok"), F.rint("value_float")).otherwise(F.col("value_float")).cast("long"))
-        .drop("_v", "_at")
-    )
+        out.withColumn("ok", F.col("_f.ok")).withColumn("value_text", F.col("_f.text")).withColumn("value_float", number)
+        .withColumn("value_int", F.when(F.col("_f.ok"), F.rint(number)).otherwise(number).cast("long")).drop("_f"))
 
 
 def _first_number(text) -> Column:
@@ -158,15 +169,16 @@ def _first_number(text) -> Column:
 
 def json_path_count(text, path: str) -> Column:
     """Items of the list, keys of the object or characters of the string at the path; otherwise 0."""
-    at = json_path(open_json(text), path)
-    raw = F.to_json(at)
-    kind = F.schema_of_variant(at)
-    return F.coalesce(
-        F.when(kind == "STRING", F.length(F.try_variant_get(at, "$", "string")))
-        .when(F.startswith(kind, F.lit("ARRAY")), F.json_array_length(raw))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.array_size(F.json_object_keys(raw))),
-        F.lit(0),
-    )
+    def counted(at: Column) -> Column:
+        kind = F.schema_of_variant(at)
+        return F.coalesce(
+            F.when(kind == "STRING", F.length(F.try_variant_get(at, "$", "string")))
+            .when(F.startswith(kind, F.lit("ARRAY")), F.json_array_length(F.to_json(at)))
+            .when(F.startswith(kind, F.lit("OBJECT")), F.array_size(F.json_object_keys(F.to_json(at)))),
+            F.lit(0),
+        )
+
+    return let(json_path(open_json(text), path), counted)
 
 
 # --- code, reasoning, sections -----------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, rstrip, strip
+from ..functions.text import col, let, rstrip, strip
 from . import textstats
 from .documents import pick_json
 from .ranking import top_k
@@ -61,8 +61,7 @@ def grade_number(output, target, tolerance=0.0) -> Column:
 
 
 def _fragments(output, items, case_sensitive) -> Column:
-    text = _fold(col(output), case_sensitive)
-    return F.filter(items, lambda x: F.contains(text, _fold(x, case_sensitive)))
+    return let(_fold(col(output), case_sensitive), lambda text: F.filter(items, lambda x: F.contains(text, _fold(x, case_sensitive))))
 
 
 def grade_all_of(output, items, case_sensitive: bool = True) -> Column:
@@ -111,10 +110,13 @@ def args_match(actual: Column, expected: Column) -> Column:
 def arg_share(actual_args: Column, expected_args: Column) -> Column:
     """Share of expected argument keys whose value matches; 1 when none are expected. Both JSON text."""
     keys = F.coalesce(F.json_object_keys(expected_args), F.array().cast("array<string>"))
-    a, e = F.try_parse_json(actual_args), F.try_parse_json(expected_args)
     at = lambda v, k: F.try_variant_get(v, F.concat(F.lit("$['"), F.replace(k, F.lit("'"), F.lit("\\'")), F.lit("']")), "variant")
-    hits = F.size(F.filter(keys, lambda k: args_match(at(a, k), at(e, k))))
-    return F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(hits / F.size(keys))
+
+    def share(both: Column) -> Column:
+        same = F.filter(both["k"], lambda k: let(F.struct(at(both["a"], k).alias("a"), at(both["e"], k).alias("e")), lambda v: args_match(v["a"], v["e"])))
+        return F.when(F.size(both["k"]) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(both["k"]))
+
+    return let(F.struct(keys.alias("k"), F.try_parse_json(actual_args).alias("a"), F.try_parse_json(expected_args).alias("e")), share)
 
 
 def grade_function_calls(expected: str, actual: str, allowed: str) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, words
+from ..session import shuffle_width
 from . import tiles
-from .ranking import top_k
+from .ranking import broadcast_if_small, top_k
 from .tables import pattern_hits
 
 RRF_K = 60
@@ -47,8 +48,11 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.lower("query")))).alias("term"))
     toks = chunks.select("chunk_id", words(F.lower("content")).alias("_w")).select(
         "chunk_id", F.size("_w").alias("n_words"), F.explode(F.array_distinct("_w")).alias("term"))
-    asked = toks.join(terms.select("term").distinct(), "term", "left_semi")
+    terms = broadcast_if_small(terms)
+    asked = toks.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
     matched = asked.groupBy("chunk_id", "n_words").agg(F.collect_list("term").alias("_m"))
+    # a fixed width: the short lists grow a lot below, adaptive merging would see only their small size
+    matched = matched.repartition(shuffle_width(chunks.sparkSession), "chunk_id")
     pairs = matched.select("chunk_id", "n_words", F.explode("_m").alias("term")).join(terms, "term")
     scored = pairs.groupBy("chunk_id", "n_words", "query_id").agg(F.count(F.lit(1)).alias("_hits"))
     scored = scored.select("query_id", "chunk_id", (F.col("_hits") / (F.col("n_words") + 50)).alias("score"))

@@ -84,13 +84,13 @@ def _(t: Tables):
 
 
 @query("S7_harvest_files", """
-with f as (select lang, doc_id // 10 as grp, sum(octet_length(encode(text)) + 1) as bytes from documents where lang <> 'de' group by 1, 2)
+with f as (select lang, doc_id // 40 as grp, sum(octet_length(encode(text)) + 1) as bytes from documents where lang <> 'de' group by 1, 2)
 select lang as folder, count(*) as n, sum(bytes)::bigint as bytes from f where bytes between 200 and 50000 group by 1""")
 def _(t: Tables):
-    """Ten neighbouring documents share a file per language; the de folder is on the skip list."""
+    """Forty neighbouring documents share a file per language; the de folder is on the skip list."""
     path = work_dir(t.spark, "tree")
     folder = F.when(F.col("lang") == "de", "node_modules").otherwise(F.col("lang"))
-    rows = t.documents.select(folder.alias("lang"), F.concat(F.lit("g"), (F.col("doc_id") / 10).cast("long").cast("string"), F.lit(".md")).alias("name"), F.col("text").alias("value"))
+    rows = t.documents.select(folder.alias("lang"), F.concat(F.lit("g"), (F.col("doc_id") / 40).cast("long").cast("string"), F.lit(".md")).alias("name"), F.col("text").alias("value"))
     rows.repartition("lang", "name").write.partitionBy("lang", "name").text(path)
     found = readers.harvest_files(t.spark, path, suffixes=("txt",), skip=("lang=node_modules",))
     lang = F.regexp_extract("path", r"lang=([a-z]+)", 1)

@@ -10,7 +10,7 @@ from .registry import Tables, query
 
 
 def outputs(t: Tables):
-    return t.documents.select("doc_id", "text", "lang", "source")
+    return t.texts.select("doc_id", "text", "lang", "source")
 
 
 @query("G1_grade_exact", """
@@ -79,7 +79,7 @@ def calls(t: Tables):
     """Ten events make a case: even ids are the expected calls, odd ids the calls made."""
     e = F.col("event_id")
     args = F.when(e % 4 < 2, F.col("props")).otherwise(F.concat(F.lit('{"k": "'), (F.get_json_object("props", "$.k").cast("int") % 3).cast("string"), F.lit('", "p": "X"}')))
-    return t.events.select((e / 10).cast("long").alias("case_id"), e.alias("call_id"), F.col("event_type").alias("name"), args.alias("arguments"))
+    return t.event_rows.select((e / 10).cast("long").alias("case_id"), e.alias("call_id"), F.col("event_type").alias("name"), args.alias("arguments"))
 
 
 SQL_CALLS = """c as (select event_id // 10 as case_id, event_id as call_id, event_type as name, cast(regexp_extract(props, '[0-9]+', 0) as int) as k, event_id % 4 < 2 as plain from events),
@@ -205,7 +205,7 @@ def _(t: Tables):
     other = (
         F.when(m == 0, F.replace("text", F.lit("\n"), F.lit(" \t\r\n"))).when(m == 1, F.concat("text", F.lit("  \n\n \n"))).when(m == 2, F.col("text"))
         .otherwise(F.concat(F.lit(" "), "text")))
-    rows = t.documents.filter(F.length(F.trim("text")) > 0)
+    rows = t.texts.filter(F.length(F.trim("text")) > 0)
     return rows.select("doc_id", graders.compare_stdout(other, "text").alias("same"))
 
 

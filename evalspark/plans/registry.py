@@ -31,6 +31,11 @@ class Tables:
         """documents for work that is heavy per row: a table of few files is spread over all cores."""
         return spread(self.documents)
 
+    @property
+    def event_rows(self) -> DataFrame:
+        """events, spread like texts: for JSON work on every row."""
+        return spread(self.events)
+
     @property
     def events(self) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")

@@ -158,7 +158,7 @@ with p(pattern, rx) as (values ('the', '(?i)\\sthe\\s'), ('email', '[a-z]+@[a-z]
 select pattern, source, count(*) as n from documents, p where regexp_matches(text, rx) group by 1, 2""")
 def _(t: Tables):
     rx = {"the": r"(?i)\sthe\s", "email": "[a-z]+@[a-z]+", "digits": "[0-9]{3,}", "que": "que[a-z]+"}
-    return tables.pattern_hits(t.documents, "text", rx).groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("n"))
+    return tables.pattern_hits(t.texts, "text", rx).groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("R10_fetch_documents", """
@@ -222,7 +222,7 @@ with w as (select d.doc_id, list_distinct(list_filter(string_split_regex(lower(b
 select doc_id, round(len(list_intersect(want, got)) / greatest(len(want), 1), 3) as overlap from w""")
 def _(t: Tables):
     size = t.benchmark.agg(F.count(F.lit(1)).alias("_n"))
-    docs = with_scalars(t.documents.select("doc_id", "text"), size).withColumn("item_id", F.col("doc_id") % F.col("_n"))
+    docs = with_scalars(t.texts.select("doc_id", "text"), size).withColumn("item_id", F.col("doc_id") % F.col("_n"))
     pairs = docs.join(t.benchmark.select("item_id", F.col("text").alias("expected")), "item_id")
     return pairs.select("doc_id", retrieval.keyword_overlap("expected", "text").alias("overlap"))
 

@@ -28,7 +28,7 @@ def sql_text(value: str) -> str:
 
 
 def solutions(t: Tables):
-    return t.documents.select("doc_id", F.concat("text", F.lit("\n"), pick(SNIPPETS, F.col("doc_id"))).alias("text"))
+    return t.texts.select("doc_id", F.concat("text", F.lit("\n"), pick(SNIPPETS, F.col("doc_id"))).alias("text"))
 
 
 SQL_SOLUTIONS = f"s as (select doc_id, text || chr(10) || {sql_pick(SNIPPETS, 'doc_id')} as text from documents)"
@@ -48,17 +48,17 @@ MARKS = ("<|im_end|>", "<|channel|>", " <think>", "x<think>", "<|im_mid|>", "fin
 
 @query("F18_flag_tool_leak", f"select doc_id, regexp_matches({sql_pick(LEAKS, 'doc_id')} || text, '(?i)' || {sql_text('|'.join(lists.TOOL_LEAK_PATTERNS))}) as leaked from documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", curate.tool_leak(F.concat(pick(LEAKS, F.col("doc_id")), "text")).alias("leaked"))
+    return t.texts.select("doc_id", curate.tool_leak(F.concat(pick(LEAKS, F.col("doc_id")), "text")).alias("leaked"))
 
 
 @query("F19_flag_refusal", f"select doc_id, regexp_matches(text || ' ' || {sql_pick(REFUSALS, 'doc_id')}, '(?i)' || {sql_text(lists.REFUSAL_PATTERN)}) as refused from documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", curate.refusal(F.concat_ws(" ", "text", pick(REFUSALS, F.col("doc_id")))).alias("refused"))
+    return t.texts.select("doc_id", curate.refusal(F.concat_ws(" ", "text", pick(REFUSALS, F.col("doc_id")))).alias("refused"))
 
 
 @query("F20_flag_template_leak", f"select doc_id, regexp_matches(text || {sql_pick(MARKS, 'doc_id')}, {sql_text(lists.TEMPLATE_LEAK_PATTERN)}) as leaked from documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", curate.template_leak(F.concat("text", pick(MARKS, F.col("doc_id")))).alias("leaked"))
+    return t.texts.select("doc_id", curate.template_leak(F.concat("text", pick(MARKS, F.col("doc_id")))).alias("leaked"))
 
 
 def secret_text():
@@ -97,7 +97,7 @@ k as (select doc_id, trim(regexp_replace(replace(replace(regexp_replace(p, '(?i)
 select doc_id, trim(regexp_replace(regexp_replace(replace(replace(p, '``', '"'), '''''', '"'), '\\s+([,.!?;:’''])', '\\1', 'g'), '[ \\t]+', ' ', 'g')) as prompt, sha256(s) as story_hash
 from k where length(p) > 15 and len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) between 150 and 700""")
 def _(t: Tables):
-    rows = t.documents.select(
+    rows = t.texts.select(
         "doc_id", F.concat(F.lit("[ wp ] The "), "source", F.lit("  of "), "lang", F.lit(" , it 's ``so' ' .")).alias("prompt"),
         F.concat(F.lit("[WP]"), F.replace("text", F.lit("\n"), F.lit(" <newline> ")), F.lit(" it 's  ")).alias("story"))
     return documents.clean_prompt_text(rows, "prompt", "story").select("doc_id", "prompt", F.sha2("story", 256).alias("story_hash"))
@@ -112,7 +112,7 @@ def json_outputs(t: Tables):
         .when(e % 5 == 3, F.concat(F.lit('{"shots": ['), p, F.lit(', "3 days"], "ok": true}')))
         .otherwise(F.lit("nothing here"))
     )
-    return t.events.select("event_id", text.alias("text"))
+    return t.event_rows.select("event_id", text.alias("text"))
 
 
 @query("N31_pick_json", """
@@ -147,7 +147,7 @@ def _(t: Tables):
     draft = F.concat(F.lit("Draft:\n```python\ndef solve(x): pass\n```\nFinal:\n```py\ndef solve(y):\n return "), F.col("doc_id").cast("string"),
                      F.lit("\n```\n```\n"), "lang", F.repeat("source", 9), F.lit("\n```"))
     out = F.when(i == 0, draft).when(i == 1, F.concat(F.lit("```\n"), "source", F.lit("\n```\n```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
-    return t.documents.select("doc_id", documents.pick_code(out, "solve").alias("code"))
+    return t.texts.select("doc_id", documents.pick_code(out, "solve").alias("code"))
 
 
 @query("N33_strip_reasoning", """
@@ -160,7 +160,7 @@ def _(t: Tables):
         .when(i == 2, F.concat(F.lit(f"<Think>never closed <{tag}>{documents.RESPONSE_MARKER}"), "text"))
         .otherwise(F.concat(F.lit("tail <think>"), "text"))
     )
-    return t.documents.select("doc_id", documents.strip_reasoning(raw).alias("body"))
+    return t.texts.select("doc_id", documents.strip_reasoning(raw).alias("body"))
 
 
 @query("N33_last_envelope")
@@ -253,7 +253,7 @@ c as (select lang, (length(tx) - length(replace(tx, '—', ''))) + len(regexp_ex
   len(regexp_extract_all(lo, '[a-z0-9'']+')) as w from s)
 select lang, sum(em)::bigint as em_dash, sum(nx)::bigint as not_x_y, sum(ph)::bigint as phrases, round((sum(em) + sum(nx) + sum(ph)) * 1000.0::double / sum(w), 2) as total_per_1k from c group by lang""")
 def _(t: Tables):
-    rows = t.documents.select("lang", F.concat("text", pick(SLOPPY, F.col("doc_id"))).alias("text"))
+    rows = t.texts.select("lang", F.concat("text", pick(SLOPPY, F.col("doc_id"))).alias("text"))
     return textstats.slop_rate(rows, "text", "lang")
 
 

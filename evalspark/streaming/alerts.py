@@ -17,7 +17,7 @@ from ..session import work_dir
 DELAY = "10 minutes"
 
 
-def event_stream(spark: SparkSession, path: str, batch_bytes: str = "256m") -> DataFrame:
+def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
     """A Parquet table as a file stream with a watermark on ts.
 
     Micro-batches are bounded in bytes, so the rows of one key that a stateful task holds are too;
