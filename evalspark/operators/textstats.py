@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.arrow import arrow_udf
-from ..functions.text import col, ngrams, occurrences, rstrip, strip, tokens, words
+from ..functions.text import col, let, ngrams, occurrences, rstrip, strip, tokens, words
 from ..session import durable
 from . import tiles
 from .curate import template_leak
@@ -133,7 +133,11 @@ def max_repeat(grams: Column) -> Column:
         run = F.when(acc["g"] == g, acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(g.alias("g"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(grams), start, step, lambda acc: acc["best"])
+    def counted(g: Column) -> Column:
+        runs = F.aggregate(F.array_sort(g), start, step, lambda acc: acc["best"])
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.least(F.size(g), F.lit(1))).otherwise(runs)
+
+    return let(grams, counted)
 
 
 def worst_ngram(text, n: int = 4) -> Column:
@@ -200,9 +204,12 @@ def line_set(text) -> Column:
 
 
 def line_jaccard(a, b) -> Column:
-    left, right = line_set(a), line_set(b)
-    union = F.size(F.array_union(left, right))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
+    def share(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["a"], s["b"]))
+        union = F.size(s["a"]) + F.size(s["b"]) - both
+        return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+
+    return let(F.struct(line_set(a).alias("a"), line_set(b).alias("b")), share)
 
 
 @arrow_udf("double")

@@ -119,12 +119,14 @@ def shared_counts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size_l, size_r = np.frombuffer(row.l_sizes, np.int64), np.frombuffer(row.r_sizes, np.int64)
     gram_l, gram_r = np.frombuffer(row.l_grams, np.int64), np.frombuffer(row.r_grams, np.int64)
     owner_l, owner_r = np.repeat(np.arange(len(size_l)), size_l), np.repeat(np.arange(len(size_r)), size_r)
-    shared = np.zeros((len(size_l), len(size_r)), dtype=np.int64)
     order = np.argsort(gram_r, kind="stable")
     sorted_r = gram_r[order]
     lo, hi = np.searchsorted(sorted_r, gram_l, "left"), np.searchsorted(sorted_r, gram_l, "right")
-    for i in np.flatnonzero(hi > lo):
-        shared[owner_l[i], owner_r[order[lo[i] : hi[i]]]] += 1
+    count = hi - lo
+    # positions lo..hi-1 of every left gram, laid out one after the other
+    at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+    cell = np.repeat(owner_l, count) * len(size_r) + owner_r[order[at]]
+    shared = np.bincount(cell, minlength=len(size_l) * len(size_r)).reshape(len(size_l), len(size_r))
     return shared, size_l, size_r
 
 

@@ -166,7 +166,7 @@ def _(t: Tables):
 @query("N33_last_envelope")
 def _(t: Tables):
     body = F.concat(F.lit('before {"stdout": "old"} then '), F.to_json(F.struct(F.lit(0).alias("exit_code"), F.col("text").alias("stdout"))), F.lit(" end {x}"))
-    last = t.documents.select("doc_id", F.get_json_object(documents.last_envelope(body), "$.stdout").alias("stdout"), "text")
+    last = t.texts.select("doc_id", F.get_json_object(documents.last_envelope(body), "$.stdout").alias("stdout"), "text")
     return last.select("doc_id", (F.col("stdout") == F.col("text")).alias("same"))
 
 
@@ -180,7 +180,7 @@ select doc_id, ordinal, case when has then doc_id || '::' || heading || '::' ||
 def _(t: Tables):
     md = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(
         F.replace("text", F.lit("\n"), F.concat(F.lit("\n## Part "), "lang", F.lit(" \n"))))
-    out = documents.split_sections(t.documents.select("doc_id", md.alias("text")))
+    out = documents.split_sections(t.texts.select("doc_id", md.alias("text")))
     return out.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "section_id", F.sha2("content", 256).alias("content"))
 
 
@@ -195,7 +195,7 @@ def _(t: Tables):
         F.when(i == 0, F.concat(F.lit('"""'), "lang", F.lit('"""\ndef f'), F.col("doc_id").cast("string"), F.lit('(x):\n    """'), "text", F.lit('"""\n')))
         .when(i == 1, F.concat(F.repeat(F.lit("# note\n"), 4), "text")).otherwise(F.col("text"))
     )
-    out = documents.extract_docstrings(t.documents.select("doc_id", code.alias("text")))
+    out = documents.extract_docstrings(t.texts.select("doc_id", code.alias("text")))
     return out.select("doc_id", "entry_id", F.sha2("content", 256).alias("content"))
 
 
@@ -397,7 +397,7 @@ def text_versions(t: Tables):
         F.when(i == 0, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
         .when(i == 1, F.concat("text", F.lit("\n"), "text")).when(i == 2, F.concat("text", F.lit("\n  extra  \n"))).otherwise(F.lit(""))
     )
-    return t.documents.select("doc_id", F.col("text").alias("real"), other.alias("sim"))
+    return t.texts.select("doc_id", F.col("text").alias("real"), other.alias("sim"))
 
 
 SQL_VERSIONS = """v as (select doc_id, text as real, case doc_id % 4 when 0 then array_to_string(string_split(text, chr(10))[2:], chr(10)) when 1 then text || chr(10) || text
