@@ -69,7 +69,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     d = 1.0 + z * z / n
     center = (p + z * z / (2.0 * n)) / d
     half = z * F.sqrt(p * (1.0 - p) / n + z * z / (4.0 * n * n)) / d
-    empty = n == 0
+    empty = F.coalesce(n == 0, F.lit(True))
     return (F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), center - half)),
             F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), center + half)))
 
