@@ -81,11 +81,6 @@ def values_at_ranks(
     return out.drop("_all")
 
 
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A broadcast hint only after counting that the side has at most ``most`` rows; else Spark decides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table to every row through a scalar subquery."""
     packed = one_row.select(F.struct(*one_row.columns)).scalar()

@@ -6,13 +6,13 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, words
-from ..session import shuffle_width
 from . import tiles
-from .ranking import broadcast_if_small, top_k
+from .ranking import top_k
 from .tables import pattern_hits
 
 RRF_K = 60
@@ -41,22 +41,26 @@ def chunk_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Distinct query terms present / (words + 50), positive scores only, ties by chunk id.
 
-    Words that no query asks for are dropped before the first shuffle, which carries one short term
-    list per chunk. Counting (query, chunk) pairs then needs no further shuffle, and only k rows per
-    query and task leave for the final ranking.
+    Chunks stay where they are: each task scores its chunk tiles against query tiles (64-bit term
+    hashes, counted with one matrix product) and passes on k rows per query. (query, chunk) pairs are
+    never rows, however common a term is.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.lower("query")))).alias("term"))
-    toks = chunks.select("chunk_id", words(F.lower("content")).alias("_w")).select(
-        "chunk_id", F.size("_w").alias("n_words"), F.explode(F.array_distinct("_w")).alias("term"))
-    terms = broadcast_if_small(terms)
-    asked = toks.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-    matched = asked.groupBy("chunk_id", "n_words").agg(F.collect_list("term").alias("_m"))
-    # a fixed width: the short lists grow a lot below, adaptive merging would see only their small size
-    matched = matched.repartition(shuffle_width(chunks.sparkSession), "chunk_id")
-    pairs = matched.select("chunk_id", "n_words", F.explode("_m").alias("term")).join(terms, "term")
-    scored = pairs.groupBy("chunk_id", "n_words", "query_id").agg(F.count(F.lit(1)).alias("_hits"))
-    scored = scored.select("query_id", "chunk_id", (F.col("_hits") / (F.col("n_words") + 50)).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    def hashed(text: str):
+        return F.array_distinct(F.transform(words(F.lower(F.col(text))), lambda w: F.xxhash64(w)))
+
+    asked = queries.select("query_id", F.lit(0).alias("n_words"), hashed("query").alias("terms")).filter(F.size("terms") > 0)
+    held = chunks.select("chunk_id", words(F.lower("content")).alias("_w")).select(
+        "chunk_id", F.size("_w").alias("n_words"), F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w))).alias("terms"))
+    pairs = tiles.tile_pairs(
+        tiles.pack_terms(held.filter(F.size("terms") > 0), "chunk_id", "n_words", "terms", tiles.ROWS, 1 << 18),
+        tiles.pack_terms(asked, "query_id", "n_words", "terms", 256, 1 << 14))
+
+    def score(row):
+        hits = tiles.shared_terms(row).astype(np.float64)
+        return np.where(hits > 0, hits / (np.frombuffer(row.l_weights, np.int64) + 50), -np.inf)
+
+    best = tiles.top_scores(pairs, k, score, dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"], digits=None)
+    return top_k(best.withColumnRenamed("item", "chunk_id"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, item: str = "chunk_id", exclude: str | None = None) -> DataFrame:

@@ -63,17 +63,19 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def top_scores(pairs: DataFrame, k: int, score: Callable[[pd.Series], np.ndarray], id_type: str, query_type: str) -> DataFrame:
+def top_scores(pairs: DataFrame, k: int, score: Callable[[pd.Series], np.ndarray], id_type: str, query_type: str,
+               digits: int | None = 9) -> DataFrame:
     """Best k of each tile pair per query: (query_id, item, score). Left tiles are items, right are queries.
 
-    ``score`` gets one row of the pair table and returns the (queries x items) score matrix.
+    ``score`` gets one row of the pair table and returns the (queries x items) score matrix; items
+    scored -inf are left out. Float scores are rounded so that equal vectors tie on every machine.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 items = np.asarray(row.l_ids)
-                s = np.round(score(row), 9)
+                s = score(row) if digits is None else np.round(score(row), digits)
                 out_q, out_i, out_s = [], [], []
                 for j, q in enumerate(row.r_ids):
                     line = s[j]
@@ -146,3 +148,45 @@ def pack_queries(queries: DataFrame, exclude_col: str, rows: int = 256) -> DataF
     chosen = queries.select("query_id", "vector", F.col(exclude_col).alias("exclude"))
     schema = f"ids array<{query_type}>, n int, data binary, exclude array<{item_type}>"
     return chosen.mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
+
+
+def pack_terms(df: DataFrame, id_col: str, weight: str, terms: str, rows: int, most_terms: int) -> DataFrame:
+    """Tiles of ids, a number per row and its set of term hashes, closed by rows or by terms."""
+    id_type = dict(df.dtypes)[id_col]
+
+    def tile(part):
+        sizes = np.array([len(x) for x in part["terms"]], dtype=np.int64)
+        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in part["terms"]])
+        return pd.DataFrame({
+            "ids": [part["id"].to_numpy()], "n": [len(part)], "weights": [part["weight"].to_numpy(np.int64).tobytes()],
+            "sizes": [sizes.tobytes()], "terms": [flat.tobytes()], "exclude": [[[] for _ in range(len(part))]]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            start, load = 0, 0
+            for i, x in enumerate(pdf["terms"]):
+                if i > start and (i - start >= rows or load + len(x) > most_terms):
+                    yield tile(pdf.iloc[start:i])
+                    start, load = i, 0
+                load += len(x)
+            if start < len(pdf):
+                yield tile(pdf.iloc[start:])
+
+    chosen = df.select(F.col(id_col).alias("id"), F.col(weight).cast("long").alias("weight"), F.col(terms).alias("terms"))
+    schema = f"ids array<{id_type}>, n int, weights binary, sizes binary, terms binary, exclude array<array<{id_type}>>"
+    return chosen.mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
+
+
+def shared_terms(row) -> np.ndarray:
+    """(queries x items) counts of shared terms: two 0/1 matrices over the terms of the query tile."""
+    size_q, size_i = np.frombuffer(row.r_sizes, np.int64), np.frombuffer(row.l_sizes, np.int64)
+    vocab, spot_q = np.unique(np.frombuffer(row.r_terms, np.int64), return_inverse=True)
+    asked = np.zeros((len(size_q), len(vocab)), dtype=np.float32)
+    asked[np.repeat(np.arange(len(size_q)), size_q), spot_q] = 1.0
+    terms = np.frombuffer(row.l_terms, np.int64)
+    held = np.zeros((len(size_i), len(vocab)), dtype=np.float32)
+    if len(vocab):
+        spot_i = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
+        known = vocab[spot_i] == terms
+        held[np.repeat(np.arange(len(size_i)), size_i)[known], spot_i[known]] = 1.0
+    return asked @ held.T

@@ -29,7 +29,7 @@ def vectors(t: Tables):
 
 
 def questions(t: Tables):
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words("text"), 1, 8), " ").alias("query"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words("text"), " ").alias("query"))
     return with_vector(q, t, F.col("query_id") * 3)
 
 
@@ -37,7 +37,7 @@ SQL_CHUNKS = """folded as (select doc_id, list_reduce(list_prepend(['0', null],
     lambda acc, x: case when acc[2] is not null and acc[1]::int + length(x[1]) > 512 then list_concat([length(x[1])::varchar, x[1]], acc[2:])
       when acc[2] is null then [length(x[1])::varchar, x[1]] else list_concat([(acc[1]::int + length(x[1]))::varchar, acc[2] || ' ' || x[1]], acc[3:]) end) as f from documents),
 chunks as (select doc_id || '::chunk_' || (len(f) - 1 - i) as chunk_id, doc_id, (len(f) - 1 - i)::bigint as idx, f[i + 1] as content from folded, unnest(range(1, len(f))) as u(i))"""
-SQL_Q = """q as (select item_id as query_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:8], ' ') as query, item_id * 3 % (select count(*) from embeddings) as vec_id from benchmark)"""
+SQL_Q = """q as (select item_id as query_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') as query, item_id * 3 % (select count(*) from embeddings) as vec_id from benchmark)"""
 SQL_BASE = f"""with {SQL_CHUNKS}, {SQL_Q},
 terms as (select query_id, unnest(list_distinct(string_split(lower(query), ' '))) as term from q),
 cw as (select chunk_id, list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '') as w from chunks),
@@ -88,14 +88,16 @@ def _(t: Tables):
 
 def variants(t: Tables):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), words("text").alias("w"))
-    each = q.select("query_id", F.posexplode(F.array(F.slice("w", 1, 8), F.slice("w", 9, 8))).alias("variant", "w"))
+    half = F.ceil(F.size("w") / 2).cast("int")
+    halves = F.array(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))
+    each = q.select("query_id", F.posexplode(halves).alias("variant", "w"))
     text = each.filter(F.size("w") > 0).select("query_id", "variant", F.array_join("w", " ").alias("query"))
     return with_vector(text, t, F.col("query_id") * 3 + F.col("variant"))
 
 
 SQL_VARIANTS = SQL_BASE.replace(SQL_Q, """q0 as (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from benchmark),
-q as (select item_id * 2 as query_id, array_to_string(w[1:8], ' ') as query, (item_id * 3) % (select count(*) from embeddings) as vec_id from q0
-  union all select item_id * 2 + 1, array_to_string(w[9:16], ' '), (item_id * 3 + 1) % (select count(*) from embeddings) from q0 where len(w) > 8)""")
+q as (select item_id * 2 as query_id, array_to_string(w[1:ceil(len(w) / 2)::int], ' ') as query, (item_id * 3) % (select count(*) from embeddings) as vec_id from q0
+  union all select item_id * 2 + 1, array_to_string(w[ceil(len(w) / 2)::int + 1:], ' '), (item_id * 3 + 1) % (select count(*) from embeddings) from q0 where len(w) > 1)""")
 
 
 @query("R5_multi_query", f"""{SQL_VARIANTS}, h as (select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r2 from hy) where r2 <= {K}),

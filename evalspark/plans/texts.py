@@ -9,6 +9,7 @@ from ..functions import lists
 from ..functions.arrow import arrow_udf
 from ..functions.text import tokens
 from ..operators import curate, documents, tables, textstats
+from ..operators.ranking import numbered
 from .registry import Tables, query
 
 SNIPPETS = ("import os; os._exit(0)", "raise SystemExit", "x = __results", "sum(range(3))", "import builtins", "monkeypatch.setattr")
@@ -263,11 +264,8 @@ def phrase_table(t: Tables):
     count = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.transform(F.arrays_zip(F.slice("w", F.lit(1), count), F.slice("w", F.lit(2), count)), lambda z: F.concat_ws(" ", z["0"], z["1"]))
     grams = toks.select(F.explode(F.concat("w", pairs)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    # a bounded vocabulary: rank by (count, phrase) through the number of better phrases is a window over phrases only
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "phrase")) - 1
-    return grams.withColumn("rank", rank).select("phrase", "rank", (F.col("rank") / 1733.0).alias("adjustment"))
+    ranked = numbered(grams.withColumn("_fewer", -F.col("n")), [], ["_fewer", "phrase"], "_rn").withColumn("rank", F.col("_rn") - 1)
+    return ranked.select("phrase", "rank", (F.col("rank") / 1733.0).alias("adjustment"))
 
 
 SQL_PIECES = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]'"
