@@ -1,8 +1,7 @@
 """Blocked all-pairs work: rows are packed into bounded tiles and tile pairs are computed with numpy.
 
 A tile is a slice of one Arrow batch, so packing needs no shuffle and no tile grows with a key.
-Tile pairs come from an equi-join on a salt (one side keeps one salt, the other is repeated for
-each), and only sums, counts or top-k rows leave a task - never the pairs themselves.
+Tile pairs come from an equi-join on a salt, and only sums, counts or top-k rows leave a task - never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -35,12 +34,27 @@ def pack_vectors(df: DataFrame, id_col: str, vec_col: str, rows: int = ROWS) ->
     return chosen.mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def tile_bytes(tiles: DataFrame) -> int:
+    sizes = [F.octet_length(name) for name, kind in tiles.dtypes if kind == "binary"]
+    return tiles.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0))).first()[0]
+
+
 def tile_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every left tile next to every right tile, columns prefixed l_ and r_."""
-    salts = shuffle_width(left.sparkSession)
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], F.pmod(F.xxhash64("tile"), F.lit(salts)).alias("_salt"))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
-    return a.join(b, "_salt").drop("_salt")
+    """Every left tile next to every right tile, columns prefixed l_ and r_.
+
+    The right side is measured: up to 64 MB it is broadcast and the left side never moves. Beyond
+    that both sides meet on a salt, the right side repeated once per salt.
+    """
+    small = tile_bytes(right) <= BROADCAST_BYTES
+    salts = 1 if small else shuffle_width(left.sparkSession)
+    own = F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("long").alias("_salt")
+    every = own if small else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], own)
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], every)
+    return a.join(F.broadcast(b) if small else b, "_salt").drop("_salt")
 
 
 def self_pairs(tiles: DataFrame) -> DataFrame:

@@ -378,6 +378,15 @@ def test_flat_search_matches_numpy(clustered):
     assert [r["vec_id"] for r in got] == best.ravel().tolist()
 
 
+def test_search_beyond_the_broadcast_bound(clustered, monkeypatch):
+    from evalspark.operators import tiles
+
+    _, _, queries, vectors = clustered
+    near = sorted(map(tuple, quantize.flat_topk(queries, vectors, 3).collect()))
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, quantize.flat_topk(queries, vectors, 3).collect())) == near
+
+
 def test_quantized_recall(clustered):
     _, _, queries, vectors = clustered
     truth = quantize.flat_topk(queries, vectors)
