@@ -8,7 +8,6 @@ from ..functions.text import words
 from ..functions.vectors import cosine
 from ..operators import retrieval, sequences, tables
 from ..operators.ranking import with_scalars
-from ..session import shuffle_width
 from .registry import Tables, query
 
 K = 10
@@ -26,9 +25,9 @@ def with_vector(df, t: Tables, position):
 
 
 def vectors(t: Tables):
-    """Chunk vectors, kept at full width: scoring a row costs far more than its bytes suggest."""
+    """Chunk vectors, kept on all cores: scoring a row costs far more than its bytes suggest."""
     rows = with_vector(chunks(t).select("chunk_id", "doc_id", "idx"), t, F.col("doc_id") * 7 + F.col("idx")).select("chunk_id", "vector")
-    return rows.repartition(shuffle_width(t.spark), "chunk_id")
+    return rows.repartition(t.spark.sparkContext.defaultParallelism, "chunk_id")
 
 
 def questions(t: Tables):
