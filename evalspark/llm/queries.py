@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import urls
+from . import urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,18 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_arc_to_warc", oracle="""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest from p),
+k as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as kept from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> kept then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> kept then kept end as refers_to from k""")
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC files of both versions into WARC files, and what these hold when read back."""
+    records = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return records.select(F.col("order_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
