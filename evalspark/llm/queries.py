@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urls, warc
+from . import bpe, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("order_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_tree_bpe")
+def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as counts and digests."""
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    texts = bpe.decode(tokens.select("doc_id", "n_tokens", "ids"))
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
