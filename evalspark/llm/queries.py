@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, urls, warc
+from . import bpe, quality, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     reputation = urls.host_reputation(urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
     return urls.judge_urls(pages, reputation, RULES)
+
+
+@query("op10_ngram_llr")
+def op10_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and hashed n-gram log-likelihood ratio of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
