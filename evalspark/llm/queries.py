@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, urls, warc
-from .common import table
+from . import bpe, quality, toxicity, urls, warc
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,17 @@ def op10_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and hashed n-gram log-likelihood ratio of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def held_out(doc_id) -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+@query("op2_toxic_segments")
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out fifth are never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    model = toxicity.fit(stored(toxicity.labelled(docs, known), "toxic-labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
