@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity, urls, warc
+from . import bpe, html, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,15 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(stored(toxicity.labelled(docs, known), "toxic-labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op6_host_paths", oracle=r"""
+with a as (select page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') as body from pages),
+b as (select page_id, url, string_split(regexp_replace(regexp_replace(body, '<br>', ' ', 'g'), '</?(h1|p)>', chr(10), 'g'), chr(10)) as blocks from a),
+c as (select page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) as blocks from b),
+d as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from c)
+select page_id, url, text, length(text) as n_chars from d""")
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's winning container path."""
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
