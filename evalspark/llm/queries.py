@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, quality, toxicity, urls, warc
+from . import bpe, html, jaccard, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ select page_id, url, text, length(text) as n_chars from d""")
 def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by its host's winning container path."""
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query("op8_signature_join")
+def op8_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 4-word shingles, Jaccard similarity of 0.85 or more."""
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
