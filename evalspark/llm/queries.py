@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, quality, toxicity, urls, warc
+from . import bpe, chat, html, jaccard, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,17 @@ def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document: 4-word shingles, Jaccard similarity of 0.85 or more."""
     return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_snapshot_collapse", oracle=r"""
+with t as (select distinct conv_id, turn, lower(coalesce(role, 'unknown')) as role, coalesce(text, '') as text from conversations where conv_id is not null),
+l as (select conv_id, list(struct_pack(r := role, t := text) order by turn nulls first, role, sha256(text)) as turns from t group by 1),
+f as (select turns, min(conv_id) as conv_id, count(*) as copies from l group by 1),
+p as (select distinct turns[1:k] as turns from (select turns, unnest(range(1, len(turns))) as k from f)),
+m as (select * from f where turns not in (select turns from p))
+select conv_id, len(turns) as n_turns, copies, sha256(array_to_string(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10)
+  || replace(replace(x.t, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10)), '')) as text_sha256 from m""")
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered; the text as a digest."""
+    out = chat.collapse(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "n_turns", "copies", F.sha2("text", 256).alias("text_sha256"))
