@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, quality, toxicity, urls, warc
+from . import bpe, chat, html, jaccard, mixing, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,14 @@ def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered; the text as a digest."""
     out = chat.collapse(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "n_turns", "copies", F.sha2("text", 256).alias("text_sha256"))
+
+
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+@query("op9_soft_mixing")
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document for equal parts of three languages and a double part of the fourth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = stored(mixing.labelled(docs, table(spark, sf_dir, "labels"), "lang"), "mix-labels")
+    return mixing.mix_to_targets(docs.select("doc_id", "text"), rows, TARGETS)[0].drop("text", "posteriors")
