@@ -2,7 +2,8 @@
 
 Training. Words of labelled texts are counted once per group of near copies (texts with the same smallest bigram hash),
 separately for toxic and clean ones; log-odds under a Dirichlet prior, whose pseudo-counts are shared as the labels are,
-give each word a weight, near 0 for rare words. Word beginnings of ``STEM`` letters are weighted the same way and stand in for words that training has not seen. A constant is taken off
+give each word a weight, near 0 for rare words. Word beginnings are weighted by the different words that start with
+them, at most ``TYPE_CAP`` groups a word, and stand in for words that training has hardly seen. A constant is taken off
 so that ordinary text has a negative mean, which makes segment scores follow the extreme-value law: lambda and K are
 those of the background score distribution.
 
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE
+from .common import SPACE, stored
 
 MAX_ROWS = 100_000
 MAX_WORDS = 50_000
-STEM = 4
+STEMS = (3, 4, 5, 6)
+TYPE_CAP = 3
+CACHED = 500_000
 PRIOR = 8.0
 DRIFT = 1.0
 MAX_EVALUE = 0.05
@@ -52,22 +55,42 @@ class Model:
     slope: float = 1.0
     offset: float = -3.0
 
+    def weights(self) -> _Weights:
+        """Weight of any word, remembered in each Python worker."""
+        if "_known" not in self.__dict__:
+            self._known = _Weights(self.words, self.stems)
+        return self._known
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+
+class _Weights(dict):
+    """The larger one of a word's weight and its beginnings'; 0 if neither is known. Bounded."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.words, self.stems = words, stems
+
+    def __missing__(self, word: str) -> float:
+        known = [self.stems[s] for k in STEMS if len(word) > k and (s := word[:k]) in self.stems]
+        if word in self.words:
+            known.append(self.words[word])
+        weight = max(known, default=0.0)
+        if len(self) < CACHED:
+            self[word] = weight
+        return weight
+
 
 # ---- one text ----
 
 def token_weights(tokens: list[str], m: Model) -> np.ndarray:
-    """Weight of each token less the drift: the larger one of the word's and its beginning's. A word right after itself
-    weighs nothing, so that one repeated word makes no passage."""
-    words, stems = m.words, m.stems
-    low, out, last = -math.inf, [], None
-    for t in tokens:
-        if t == last:
-            out.append(0.0)
-            continue
-        last, w, s = t, words.get(t, low), stems.get(t[:STEM], low)
-        w = w if w > s else s
-        out.append(w if w > low else 0.0)
-    return np.array(out) - DRIFT
+    """Weight of each token less the drift. A word right after itself weighs nothing, so that one repeated word makes no
+    passage."""
+    out = np.fromiter(map(m.weights().__getitem__, tokens), float, len(tokens)) - DRIFT
+    for i in np.flatnonzero(out > 0).tolist():
+        if i and tokens[i] == tokens[i - 1]:
+            out[i] = -DRIFT
+    return out
 
 
 def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
@@ -141,11 +164,18 @@ def near_copy_key(words: Column) -> Column:
     return F.array_min(pairs)
 
 
-def _counts(rows: DataFrame, key: Column, smallest: int) -> DataFrame:
-    """(key, toxic, clean): in how many groups of either label a key occurs; keys in fewer than ``smallest`` are left out."""
-    keys = rows.select("toxic", "copy", F.explode(F.array_distinct(key)).alias("key")).distinct()
-    counted = keys.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    return counted.where((F.col("toxic") + F.col("clean") >= smallest) & (F.length("key") > 0))
+def _counts(rows: DataFrame, key: Column) -> DataFrame:
+    """(key, toxic, clean): in how many groups of either label a key occurs."""
+    keys = rows.select("toxic", "copy", F.explode(F.array_distinct(key)).alias("key")).where(F.length("key") > 0).distinct()
+    return keys.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+
+
+def _stem_counts(counted: DataFrame) -> DataFrame:
+    """(key, toxic, clean, words): capped groups of the words with each beginning, and how many of them are toxic ones."""
+    starts = F.filter(F.array(*[F.when(F.length("key") > k, F.substring("key", 1, k)) for k in STEMS]), lambda x: x.isNotNull())
+    rows = counted.select(F.explode(starts).alias("stem"), F.least("toxic", F.lit(TYPE_CAP)).alias("t"), F.least("clean", F.lit(TYPE_CAP)).alias("c"))
+    return rows.groupBy(F.col("stem").alias("key")).agg(
+        F.sum("t").alias("toxic"), F.sum("c").alias("clean"), F.sum((F.col("t") > 0).cast("int")).alias("words"))
 
 
 def _weights(counts: DataFrame, n_toxic: int, n_clean: int, max_words: int, prior: float = PRIOR) -> dict[str, float]:
@@ -188,9 +218,12 @@ def fit(rows: DataFrame, max_words: int = MAX_WORDS, bins: int = 64) -> Model:
         return Model(slope=0.0, offset=math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
     words = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), lambda w: F.btrim(w, F.lit(EDGES)))
     parts = rows.select("toxic", words.alias("words")).select("toxic", "words", near_copy_key(F.col("words")).alias("copy"))
-    m = Model(words=_weights(_counts(parts, F.col("words"), 3), n_toxic, n_clean, max_words))
-    stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM))
-    m.stems = {s: w for s, w in _weights(_counts(parts, stems, 4), n_toxic, n_clean, max_words).items() if w > DRIFT}
+    counted = stored(_counts(parts, F.col("words")), "word-counts")
+    m = Model(words=_weights(counted.where("toxic + clean >= 3"), n_toxic, n_clean, max_words))
+    stems = _stem_counts(counted)
+    every = stems.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+    if every["t"] and every["c"]:
+        m.stems = {s: w for s, w in _weights(stems.where("words >= 3"), int(every["t"]), int(every["c"]), max_words).items() if w > DRIFT}
 
     # Background: distribution of the weights over clean texts, as counts per weight in steps of 1/16.
     def weigh(batches):
