@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, mixing, quality, toxicity, urls, warc
+from . import bpe, chat, html, jaccard, mixing, neighbours, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = stored(mixing.labelled(docs, table(spark, sf_dir, "labels"), "lang"), "mix-labels")
     return mixing.mix_to_targets(docs.select("doc_id", "text"), rows, TARGETS)[0].drop("text", "posteriors")
+
+
+@query("op3_projected_neighbours")
+def op3_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every twentieth embedding, among all embeddings."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
