@@ -32,11 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .jaccard import _groups
 
-DIMS, CONFIDENCE = 10, 0.97
-SAMPLE, CELL_ROWS, CELL_LIMIT, MAX_CELLS = 20_000, 2_000, 20_000, 4_096
-LEAF = 256
+DIMS, CONFIDENCE = 12, 0.95
+SAMPLE, CELL_ROWS, CELL_LIMIT, MAX_CELLS = 20_000, 8_000, 20_000, 4_096
+LEAF, BLOCK = 256, 512
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -148,40 +147,56 @@ class Projection:
         scale = math.sqrt(self.norm2) / np.sqrt(np.einsum("ij,ij->i", q, q))
         return (q * scale[:, None]) @ self.directions[:-1]
 
-    def distance2(self, q_norm: float, product: np.ndarray) -> np.ndarray:
+    def distance2(self, q_norm, product: np.ndarray) -> np.ndarray:
         """Squared distance of scaled query and lengthened vectors, from the inner products of the originals."""
         return np.maximum(2 * self.norm2 - 2 * product * math.sqrt(self.norm2) / q_norm, 0.0)
 
 
-def search_tree(tree: Tree, points: np.ndarray, vectors: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, p: Projection, stop: float, bound2: float):
-    """Positions and inner products of the k best rows of one cell; ``bound2`` is the worst distance worth having.
-
-    Leaves come in the order of their distance; the test stops the search before the first leaf that fails it, and
-    rows within a leaf are verified only if they pass.
-    """
-    reach = tree.reach(pq)
-    best = np.zeros(0, np.int64)
-    products = np.zeros(0)
-    norm = math.sqrt(float(q @ q))
-    for leaf in np.argsort(reach, kind="stable").tolist():
-        if reach[leaf] > stop * bound2:
-            break
-        a, b = tree.cuts[leaf]
-        rows = tree.order[a:b]
-        gap = points[rows] - pq
-        rows = rows[(gap * gap).sum(1) <= stop * bound2]
-        if not len(rows):
-            continue
-        best = np.concatenate((best, rows))
-        products = np.concatenate((products, vectors[rows] @ q))
-        if len(best) > k:
-            top = np.argsort(-products, kind="stable")[: 4 * k]
-            worst = products[top[k - 1]]
-            top = top[products[top] >= worst - 1e-12 * max(1.0, abs(worst))]  # ties may have smaller ids
-            best, products = best[top], products[top]
-        if len(best) >= k:
-            bound2 = min(bound2, float(p.distance2(norm, np.sort(products)[::-1][k - 1 : k])[0]) * (1 + 1e-9) + 1e-12)
-    return best, products
+class Cell:
+    """The vectors of one cell under a kd-tree of their projections."""
+
+    def __init__(self, p: Projection, vectors: np.ndarray, ids: list[list[int]]):
+        self.p, self.vectors, self.ids = p, vectors, ids
+        self.points = p.data(vectors)
+        self.tree = Tree(self.points)
+
+    def search(self, queries: np.ndarray, k: int, stop: float, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query number and row of the best rows for a block of queries; ``bound2`` is each one's worst useful distance.
+
+        Every query visits the leaves in the order of their distance from it. The chi-square test ends its search
+        before the first leaf that fails, and skips rows of a leaf that fail by themselves. Queries that visit the
+        same leaf in the same round are verified by one matrix product.
+        """
+        keep = k + 12  # room for ties, which the ids decide in the end
+        projected = self.p.query(queries)
+        reach = np.stack([self.tree.reach(q) for q in projected])
+        order = np.argsort(reach, axis=1, kind="stable")
+        norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        rows = np.full((len(queries), keep), -1, np.int64)
+        products = np.full((len(queries), keep), -np.inf)
+        limit = bound2.copy()
+        searching = np.ones(len(queries), bool)
+        for turn in range(order.shape[1]):
+            leaf = order[:, turn]
+            searching &= reach[np.arange(len(leaf)), leaf] <= stop * limit
+            for at in np.unique(leaf[searching]).tolist():
+                mine = np.flatnonzero(searching & (leaf == at))
+                a, b = self.tree.cuts[at]
+                inside = self.tree.order[a:b]
+                gap = ((projected[mine][:, None, :] - self.points[inside][None, :, :]) ** 2).sum(2)
+                found = np.where(gap <= stop * limit[mine][:, None], queries[mine] @ self.vectors[inside].T, -np.inf)
+                both = np.concatenate((products[mine], found), axis=1)
+                names = np.concatenate((rows[mine], np.broadcast_to(inside, found.shape)), axis=1)
+                best = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
+                products[mine], rows[mine] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+                worst = -np.partition(-products[mine], k - 1, axis=1)[:, k - 1]
+                full = np.isfinite(worst)
+                far = self.p.distance2(norms[mine][full], worst[full]) * (1 + 1e-9) + 1e-12
+                limit[mine[full]] = np.minimum(limit[mine[full]], far)
+        useful = np.isfinite(products)
+        useful[useful] = self.p.distance2(np.repeat(norms, useful.sum(1)), products[useful]) <= np.repeat(bound2, useful.sum(1))
+        who, column = np.nonzero(useful)
+        return who, rows[who, column]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -289,26 +304,39 @@ def _search(index: DataFrame, visits: DataFrame, shared, k: int, stop: float) ->
 
     def search(batches):
         p, _ = shared.value
-        for group in _groups(batches, "cell"):
-            kind = group.column("kind").to_numpy()
-            size = int((kind == 0).sum())
-            if not size or size == len(kind):
-                continue
-            vectors = _matrix(group)
-            points = p.data(vectors[:size])
-            tree, ids = Tree(points), group.column("ids").slice(0, size).to_pylist()
-            asked = group.column("q").to_numpy()[size:]
-            bounds = group.column("bound2").to_numpy()[size:]
-            projected = p.query(vectors[size:])
-            out_q, out_id, out_score = [], [], []
-            for i, q in enumerate(vectors[size:]):
-                bound2 = np.inf if np.isnan(bounds[i]) else float(bounds[i])
-                best, _ = search_tree(tree, points, vectors[:size], q, projected[i], k + 1, p, stop, bound2)
-                exact = np.einsum("ij,j->i", vectors[best], q)
-                found = sorted(((-s, x) for s, at in zip(exact.tolist(), best.tolist()) for x in ids[at]))[: k + 1]
-                out_q += [asked[i]] * len(found)
-                out_id += [x for _, x in found]
-                out_score += [-s for s, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64())], names=["q", "id", "score"])
+        at, held, cell = None, [], None
+        for batch in batches:  # in a cell its rows come first, then those who visit it, a block at a time
+            cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            cut = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cells)]):
+                if a == b:
+                    continue
+                if cells[a] != at:
+                    at, held, cell = cells[a], [], None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    held.append((_matrix(part), part.column("ids").to_pylist()))
+                elif held or cell:
+                    if cell is None:
+                        cell = Cell(p, np.concatenate([v for v, _ in held]), [x for _, ids in held for x in ids])
+                        held = []
+                    for c in range(0, part.num_rows, BLOCK):
+                        yield _answers(cell, part.slice(c, BLOCK), k, stop)
 
     return met.mapInArrow(search, "q bigint, id bigint, score double")
+
+
+def _answers(cell: Cell, asked: pa.RecordBatch, k: int, stop: float) -> pa.RecordBatch:
+    """(q, id, score) of a block of queries: their k + 1 best ids in this cell."""
+    q, names = _matrix(asked), asked.column("q").to_numpy()
+    bounds = asked.column("bound2").to_numpy(zero_copy_only=False)
+    who, row = cell.search(q, k + 1, stop, np.where(np.isnan(bounds), np.inf, bounds))
+    exact = np.einsum("ij,ij->i", cell.vectors[row], q[who])
+    copies = np.array([len(cell.ids[r]) for r in row.tolist()], np.int64)
+    ids = np.array([i for r in row.tolist() for i in cell.ids[r]], np.int64)
+    who, exact = np.repeat(who, copies), np.repeat(exact, copies)
+    order = np.lexsort((ids, -exact, who))
+    who, ids, exact = who[order], ids[order], exact[order]
+    place = np.arange(len(who)) - np.searchsorted(who, who)
+    first = place <= k
+    return pa.RecordBatch.from_arrays([pa.array(names[who[first]]), pa.array(ids[first]), pa.array(exact[first])], names=["q", "id", "score"])
