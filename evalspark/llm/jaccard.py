@@ -40,9 +40,10 @@ N, PERCENT = 4, 85
 MAX_FREQUENT = 1 << 17
 FREQUENT_FROM = 32
 TOKENS_PER_BUCKET = 400_000
+TOKENS_AT_ONCE = 2_000_000
 TILE = 4096
 LEAF, FANOUT = 32, 8
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 U = np.uint64
 
 SPACES = np.zeros(256, bool)
@@ -75,7 +76,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         while end < len(data) and not SPACES[data[end]]:
             end = min(len(data), end + 1) if end - at < 2 * BLOCK_BYTES else _next_space(data, end)
         part = np.frombuffer(data, np.uint8, end - at, at)
-        size = 1 << max(16, (len(part)).bit_length())
+        size = 1 << max(12, len(part).bit_length())
         values, up, down = _powers(size)
         space = SPACES[part]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
@@ -285,16 +286,28 @@ def linked_sets(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 # ---- Spark ----
 
+def _gathered(lists, limit: int):
+    """Lists of arrays, joined until they hold about ``limit`` elements."""
+    held, size = [], 0
+    for arrays in lists:
+        held += arrays
+        size += sum(map(len, arrays))
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def frequent_tokens(docs: DataFrame, n: int = N, limit: int = MAX_FREQUENT, least: int = FREQUENT_FROM) -> np.ndarray:
-    """At most ``limit`` tokens, those in most documents. Batches send what they hold three times or more.
+    """At most ``limit`` tokens, those in most documents. Tasks send what they see three times in some millions of tokens.
 
     Any choice leaves the join exact; it only decides which tokens come last in the order.
     """
 
     def count(batches):
-        for batch in batches:
-            sets = token_sets(batch.column("text").to_pylist(), n)
-            tokens, sizes = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+        for sets in _gathered((token_sets(b.column("text").to_pylist(), n) for b in batches), TOKENS_AT_ONCE):
+            tokens, sizes = np.unique(np.concatenate(sets), return_counts=True)
             often = sizes >= 3
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(sizes[often].astype(np.int64))], names=["token", "n"])
 
@@ -327,6 +340,13 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("text_key"), "text")
 
 
+def _rows(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """All prefix tokens of a batch, and the class of each."""
+    prefixes = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+    tokens = np.concatenate(prefixes or [np.zeros(0, np.int64)])
+    return [tokens, np.repeat(batch.column("cls").to_numpy(), [len(p) for p in prefixes])]
+
+
 def blocks(rows: DataFrame, buckets: int) -> DataFrame:
     """(block, cls): the distinct member lists of tokens that two classes or more have in their prefixes.
 
@@ -334,10 +354,8 @@ def blocks(rows: DataFrame, buckets: int) -> DataFrame:
     """
 
     def pack(batches):
-        for batch in batches:
-            prefixes = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
-            cls = np.repeat(batch.column("cls").to_numpy(), [len(p) for p in prefixes])
-            tokens = np.concatenate(prefixes or [np.zeros(0, np.uint64)])
+        for rows in _gathered((_rows(b) for b in batches), TOKENS_AT_ONCE):
+            tokens, cls = np.concatenate(rows[0::2]).view(np.uint64), np.concatenate(rows[1::2])
             bucket = (mixed(tokens) % U(buckets)).astype(np.int64)
             order = np.lexsort((cls, tokens, bucket))
             bucket, tokens, cls = bucket[order], tokens[order], cls[order]
@@ -464,7 +482,8 @@ def similarity_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
     clusters = components(prune_blocks(members, percent))
 
     wanted = _tiled(clusters, tile).join(classes.select(F.col("cls").alias("id"), "first.*"), "id")
-    texts = keyed(docs).join(stored(wanted, "wanted"), ["doc_key", "text_key"]).select("task", F.col("id").alias("cls"), "text")
+    # the wanted rows grow with the corpus, so this join is a shuffle of both sides at every size
+    texts = keyed(docs).join(stored(wanted, "wanted").hint("merge"), ["doc_key", "text_key"]).select("task", F.col("id").alias("cls"), "text")
     links = check_clusters(texts.repartition("task").sortWithinPartitions("task"), n, percent)
 
     linked = components(links)
