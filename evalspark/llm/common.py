@@ -49,4 +49,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Python workers get batches of at most 4 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

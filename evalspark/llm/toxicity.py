@@ -37,7 +37,7 @@ MAX_ROWS = 100_000
 MAX_WORDS = 50_000
 STEMS = (3, 4, 5, 6)
 TYPE_CAP = 3
-CACHED = 500_000
+CACHED = 100_000
 PRIOR = 8.0
 DRIFT = 1.0
 MAX_EVALUE = 0.05
