@@ -250,11 +250,31 @@ def mix(docs: DataFrame, model: Classifier, found: Solution) -> DataFrame:
     return with_seed.mapInArrow(rated, T.StructType(kept.schema.fields + fields))
 
 
+def tokens_by_domain(members: DataFrame, domains: int) -> list[float]:
+    """Expected tokens of every domain."""
+
+    def totals(batches):
+        for batch in batches:
+            n, p = _arrays(batch, domains)
+            yield pa.RecordBatch.from_arrays([pa.array(range(domains), pa.int64()), pa.array(n @ p)], names=["k", "s"])
+
+    return _sums(members, totals, domains).tolist()
+
+
 def mix_to_targets(
-    docs: DataFrame, labelled_rows: DataFrame, targets: dict[str, float], max_rate: float = float("inf")
+    docs: DataFrame, labelled_rows: DataFrame, targets: dict[str, float] | list[str], max_rate: float = float("inf"), smoothing: float = 0.9
 ) -> tuple[DataFrame, Solution]:
-    """Train, measure, solve and rate: the documents with their rates, and how the fit went."""
+    """Train, measure, solve and rate: the documents with their rates, and how the fit went.
+
+    ``targets`` are weights of the domains; a bare list of domains gets its own expected tokens, raised to the power
+    ``smoothing``, so that small domains gain a little.
+    """
     domains = sorted(targets)
     model = train(labelled_rows, domains)
-    found = solve(stored(memberships(docs, model), "memberships"), [targets[d] for d in domains], max_rate=max_rate)
+    members = stored(memberships(docs, model), "memberships")
+    if isinstance(targets, dict):
+        weights = [targets[d] for d in domains]
+    else:
+        weights = [max(x, 1.0) ** smoothing for x in tokens_by_domain(members, len(domains))]
+    found = solve(members, weights, max_rate=max_rate)
     return mix(docs, model, found), found
