@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, lists
 from ..functions.text import col, contains_folded, word_count
-from .ranking import SMALL_K, first_per_key, lowest_per_key, top_k, with_scalars
+from .ranking import first_per_key, lowest_per_key, top_k, with_scalars
 
 
 def with_hashes(df: DataFrame) -> DataFrame:
@@ -41,11 +41,9 @@ def select_mix(df: DataFrame, registry: DataFrame, mix: str = "blend", only: Seq
     return df.join(admitted.select("source", "source_rank", "weight"), "source")
 
 
-def cap_per_source(df: DataFrame, n: int, order: str, source: str = "source") -> DataFrame:
-    """First n rows per source by a distinct numeric order column."""
-    if n <= SMALL_K:
-        return top_k(df, [source], [F.col(order)], n, "_cap").drop("_cap")
-    return lowest_per_key(df, [source], order, n)
+def cap_per_source(df: DataFrame, n: int, order: str, source: str = "source", tie: str = "id") -> DataFrame:
+    """First n rows per source by ``order``, NULLs last, equal values by ``tie``."""
+    return top_k(df, [source], [F.col(order).asc_nulls_last(), F.col(tie)], n, "_cap").drop("_cap")
 
 
 def sample_key(id_col, seed: int) -> Column:

@@ -11,7 +11,7 @@ from .ranking import medians, with_scalars
 from .textstats import worst_ngram
 
 DEGENERATE_REPEATS = 10
-EXACT_LIMIT = 24
+MODES = ("exact", "sampled")
 
 
 def run_metrics(pieces: DataFrame, slop: str = "slop", arm: str = "arm", run: str = "run", text: str = "text", rubric: str | None = "rubric") -> DataFrame:
@@ -29,18 +29,20 @@ def run_metrics(pieces: DataFrame, slop: str = "slop", arm: str = "arm", run: st
 
 def _two_arms(runs: DataFrame, a: str, b: str, arm: str, value: str) -> DataFrame:
     side = lambda x: F.array_sort(F.collect_list(F.when(F.col(arm) == x, F.col(value).cast("double"))))
-    both = runs.filter(F.col(arm).isin(a, b))
-    n = both.count()
-    if n > 100_000:
-        raise ValueError(f"{n} runs: a permutation test takes run-level values, not rows")
-    return both.agg(side(a).alias("_a"), side(b).alias("_b"))
+    return runs.filter(F.col(arm).isin(a, b)).agg(side(a).alias("_a"), side(b).alias("_b"))
 
 
-def permutation_test(runs: DataFrame, a: str, b: str, arm: str = "arm", value: str = "value", iterations: int = 100_000, seed: int = 0) -> DataFrame:
-    """Two-sided test on run-level means: all splits up to 24 runs, seeded random splits beyond.
+def permutation_test(
+    runs: DataFrame, a: str, b: str, arm: str = "arm", value: str = "value", mode: str = "exact", iterations: int | None = None, seed: int = 0
+) -> DataFrame:
+    """Two-sided test on run-level means; the result names its ``mode``.
 
-    The pool is one array of run values; the splits are the distributed rows.
+    ``exact`` takes all splits, whatever their number, ``sampled`` takes ``iterations`` seeded random ones. The pool is
+    one array of run values, so runs are few by design; the splits are the distributed rows. A split is a number of as
+    many bits as there are runs, which ends the exact mode at 62 runs.
     """
+    if mode not in MODES or (mode == "sampled") != (iterations is not None):
+        raise ValueError("mode is exact, or sampled with a number of iterations")
     spark = runs.sparkSession
     pool = _two_arms(runs, a, b, arm, value)
     sizes = pool.select(F.size("_a").alias("na"), F.size("_b").alias("nb")).first()
@@ -48,7 +50,9 @@ def permutation_test(runs: DataFrame, a: str, b: str, arm: str = "arm", value: s
     mean = lambda x, k: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.lit(float(k))
     facts = pool.select(
         F.concat("_a", "_b").alias("_pool"), F.abs(mean("_a", na) - mean("_b", n - na)).alias("observed"))
-    if n <= EXACT_LIMIT:
+    if mode == "exact":
+        if n > 62:
+            raise ValueError(f"{n} runs have 2**{n} splits: choose mode='sampled'")
         splits = spark.range(1 << n).filter(F.bit_count("id") == na)
         left = F.filter("_pool", lambda v, i: F.call_function("getbit", F.col("id"), i) == 1)
         right = F.filter("_pool", lambda v, i: F.call_function("getbit", F.col("id"), i) == 0)
@@ -60,7 +64,7 @@ def permutation_test(runs: DataFrame, a: str, b: str, arm: str = "arm", value: s
     judged = with_scalars(splits, facts)
     hit = F.abs(mean(left, na) - mean(right, n - na)) >= F.col("observed") - 1e-12
     return judged.agg(
-        F.round(F.first("observed"), 6).alias("observed"), F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("splits"),
+        F.lit(mode).alias("mode"), F.round(F.first("observed"), 6).alias("observed"), F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("splits"),
         F.round(F.count_if(hit) / F.count(F.lit(1)), 9).alias("p_value"))
 
 

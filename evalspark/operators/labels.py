@@ -169,22 +169,27 @@ def _grid(spark, heads: Mapping[str, Sequence]) -> DataFrame:
 
 
 def confusion(preds: DataFrame, classes: Mapping[str, Sequence]) -> DataFrame:
-    """Counts by (head, truth, pred) over the full class grid; masked rows are left out.
+    """Counts by (head, truth, pred): the full class grid, and every other pair that occurs. Rows without a truth are
+    masked; a NULL prediction stays NULL.
 
     preds has head, truth, pred; the grid has classes^2 rows per head.
     """
     seen = preds.filter(F.col("truth").isNotNull()).groupBy(
         "head", F.col("truth").cast("string").alias("truth"), F.col("pred").cast("string").alias("pred")
     ).agg(F.count(F.lit(1)).alias("n"))
-    grid = _grid(preds.sparkSession, classes)
-    return grid.join(seen, ["head", "truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = _grid(preds.sparkSession, classes).withColumn("n", F.lit(0).cast("long")).unionByName(seen)
+    return both.groupBy("head", "truth", "pred").agg(F.sum("n").alias("n"))
 
 
 def classification_report(preds: DataFrame, classes: Mapping[str, Sequence], present_only: bool = False) -> DataFrame:
-    """accuracy, macro F1 over all declared classes, n. Absent classes count as F1 = 0 by default."""
+    """accuracy, macro F1 over all declared classes, n. Absent classes count as F1 = 0 by default.
+
+    Every row with a truth counts in n, accuracy and support: a missing or foreign prediction is a wrong one.
+    """
     cells = confusion(preds, classes)
+    named = F.create_map(*[x for h, cs in classes.items() for x in (F.lit(h), F.array(*[F.lit(str(c)) for c in cs]))])
     sides = cells.select("head", "n", F.explode(F.array(
-        F.struct(F.col("truth").alias("cls"), F.lit("t").alias("side"), (F.col("truth") == F.col("pred")).alias("hit")),
+        F.struct(F.col("truth").alias("cls"), F.lit("t").alias("side"), F.coalesce(F.col("truth") == F.col("pred"), F.lit(False)).alias("hit")),
         F.struct(F.col("pred").alias("cls"), F.lit("p").alias("side"), F.lit(False).alias("hit")),
     )).alias("s"))
     per_class = sides.groupBy("head", "s.cls").agg(
@@ -193,11 +198,11 @@ def classification_report(preds: DataFrame, classes: Mapping[str, Sequence], pre
         F.sum(F.when(F.col("s.side") == "p", F.col("n")).otherwise(0)).alias("predicted"),
     )
     f1 = F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("support") + F.col("predicted"), F.lit(0)), F.lit(0.0))
-    if present_only:
-        per_class = per_class.filter("support > 0")
-    return per_class.withColumn("f1", f1).groupBy("head").agg(
+    declared = F.coalesce(F.array_contains(F.try_element_at(named, F.col("head")), F.col("cls")), F.lit(False))
+    counted = declared & (F.col("support") > 0) if present_only else declared
+    return per_class.groupBy("head").agg(
         F.round(F.sum("tp") / F.nullif(F.sum("support"), F.lit(0)), 6).alias("accuracy"),
-        F.round(F.avg("f1"), 6).alias("f1_macro"), F.sum("support").alias("n"),
+        F.round(F.avg(F.when(counted, f1)), 6).alias("f1_macro"), F.sum("support").alias("n"),
     )
 
 

@@ -71,7 +71,7 @@ class ProductQuantizer:
         return x if self.rotation is None else x @ self.rotation
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return nearest(self._turn(x), self.books).astype(np.uint8)
+        return nearest(self._turn(x), self.books).astype(np.min_scalar_type(self.books.shape[1] - 1))
 
     def score(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         m, _, width = self.books.shape

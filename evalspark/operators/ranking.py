@@ -13,9 +13,15 @@ SMALL_K = 1000  # spark.sql.optimizer.windowGroupLimitThreshold: below it ranks
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per key. Spark prunes each map task to k rows per key before the shuffle."""
+    """First k rows per key, for any k.
+
+    Up to SMALL_K Spark prunes each map task to k rows per key before the shuffle. Beyond, the rows of a key are first
+    cut to k within each input partition, so that no task sorts a whole hot key, and then ranked; same result.
+    """
     if k > SMALL_K:
-        raise ValueError(f"top_k is for k <= {SMALL_K}; use lowest_per_key for larger quotas")
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        cut = df.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.row_number().over(part))
+        df = cut.filter(F.col("_place") <= k).drop("_part", "_place")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import nearest_rank, top_k, values_at_ranks, with_scalars
@@ -14,15 +14,20 @@ def rate(hits, total):
     return F.coalesce(hits / F.nullif(total, F.lit(0)), F.lit(0.0))
 
 
+def exact_mean(c) -> Column:
+    """Mean of a double through an exact decimal sum: the same whatever the order of the rows. Ten decimals count."""
+    return F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def task_score(grades: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Mean dimension score and all-passed per (task, trial); an attempt without grades is NULL."""
-    scored = grades.groupBy("task_id", "trial").agg(F.avg("score").alias("score"), F.bool_and("passed").alias("passed"))
+    scored = grades.groupBy("task_id", "trial").agg(exact_mean("score").alias("score"), F.bool_and("passed").alias("passed"))
     return scored if tasks is None else tasks.select("task_id", "trial").join(scored, ["task_id", "trial"], "left")
 
 
 def task_pass_k(trials: DataFrame, by: Sequence[str] = ("task_id",)) -> DataFrame:
     return trials.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("trials"), F.bool_and("passed").alias("all_passed"), F.avg("score").alias("avg_score"))
+        F.count(F.lit(1)).alias("trials"), F.bool_and("passed").alias("all_passed"), exact_mean("score").alias("avg_score"))
 
 
 def trace_rollup(trials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +50,7 @@ def pass_cubed(trials: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFra
 
 def trial_band(trials: DataFrame, by: Sequence[str] = (), trial: str = "trial") -> DataFrame:
     """Run-to-run noise: mean, half range, range and population deviation of per-trial means."""
-    per = trials.groupBy(*by, trial).agg(F.avg("score").alias("_m"))
+    per = trials.groupBy(*by, trial).agg(exact_mean("score").alias("_m"))
     return per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trials"), F.avg("_m").alias("mean"), ((F.max("_m") - F.min("_m")) / 2).alias("half_range"),
         F.min("_m").alias("low"), F.max("_m").alias("high"), F.stddev_pop("_m").alias("std"))

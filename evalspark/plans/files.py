@@ -30,11 +30,15 @@ def _(t: Tables):
         F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("role"), "n", F.lit(None).cast("long").alias("chars")))
 
 
-@query("S2_read_jsonl_gz", "select role, count(*) as n, sum(length(text))::bigint as chars from conversations group by role")
+@query("S2_read_jsonl_gz", """
+select role, count(*) as n, sum(length(text))::bigint as chars from conversations where conv_id % 9 <> 4 group by role union all select 'malformed', count(*), null from conversations where conv_id % 9 = 4""")
 def _(t: Tables):
     path = work_dir(t.spark, "gz")
-    t.conversations.write.option("compression", "gzip").json(path)
-    return readers.read_jsonl_gz(t.spark, path, TURN).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    lines = t.conversations.select(F.when(F.col("conv_id") % 9 == 4, F.concat(F.lit('{"conv_id": x '), turn_json())).otherwise(turn_json()).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    good, bad = readers.read_jsonl_gz(t.spark, path, TURN)
+    counts = good.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return counts.unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("malformed").alias("role"), "n", F.lit(None).cast("long").alias("chars")))
 
 
 @query("S3_read_json_arrays", """

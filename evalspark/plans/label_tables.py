@@ -240,13 +240,13 @@ def _(t: Tables):
 
 
 QUALITY = {"quality": (0, 1)}
-TOXIC_SQL = "tox as (select l.doc_id, l.toxic as truth, case when d.lang = 'de' then 1 else 0 end as pred from labels l join documents d using (doc_id))"
+TOXIC_SQL = "tox as (select l.doc_id, l.toxic as truth, case when l.doc_id % 11 = 0 then null when l.doc_id % 13 = 0 then 7 when d.lang = 'de' then 1 else 0 end as pred from labels l join documents d using (doc_id))"
 
 
 def two_heads(t: Tables):
     p = predictions(t).select(F.lit("quality").alias("head"), "truth", "pred")
     docs = t.documents.select("doc_id", "lang")
-    tox = t.labels.join(docs, "doc_id").select(F.lit("toxic").alias("head"), F.col("toxic").alias("truth"), F.when(F.col("lang") == "de", 1).otherwise(0).alias("pred"))
+    tox = t.labels.join(docs, "doc_id").select(F.lit("toxic").alias("head"), F.col("toxic").alias("truth"), F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 13 == 0, 7).when(F.col("lang") == "de", 1).otherwise(0).alias("pred"))
     return p.unionByName(tox)
 
 
@@ -255,17 +255,18 @@ CLASSES = {"quality": (0, 1, 2), "toxic": (0, 1)}
 
 
 @query("A17_confusion", f"""with {SQL_HEADS}, classes(head, c) as (values ('quality',0),('quality',1),('quality',2),('toxic',0),('toxic',1)),
-grid as (select a.head, a.c as truth, b.c as pred from classes a join classes b on a.head = b.head)
-select g.head, cast(g.truth as varchar) as truth, cast(g.pred as varchar) as pred, count(p.head) as n
-from grid g left join both_heads p on p.head = g.head and p.truth = g.truth and p.pred = g.pred group by 1, 2, 3""")
+grid as (select a.head, a.c as truth, b.c as pred, 0 as n from classes a join classes b on a.head = b.head),
+every as (select * from grid union all select head, truth, pred, 1 from both_heads where truth is not null)
+select head, cast(truth as varchar) as truth, cast(pred as varchar) as pred, sum(n)::bigint as n from every group by 1, 2, 3""")
 def _(t: Tables):
     return labels.confusion(two_heads(t), CLASSES)
 
 
 @query("A18_classification_report", f"""with {SQL_HEADS}, classes(head, c) as (values ('quality',0),('quality',1),('quality',2),('toxic',0),('toxic',1)),
 f as (select c.head, c.c, sum(case when p.truth = c.c and p.pred = c.c then 1 else 0 end) as tp, sum(case when p.truth = c.c then 1 else 0 end) as sup,
-  sum(case when p.pred = c.c then 1 else 0 end) as prd from classes c join both_heads p on p.head = c.head group by 1, 2)
-select head, round(sum(tp) / sum(sup), 6) as accuracy, round(avg(coalesce(2.0::double * tp / nullif(sup + prd, 0), 0)), 6) as f1_macro, sum(sup)::bigint as n from f group by head""")
+  sum(case when p.pred = c.c then 1 else 0 end) as prd from classes c join both_heads p on p.head = c.head group by 1, 2),
+g as (select head, count(*) as n, count(*) filter (where truth = pred) as hits from both_heads where truth is not null group by 1)
+select head, round(any_value(hits / n), 6) as accuracy, round(avg(coalesce(2.0::double * tp / nullif(sup + prd, 0), 0)), 6) as f1_macro, any_value(n) as n from f join g using (head) group by head""")
 def _(t: Tables):
     return labels.classification_report(two_heads(t), CLASSES)
 

@@ -565,16 +565,23 @@ def _(t: Tables):
     return out.select("mix", "source", "n")
 
 
-@query("F6_cap_per_source", """
-select source, doc_id from documents qualify row_number() over (partition by source order by doc_id) <= 20""")
+SQL_CAP = "select {0} from (select *, case when {1} % 7 = 0 then null else {1} % 50 end as o from {2}) qualify row_number() over (partition by {3} order by o nulls last, {1}) <= {4}"
+
+
+def capped(df, key, n, **names):
+    """Cap by an order with ties and NULLs."""
+    rows = df.withColumn("o", F.when(F.col(key) % 7 != 0, F.col(key) % 50))
+    return curate.cap_per_source(rows, n, "o", tie=key, **names)
+
+
+@query("F6_cap_per_source", SQL_CAP.format("source, doc_id", "doc_id", "documents", "source", 20))
 def _(t: Tables):
-    return curate.cap_per_source(t.documents.select("source", "doc_id"), 20, "doc_id")
+    return capped(t.documents.select("source", "doc_id"), "doc_id", 20).select("source", "doc_id")
 
 
-@query("F6_cap_per_source_large", """
-select event_type as source, event_id from events qualify row_number() over (partition by event_type order by event_id) <= 1500""")
+@query("F6_cap_per_source_large", SQL_CAP.format("event_type as source, event_id", "event_id", "events", "event_type", 1500))
 def _(t: Tables):
-    return curate.cap_per_source(t.events.select(F.col("event_type").alias("source"), "event_id"), 1500, "event_id")
+    return capped(t.events.select(F.col("event_type").alias("source"), "event_id"), "event_id", 1500).select("source", "event_id")
 
 
 SQL_KEY = "('0x' || substr(sha256({0} || '|' || '{1}'), 1, 12))::bigint"

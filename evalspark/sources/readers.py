@@ -28,10 +28,11 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataF
     return good, parsed.filter(broken).select("file", "value")
 
 
-def read_jsonl_gz(spark: SparkSession, path: str, schema) -> DataFrame:
-    """gzip members cannot be split, so few files are spread over the cluster after the read."""
-    s = as_schema(schema)
-    return spread(spark.read.schema(s).option("mode", "DROPMALFORMED").json(path))
+def read_jsonl_gz(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(good rows, malformed lines with their file). gzip files cannot be split, so few of them are spread over the
+    cluster after the read."""
+    good, bad = read_jsonl(spark, path, schema)
+    return spread(good), bad
 
 
 def read_json_arrays(spark: SparkSession, path: str, element) -> DataFrame:

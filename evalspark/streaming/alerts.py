@@ -1,6 +1,9 @@
 """Windowed rates, ratios, quantiles and alert conditions, as streams and as their batch twins.
 
-Late rows beyond the watermark are dropped by Spark and counted in the query progress.
+Stateful streams hold rows back until the watermark has passed them and then take them in event-time order, so results
+do not depend on how the input is cut into micro-batches. Rows behind the watermark are dropped: by Spark in windows,
+by ``in_event_time`` in the stateful operators. Streams that append end with the last watermark: what is younger than
+it, open windows included, is not out yet.
 """
 
 from __future__ import annotations
@@ -11,21 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import running_max, values_at_ranks, with_previous
+from ..operators.ranking import running_max, values_at_ranks, with_previous, with_scalars
 from ..session import work_dir
 
 DELAY = "10 minutes"
 
 
-def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20, one_file: bool = False) -> DataFrame:
     """A Parquet table as a file stream with a watermark on ts.
 
-    Micro-batches are bounded in bytes, so the rows of one key that a stateful task holds are too;
-    long histories are the business of the batch twins.
+    Micro-batches end after the file that passes ``batch_bytes``, or hold one file each; results do not depend on it.
     The path is given as a pattern so that a table of one file works like a folder of files.
     """
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path[:-1]}[{path[-1]}]")
+    limit = ("maxFilesPerTrigger", 1) if one_file else ("maxBytesPerTrigger", batch_bytes)
+    raw = spark.readStream.schema(schema).option(*limit).parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
 
 
@@ -54,27 +57,62 @@ def counter_steps(samples: DataFrame, key: str, value: str, tie: str) -> DataFra
     return prev.filter(F.col(f"prev_{value}").isNotNull()).select(key, "ts", step.alias("step"))
 
 
-def _sorted_steps(key: str, value: str, tie: str) -> Callable:
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", tie])
-        last = state.get[0] if state.exists else None
-        before = rows[value].shift(1)
-        if last is not None:
-            before.iloc[0] = last
-        step = (rows[value] - before).where(rows[value] >= before, rows[value])
-        state.update((float(rows[value].iloc[-1]),))
-        known = before.notna()
-        yield pd.DataFrame({key: k[0], "ts": rows["ts"][known], "step": step[known].astype(float)})
+def in_event_time(samples: DataFrame, key: str, columns: str, output: str, memory: str, step: Callable, alarm: Callable | None = None) -> DataFrame:
+    """Run ``step`` over the rows of each series in event-time order.
+
+    samples has key, ts, us (microseconds) and the columns of ``columns`` (DDL; the first one breaks ties). ``step``
+    takes the remembered tuple (or None) and a row (us, *columns) and gives the new tuple and rows to emit. ``alarm``
+    takes the tuple and the watermark in microseconds and gives the same when time alone has passed, plus the time at
+    which to ask again. State per series: the rows younger than the watermark, and one tuple.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [c.split()[1] for c in columns.split(", ")]
 
-    return run
+    size, fields = len(names) + 1, len(memory.split(", "))
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows, remembered = [], None
+        if state.exists:
+            kept = state.get
+            rows = list(zip(*(list(c) for c in kept[:size])))
+            remembered = tuple(kept[size + 1:]) if kept[size] else None
+        mark = state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:
+            if len(pdf):
+                rows += [r for r in pdf[["us", *names]].itertuples(index=False, name=None) if r[0] > mark]
+        rows.sort(key=lambda r: r[:2])
+        ready = [r for r in rows if r[0] <= mark]
+        out = []
+        for r in ready:
+            remembered, found = step(remembered, r)
+            out += found
+        rest = rows[len(ready):]
+        wake = [rest[0][0]] if rest else []
+        if alarm is not None and remembered is not None:
+            remembered, found, again = alarm(remembered, mark)
+            out += found
+            wake += [again] if again is not None else []
+        known = remembered is not None
+        state.update((*([r[i] for r in rest] for i in range(size)), known, *(remembered if known else [None] * fields)))
+        if wake:
+            state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], *r) for r in out], columns=[key, *[c.split()[0] for c in output.split(", ")]])
+
+    held = ", ".join(f"{n} array<{kind}>" for n, kind in zip(["us", *names], ["long", *kinds]))
+    key_type = dict(samples.dtypes)[key]
+    return samples.select(key, "ts", "us", *names).groupBy(key).applyInPandasWithState(
+        run, f"{key} {key_type}, {output}", f"{held}, _known boolean, {memory}", "append", "EventTimeTimeout")
 
 
 def counter_steps_stream(samples: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """The same steps on a stream: the last value of each series is the state."""
-    key_type = dict(samples.dtypes)[key]
-    chosen = samples.select(key, "ts", tie, F.col(value).cast("double").alias(value))
-    return chosen.groupBy(key).applyInPandasWithState(
-        _sorted_steps(key, value, tie), f"{key} {key_type}, ts timestamp, step double", "last double", "append", "NoTimeout")
+    def step(last, row):
+        us, _, now = row
+        return (now,), [] if last is None else [(us, now - last[0] if now >= last[0] else now)]
+
+    chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias(value))
+    steps = in_event_time(chosen, key, f"{tie} long, {value} double", "us long, step double", "_last double", step)
+    return steps.select(key, F.timestamp_micros("us").alias("ts"), "step")
 
 
 def rate_window(steps: DataFrame, key: str, seconds: int = 300, slide: int = 60) -> DataFrame:
@@ -121,77 +159,82 @@ def gauge_threshold(rows: DataFrame, used: Column, total: Column, limit: float,
 # --- conditions over time --------------------------------------------------------------------------------
 
 def hold_for(samples: DataFrame, key: str, condition: str, seconds: int, tie: str) -> DataFrame:
-    """Alerts that fired: the condition held without a break for at least ``seconds`` (batch).
+    """Alerts that fired: the condition held without a break for ``seconds`` (batch).
 
-    A run of true samples is named by the last false sample before it, found with balanced slices.
+    It holds from a true sample until the next false one, or until the data end, as a timer sees it. A run of true
+    samples is named by the last false sample before it, found with balanced slices.
     """
+    limit = seconds * 1_000_000
     us = F.unix_micros("ts")
     marked = samples.select(key, us.alias("us"), tie, F.coalesce(F.col(condition), F.lit(False)).alias("c"))
-    marked = marked.withColumn("_false", F.when(~F.col("c"), F.col("us")))
-    runs = running_max(marked, [key], ["us", tie], "_false", "_since").filter("c").withColumn("_since", F.coalesce("_since", F.lit(-1)))
-    starts = runs.groupBy(key, "_since").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
-    held = starts.filter(F.col("end_us") - F.col("start_us") >= seconds * 1_000_000)
-    fired = F.min(F.when(F.col("us") - F.col("start_us") >= seconds * 1_000_000, F.col("us"))).alias("fired_us")
-    return runs.select(key, "_since", "us").join(held, [key, "_since"]).groupBy(key, "start_us", "end_us").agg(fired)
+    marked = marked.withColumn("_false", F.when(~F.col("c"), F.struct("us", tie)))
+    runs = running_max(marked, [key], ["us", tie], "_false", "_since")
+    starts = runs.filter("c").groupBy(key, "_since").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    # a false sample ends the run that has the same false sample before it
+    ends = runs.filter(~F.col("c")).select(F.col(key).alias("_key"), F.col("_since").alias("_s"), F.col("us").alias("broken_us"))
+    both = starts.join(ends, (F.col(key) == F.col("_key")) & F.col("_since").eqNullSafe(F.col("_s")), "left")
+    last = with_scalars(both, marked.agg(F.max("us").alias("_end")))
+    until = F.coalesce(F.col("broken_us") - 1, F.col("_end"))
+    return last.filter(until - F.col("start_us") >= limit).select(key, "start_us", "end_us", (F.col("start_us") + limit).alias("fired_us"))
 
 
 def hold_for_stream(samples: DataFrame, key: str, condition: str, seconds: int, tie: str) -> DataFrame:
-    """(key, start_us, fired_us) when an alert fires. State: start of the run and whether it fired."""
+    """(key, start_us, fired_us) of conditions that held for ``seconds``. The alert fires by timer when the time is up,
+    as long as no sample says otherwise; ``fired_us`` is that time."""
     limit = seconds * 1_000_000
 
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, fired = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["us", tie])
-        out = []
-        for us, ok in zip(rows["us"], rows["c"]):
-            if not ok:
-                start, fired = None, False
-                continue
-            start = us if start is None else start
-            if not fired and us - start >= limit:
-                fired = True
-                out.append((k[0], start, us))
-        state.update((start, fired))
-        yield pd.DataFrame(out, columns=[key, "start_us", "fired_us"])
+    def fire(start, fired, now):
+        if start is not None and not fired and now >= start + limit:
+            return True, [(start, start + limit)]
+        return fired, []
 
-    key_type = dict(samples.dtypes)[key]
-    chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"), tie, F.coalesce(F.col(condition), F.lit(False)).alias("c"))
-    return chosen.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, start_us long, fired_us long", "start long, fired boolean", "append", "NoTimeout")
+    def step(memory, row):
+        start, fired = memory or (None, False)
+        us, _, holds = row
+        fired, out = fire(start, fired, us if holds else us - 1)
+        if not holds:
+            return (None, False), out
+        return (us if start is None else start, fired), out
+
+    def alarm(memory, mark):
+        start, fired = memory
+        fired, out = fire(start, fired, mark)
+        return (start, fired), out, start + limit if start is not None and not fired else None
+
+    chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"), F.col(tie).cast("long").alias(tie), F.coalesce(F.col(condition), F.lit(False)).alias("c"))
+    return in_event_time(chosen, key, f"{tie} long, c boolean", "start_us long, fired_us long", "_start long, _fired boolean", step, alarm)
 
 
 def absent_heartbeat(samples: DataFrame, key: str, seconds: int, tie: str) -> DataFrame:
-    """Silences longer than ``seconds``: last beat, when the alert fired, next beat (batch)."""
+    """Silences longer than ``seconds``: last beat, when the alert fired, next beat (batch). A target that is still
+    silent when the data end has no next beat."""
+    limit = seconds * 1_000_000
     beats = samples.select(key, F.unix_micros("ts").alias("us"), tie)
     prev = with_previous(beats, [key], ["us", tie], ["us"])
-    gap = F.col("us") - F.col("prev_us")
-    return prev.filter(gap > seconds * 1_000_000).select(
-        key, F.col("prev_us").alias("last_us"), (F.col("prev_us") + seconds * 1_000_000).alias("fired_us"), F.col("us").alias("next_us"))
+    closed = prev.filter(F.col("us") - F.col("prev_us") > limit).select(
+        key, F.col("prev_us").alias("last_us"), (F.col("prev_us") + limit).alias("fired_us"), F.col("us").alias("next_us"))
+    last = with_scalars(beats.groupBy(key).agg(F.max("us").alias("last_us")), beats.agg(F.max("us").alias("_end")))
+    still = last.filter(F.col("_end") - F.col("last_us") > limit).select(
+        key, "last_us", (F.col("last_us") + limit).alias("fired_us"), F.lit(None).cast("long").alias("next_us"))
+    return closed.unionByName(still)
 
 
 def absent_heartbeat_stream(samples: DataFrame, key: str, seconds: int) -> DataFrame:
-    """(key, last_us, fired_us) once the watermark passes the last beat + ``seconds`` (event-time timeout)."""
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "last_us": [last], "fired_us": [last + seconds * 1_000_000]})
-            return
-        beats = sorted(x for pdf in batches for x in pdf["us"])
-        last = state.get[0] if state.exists else None
-        silent = []
-        for us in beats:
-            if last is not None and us - last > seconds * 1_000_000:
-                silent.append((k[0], last, last + seconds * 1_000_000))
-            last = us if last is None else max(last, us)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(silent, columns=[key, "last_us", "fired_us"])
+    """(key, last_us, fired_us) once the watermark has passed the last beat + ``seconds``."""
+    limit = seconds * 1_000_000
 
-    key_type = dict(samples.dtypes)[key]
-    chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"))
-    return chosen.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, last_us long, fired_us long", "last long", "append", "EventTimeTimeout")
+    def step(memory, row):
+        us = row[0]
+        silent = memory is not None and not memory[1] and us - memory[0] > limit
+        return (us, False), [(memory[0], memory[0] + limit)] if silent else []
+
+    def alarm(memory, mark):
+        last, told = memory
+        due = not told and mark > last + limit
+        return (last, told or due), [(last, last + limit)] if due else [], None if told or due else last + limit
+
+    chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("long").alias("tie"))
+    return in_event_time(chosen, key, "tie long", "last_us long, fired_us long", "_last long, _told boolean", step, alarm)
 
 
 # --- traces, ingest, dedup, telemetry ----------------------------------------------------------------------
