@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -57,7 +59,8 @@ def slop_rate(df: DataFrame, text: str, by: str) -> DataFrame:
     return sums.withColumn("total_per_1k", F.round(hits * 1000.0 / F.greatest("words", F.lit(1)), 2)).drop("words")
 
 
-PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+PIECE = re.compile(r"\w+|\W", re.S)
+PHRASES_A_PASS = 20_000
 
 
 def phrase_weights(ranked: DataFrame, lo: int = 0, hi: int = 600) -> DataFrame:
@@ -70,35 +73,56 @@ def phrase_weights(ranked: DataFrame, lo: int = 0, hi: int = 600) -> DataFrame:
     return with_scalars(band, top).select(F.lower("phrase").alias("phrase"), "rank", ((1.0 - F.col("adjustment")) / F.col("_mx")).alias("weight"))
 
 
+class PhraseIndex:
+    """Phrases by their first piece, so that one walk over a text's pieces (words and single other characters) finds them
+    all. A phrase is a whole word when a word boundary stands at both of its ends, also where it starts or ends with a mark."""
+
+    def __init__(self, phrases: list[str]):
+        self.by_first: dict[str, list[tuple[str, list[str]]]] = {}
+        for phrase in phrases:
+            pieces = PIECE.findall(phrase)
+            if pieces:
+                self.by_first.setdefault(pieces[0], []).append((phrase, pieces))
+
+    def count(self, text: str) -> dict[str, int]:
+        """Non-overlapping occurrences of each phrase that occurs."""
+        pieces = PIECE.findall(text)
+        word = lambda i: 0 <= i < len(pieces) and (pieces[i][0].isalnum() or pieces[i][0] == "_")
+        hits: dict[str, int] = {}
+        free: dict[str, int] = {}
+        for i, piece in enumerate(pieces):
+            for phrase, want in self.by_first.get(piece, ()):
+                end = i + len(want)
+                if i < free.get(phrase, 0) or pieces[i:end] != want or word(i) == word(i - 1) or word(end - 1) == word(end):
+                    continue
+                hits[phrase] = hits.get(phrase, 0) + 1
+                free[phrase] = end
+        return hits
+
+
+def _finder(index):
+    @arrow_udf("array<struct<phrase:string,hits:long>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"phrase": p, "hits": n} for p, n in index.value.count(t or "").items()])
+
+    return find
+
+
 def phrase_hits(df: DataFrame, id_col: str, text: str, phrases: DataFrame) -> DataFrame:
-    """(id, phrase, hits): whole-word, non-overlapping occurrences, found by an equi-join on word grams.
+    """(id, phrase, hits): whole-word, non-overlapping occurrences.
 
-    Text and phrases are cut into the same pieces (words and single separators), so a phrase of L
-    pieces is one L-gram. The set of lengths is tiny and read by the driver.
+    The phrase list is a lexicon. Up to PHRASES_A_PASS phrases travel to the tasks at once and the text is read once;
+    a longer list takes a pass for every part of it. Only hits leave a task, and no text is shuffled.
     """
-    table = phrases.select("phrase").distinct().withColumn("_pieces", F.regexp_extract_all("phrase", F.lit(PIECE), 0))
-    table = table.withColumn("_len", F.size("_pieces"))
-    lengths = sorted(r["_len"] for r in table.select("_len").distinct().toLocalIterator())
-    pieces = df.select(id_col, F.regexp_extract_all(F.lower(text), F.lit(PIECE), 0).alias("_p"))
-    grams = None
-    for n in lengths:
-        count = F.greatest(F.size("_p") - (n - 1), F.lit(0))
-        zipped = F.arrays_zip(*[F.slice("_p", i + 1, count) for i in range(n)])
-        joined = F.transform(zipped, lambda g: F.concat(*[g.getField(str(i)) for i in range(n)]))
-        part = pieces.select(id_col, F.lit(n).alias("_len"), F.posexplode(joined).alias("_pos", "phrase"))
-        part = part.filter(F.col("phrase").rlike(r"^[\p{L}\p{N}_]"))
-        grams = part if grams is None else grams.unionByName(part)
-    # a phrase can only overlap itself when a proper prefix is also its suffix
-    border = F.exists(F.sequence(F.lit(1), F.greatest(F.col("_len") - 1, F.lit(1))), lambda i: (i < F.col("_len")) & (
-        F.slice("_pieces", F.lit(1), i) == F.slice("_pieces", -i, i)))
-    hits = grams.join(table.select("phrase", "_len", border.alias("_border")), ["phrase", "_len"])
-    found = hits.groupBy(id_col, "phrase", "_len").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_border"), F.col("_pos")))).alias("_at"))
-    greedy = F.aggregate(
-        "_at", F.struct(F.lit(0).alias("c"), F.lit(-1).alias("free")),
-        lambda acc, p: F.when(p >= acc["free"], F.struct((acc["c"] + 1).alias("c"), (p + F.col("_len")).alias("free"))).otherwise(acc),
-        lambda acc: acc["c"])
-    return found.select(id_col, "phrase", F.when(F.size("_at") > 0, greedy).otherwise(F.col("n")).cast("long").alias("hits"))
+    rows, parts = phrases.select("phrase").filter("phrase is not null").distinct().toLocalIterator(), []
+    while part := [r["phrase"] for r in itertools.islice(rows, PHRASES_A_PASS)]:
+        parts.append(part)
+    out = None
+    for part in parts or [[]]:
+        find = _finder(df.sparkSession.sparkContext.broadcast(PhraseIndex(part)))
+        found = df.select(id_col, F.explode(find(F.lower(text))).alias("_h")).select(id_col, "_h.phrase", "_h.hits")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def slop_index(df: DataFrame, id_col: str, text: str, phrases: DataFrame) -> DataFrame:
