@@ -298,10 +298,12 @@ def ivf_pq_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | N
                   k: int = 10, item: str = "vec_id") -> DataFrame:
     """Coarse cells, product codes of the residuals; a query meets only the tiles of its nprobe best cells.
 
+    By default there are as many cells as the root of the number of vectors; ``nlist`` sets another number.
+
     A crowded cell is many tiles, so it spreads over tasks like any other data.
     """
     if nlist is None:
-        nlist = max(1, min(100, vectors.count() // 10))
+        nlist = max(1, round(vectors.count() ** 0.5))
     centers = train_codebooks(vectors, 1, nlist, item)[0]
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
