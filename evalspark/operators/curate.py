@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat, lists
-from ..functions.text import col, contains_folded, word_count
+from ..functions.text import col, contains_folded, ngrams, tokens, word_count
 from .ranking import first_per_key, lowest_per_key, top_k, with_scalars
 
 
@@ -28,6 +28,42 @@ def decontaminate(train: DataFrame, heldout: DataFrame, hash_col: str = "prompt_
     return train.join(heldout.select(hash_col).distinct(), hash_col, "left_anti")
 
 
+def holds_passage(df: DataFrame, heldout: DataFrame, id_col: str, text: str, held_text: str, n: int = 13) -> DataFrame:
+    """Distinct ids whose text shares a run of ``n`` words (lower-case letters, digits, apostrophes) with a held-out text.
+
+    Runs of the held-out side are distinct and usually few; Spark broadcasts them where their measured size allows, so
+    that no run of the corpus is shuffled.
+    """
+    runs = lambda d, c: F.explode(F.array_distinct(ngrams(tokens(c), n))).alias("_run")
+    held = heldout.select(runs(heldout, held_text)).distinct()
+    return df.select(id_col, runs(df, text)).join(held, "_run", "left_semi").select(id_col).distinct()
+
+
+def decontaminate_passages(df: DataFrame, heldout: DataFrame, id_col: str, text: str, held_text: str, n: int = 13) -> DataFrame:
+    """Rows that hold no passage of a held-out text."""
+    return df.join(holds_passage(df, heldout, id_col, text, held_text, n), id_col, "left_anti")
+
+
+def build_corpus(parts: Mapping[str, DataFrame], registry: DataFrame, banned: DataFrame, cap: int | None = None) -> DataFrame:
+    """(id, source, messages, content_hash) of a mixed corpus.
+
+    parts: per source format, raw records with id and source; each goes through the format's adapter. Records are then
+    capped per source, checked, freed of banned prompt hashes and deduplicated by content. What is compared and shuffled
+    are hashes and ids; conversations move once, to the join with the ids that stay.
+    """
+    from functools import reduce
+
+    from .normalize import get_adapter, validate_trajectories
+
+    raw = {kind: cap_per_source(part, cap, "id") if cap else part for kind, part in parts.items()}
+    adapted = reduce(DataFrame.unionByName, [get_adapter(kind)(part).select("id", "source", "messages") for kind, part in raw.items()])
+    valid, _ = validate_trajectories(adapted.join(registry.filter("enabled").select("source", "source_rank"), "source"))
+    hashed = with_hashes(valid)
+    clean = decontaminate(hashed.select("id", "source_rank", "prompt_hash", "content_hash"), banned)
+    kept = dedup_content(clean).select("id")
+    return hashed.join(kept, "id", "left_semi").select("id", "source", "messages", "content_hash")
+
+
 def select_mix(df: DataFrame, registry: DataFrame, mix: str = "blend", only: Sequence[str] | None = None,
                own_teacher: str = "local") -> DataFrame:
     """Rows of the sources a mix admits; an allow-list replaces the enabled flag."""

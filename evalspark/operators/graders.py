@@ -23,13 +23,12 @@ def graded(df: DataFrame, dimension: str, score: Column, threshold: float = GRAD
         "passed", F.col("score") >= threshold)
 
 
-def run_graders(df: DataFrame, graders: Sequence[Grader], key: Sequence[str]) -> DataFrame:
-    """Long table (key..., dimension, score, passed) of several graders over the same outputs."""
-    parts = [g(df).select(*key, "dimension", "score", "passed") for g in graders]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def run_graders(df: DataFrame, graders: Mapping[str, tuple[Column, float]], key: Sequence[str]) -> DataFrame:
+    """Long table (key..., dimension, score, passed) of several graders (score, threshold) in one scan of the outputs."""
+    grades = [
+        F.struct(F.lit(name).alias("dimension"), score.cast("double").alias("score"), (score.cast("double") >= least).alias("passed"))
+        for name, (score, least) in graders.items()]
+    return df.select(*key, F.explode(F.array(*grades)).alias("_g")).select(*key, "_g.*")
 
 
 def _fold(c: Column, case_sensitive: bool) -> Column:

@@ -249,3 +249,25 @@ def _(t: Tables):
         F.when(F.col("turn") % 4 == 0, F.lit(1)).otherwise(F.col("exit_code")).alias("sim_exit"))
     steps = graders.score_fidelity(c.select("conv_id", "turn", F.col("text").alias("stdout"), "exit_code"), sim, ["conv_id", "turn"])
     return rollups.fidelity_summary(steps.withColumn("conv", F.col("conv_id") % 10), ["conv"])
+
+
+@query("G_eval_run", f"""
+with o as (select doc_id // 2 as task_id, doc_id % 2 as trial, source as suite, text, lang from documents),
+g as (select task_id, trial, suite, 'contains' as dimension, contains(text, lang || 't')::int::double as score, contains(text, lang || 't') as passed from o
+  union all select task_id, trial, suite, 'all', {SQL_HITS} / 4, {SQL_HITS} / 4 >= 0.5 from o
+  union all select task_id, trial, suite, 'length', least(1.0, length(text) / 800), length(text) >= 600 from o),
+s as (select suite, task_id, trial, sum(score::decimal(28,10))::double / count(*) as score, bool_and(passed) as passed from g group by 1, 2, 3),
+k as (select suite, task_id, bool_and(passed) as all_passed, sum(score::decimal(28,10))::double / count(*) as avg_score, count(*) as trials from s group by 1, 2)
+select suite, count(*) as n_tasks, count(*) filter (where all_passed) as all_passed, sum(trials)::bigint as trials, floor(sum(avg_score::decimal(28,10))::double / count(*) * 1e6 + 0.5) / 1e6 as avg_score from k group by suite""")
+def _(t: Tables):
+    """A whole evaluation run: three graders in one scan, task scores per trial, pass^k per task, leaderboard per suite."""
+    rows = outputs(t).select((F.col("doc_id") / 2).cast("long").alias("task_id"), (F.col("doc_id") % 2).alias("trial"), F.col("source").alias("suite"), "text", "lang")
+    grades = graders.run_graders(rows, {
+        "contains": (graders.grade_contains("text", F.concat("lang", F.lit("t"))), 0.75),
+        "all": (graders.grade_all_of("text", items(), False), 0.5),
+        "length": (F.least(F.lit(1.0), F.length("text") / 800), 0.75)}, ["suite", "task_id", "trial"])
+    trials = grades.groupBy("suite", "task_id", "trial").agg(rollups.exact_mean("score").alias("score"), F.bool_and("passed").alias("passed"))
+    tasks = rollups.task_pass_k(trials, ["suite", "task_id"])
+    board = tasks.groupBy("suite").agg(
+        F.count(F.lit(1)).alias("n_tasks"), F.count_if("all_passed").alias("all_passed"), F.sum("trials").alias("trials"), rollups.exact_mean("avg_score").alias("m"))
+    return board.select("suite", "n_tasks", "all_passed", "trials", (F.floor(F.col("m") * 1e6 + 0.5) / 1e6).alias("avg_score"))

@@ -10,7 +10,7 @@ from ..operators import curate, normalize
 from ..session import work_dir
 from ..sources import writers
 from .registry import Tables, query
-from .views import SQL_HASHED, SQL_REGISTRY, SQL_TRIMMED, chats, registry, trajectories
+from .views import SQL_HASHED, SQL_REGISTRY, SQL_TRIMMED, chats, registry, source_of, trajectories
 
 def raw_role():
     return F.when(F.col("turn") % 7 == 6, "moderator").when(F.col("role") == "user", "human").when(
@@ -552,6 +552,15 @@ def _(t: Tables):
     return curate.decontaminate(docs.join(held_sources, "source", "left_anti"), held).select("doc_id", "source", "prompt_hash")
 
 
+@query("F4_decontaminate_passages", """
+with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') as w from documents), b as (select regexp_extract_all(lower(text), '[a-z0-9'']+') as w from benchmark),
+h as (select distinct array_to_string(w[i:i+12], ' ') as run from (select w, unnest(range(1, len(w) - 11)) as i from b)),
+g as (select doc_id, array_to_string(w[i:i+12], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d))
+select doc_id from documents where doc_id not in (select doc_id from g join h using (run))""")
+def _(t: Tables):
+    return curate.decontaminate_passages(t.texts.select("doc_id", "text"), t.benchmark.select(F.col("text").alias("held")), "doc_id", "text", "held").select("doc_id")
+
+
 @query("F5_select_mix", f"""with {SQL_REGISTRY}, c as (select distinct conv_id, 'src' || (conv_id % 5) as source from conversations),
 m as (select 'blend' as mix, source from registry where enabled union all select 'own', source from registry where enabled and teacher = 'local'
   union all select 'public', source from registry where enabled and teacher <> 'local' union all select 'only', source from registry where source in ('src4'))
@@ -688,6 +697,33 @@ def _(t: Tables):
     """Corpus build: records -> mix -> dedup -> versioned JSON lines and manifest."""
     reg = registry(t)
     mixed = curate.select_mix(trajectories(t).drop("source_rank"), reg).withColumn("id", F.col("conv_id"))
-    unique = curate.dedup_content(curate.with_hashes(mixed))
-    rows = unique.select("id", "source", "messages", "content_hash")
+    hashed = curate.with_hashes(mixed)
+    unique = curate.dedup_content(hashed.select("id", "source_rank", "content_hash")).select("id")
+    rows = hashed.join(unique, "id", "left_semi").select("id", "source", "messages", "content_hash")
     return writers.write_versioned(rows, reg.filter("enabled"), work_dir(t.spark, "corpus"), "v1")
+
+
+BUILD_CAP = 150
+
+
+@query("S9_corpus_build", f"""with {SQL_REGISTRY}, {SQL_HASHED},
+capped as (select conv_id from (select distinct conv_id from conversations) qualify row_number() over (partition by conv_id % 5 order by conv_id) <= {BUILD_CAP}),
+banned as (select prompt_hash from hashed where conv_id % 10 = 3),
+kept as (select h.* from hashed h join capped using (conv_id) join registry r using (source) where enabled and prompt_hash not in (select prompt_hash from banned)
+  qualify row_number() over (partition by content_hash order by source_rank, conv_id) = 1),
+n as (select source, count(*) as kept from kept group by 1)
+select 'v2' as version, 'blend' as mix, source, teacher, weight::double as weight, coalesce(kept, 0)::bigint as kept, (select count(*) from kept) as total
+from registry left join n using (source) where enabled""")
+def _(t: Tables):
+    """The whole build: each source in its own format through its adapter, then cap, check, decontamination by prompts of
+    an evaluation set, dedup, and the versioned write with its manifest."""
+    plain = chats(t).withColumn("id", F.col("conv_id"))
+    share = sharegpt_rows(t).withColumn("id", F.col("conv_id")).withColumn("source", source_of(F.col("conv_id")))
+    of = lambda df, *names: df.filter(F.col("source").isin(*names))
+    parts = {
+        "sharegpt": of(share, "src0", "src1"), "openai_messages": of(plain, "src2"),
+        "json_string_messages": of(plain, "src3", "src4").withColumn("messages", F.to_json("messages"))}
+    held = trajectories(t).filter("conv_id % 10 = 3").select(chat.prompt_hash("messages").alias("prompt_hash"))
+    reg = registry(t)
+    rows = curate.build_corpus(parts, reg, held, BUILD_CAP)
+    return writers.write_versioned(rows, reg.filter("enabled"), work_dir(t.spark, "corpus"), "v2")
