@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import col, words
 from . import tiles
 from .ranking import top_k
-from .tables import pattern_hits
+from .tables import pattern_hits, pattern_join
 
 RRF_K = 60
 
@@ -143,6 +143,11 @@ def grep_chunks(patterns: Mapping[str, str], chunks: DataFrame, n: int = 5, orde
     return top_k(pattern_hits(chunks, "content", usable), ["pattern"], [F.col(c) for c in order], n)
 
 
+def grep_table(patterns: DataFrame, chunks: DataFrame, n: int = 5, order: Sequence[str] = ("doc_id", "idx")) -> DataFrame:
+    """grep_chunks for a table (pattern, rx) of patterns."""
+    return top_k(pattern_join(chunks, "content", patterns, ignore_case=True), ["pattern"], [F.col(c) for c in order], n)
+
+
 def fetch_documents(ids: DataFrame, docs: DataFrame, max_chars: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents by id; the budget of the tool that shows them cuts longer texts behind a marker."""
     found = ids.select(doc_id).distinct().join(docs.select(doc_id, text), doc_id)

@@ -165,6 +165,28 @@ def _(t: Tables):
     return tables.pattern_hits(t.texts, "text", rx).groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+# a table of patterns made from the benchmark: its first words with any ending, and one that does not compile
+SQL_RX = """pt as (select item_id as pattern, '(^|\\s)' || regexp_extract(text, '[A-Za-z]+', 0) || '[a-z]*' as rx from benchmark)"""
+
+
+def pattern_table(t: Tables):
+    rx = F.concat(F.lit(r"(^|\s)"), F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("[a-z]*"))
+    good = t.benchmark.select(F.col("item_id").alias("pattern"), rx.alias("rx"))
+    return good.union(good.agg(F.lit(-1).cast("long"), F.lit("(oops")))
+
+
+@query("R9_grep_table", f"""with {SQL_CHUNKS}, {SQL_RX}
+select pattern, chunk_id, row_number() over (partition by pattern order by doc_id, idx) as rank from chunks, pt where regexp_matches(content, '(?i)' || rx) qualify rank <= 5""")
+def _(t: Tables):
+    return retrieval.grep_table(pattern_table(t), chunks(t)).select("pattern", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("J10_pattern_table", f"with {SQL_RX} select pattern, source, count(*) as n from documents, pt where regexp_matches(text, rx) group by 1, 2")
+def _(t: Tables):
+    hits = tables.pattern_join(t.texts.select("source", "text"), "text", pattern_table(t))
+    return hits.groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("R10_fetch_documents", """
 select doc_id, sha256(case when length(text) > 2000 then substr(text, 1, 2000) || chr(10) || '... [truncated]' else text end) as digest from documents where doc_id in (select doc_id from labels)""")
 def _(t: Tables):

@@ -136,6 +136,16 @@ def _(t: Tables):
                        documents.json_path_count("text", "shots").cast("long").alias("n_shots"))
 
 
+@query("N39_json_path_rows", """
+with e as (select event_id, event_id % 5 as m, regexp_extract(props, '[0-9]+', 0) as k from events)
+select event_id, m in (0, 2, 3) as ok, case when m in (1, 4) then 'none' when m = 3 and event_id % 2 = 0 then '3 days' else k end as value_text from e""")
+def _(t: Tables):
+    """Every row brings its own path."""
+    shots = F.when(F.col("event_id") % 2 == 0, "shots[-1]").otherwise("shots[0].k")
+    rows = json_outputs(t).withColumn("path", F.when(F.col("event_id") % 5 == 3, shots).when(F.col("event_id") % 5 == 2, "[0].k").otherwise("k"))
+    return documents.json_path_rows(rows, "text", "path", "none").select("event_id", "ok", "value_text")
+
+
 SQL_CODE = """c as (select doc_id, case doc_id % 3 when 0 then 'Draft:' || chr(10) || '```python' || chr(10) || 'def solve(x): pass' || chr(10) || '```' || chr(10) || 'Final:' || chr(10) || '```py' || chr(10) || 'def solve(y):' || chr(10) || ' return ' || doc_id || chr(10) || '```' || chr(10) || '```' || chr(10) || lang || repeat(source, 9) || chr(10) || '```'
   when 1 then '```' || chr(10) || source || chr(10) || '```' || chr(10) || '```' || chr(10) || text || chr(10) || '```' else text end as out from documents)"""
 
@@ -185,6 +195,26 @@ def _(t: Tables):
     return out.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "section_id", F.sha2("content", 256).alias("content"))
 
 
+SQL_MARKDOWN = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<head>.*?</head>|<!--.*?-->', '', 'g')"
+for _level in (1, 2, 3):
+    SQL_MARKDOWN = f"regexp_replace({SQL_MARKDOWN}, '(?i)<h{_level}(\\s[^>]*)?>', chr(10) || '{'#' * _level} ', 'g')"
+SQL_MARKDOWN = f"regexp_replace(regexp_replace({SQL_MARKDOWN}, '(?i)</(h[1-3]|p|div|li|tr)>|<br[^>]*>|<p>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _name, _mark in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+    SQL_MARKDOWN = f"replace({SQL_MARKDOWN}, '{_name}', {_mark})"
+SQL_MARKDOWN = f"regexp_replace(regexp_replace({SQL_MARKDOWN}, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n', chr(10), 'g')"
+
+
+@query("N34_html_sections", f"""with d as (select page_id, {SQL_MARKDOWN} as md from pages),
+x as (select page_id, regexp_extract_all(md, '\\n(#{{1,3}}\\s+[^\\n]+)\\n', 1) as h, string_split_regex(md, '\\n#{{1,3}}\\s+[^\\n]+\\n') as b from d),
+s as (select page_id, h, unnest(b) as body, generate_subscripts(b, 1) - 1 as ordinal from x),
+c as (select page_id, ordinal, len(h) > 0 as has, case when ordinal = 0 then cast(page_id as varchar) else trim(regexp_replace(trim(h[ordinal]), '^#+', '')) end as heading, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as body from s)
+select page_id, ordinal, case when has then page_id || '::' || heading || '::' || ordinal else cast(page_id as varchar) end as section_id,
+  sha256(case when has then heading || chr(10) || chr(10) || body else body end) as content from c where length(body) > 100""")
+def _(t: Tables):
+    out = documents.html_sections(t.pages.select("page_id", "html"))
+    return out.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "section_id", F.sha2("content", 256).alias("content"))
+
+
 @query("N35_extract_docstrings", """
 with d as (select doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body, text from documents)
 select doc_id, doc_id || '::module-doc' as entry_id, sha256(lang) as content from d where doc_id % 3 = 0
