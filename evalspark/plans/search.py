@@ -8,13 +8,23 @@ from ..functions.text import words
 from ..functions.vectors import cosine
 from ..operators import retrieval, sequences, tables
 from ..operators.ranking import with_scalars
+from ..session import work_dir
 from .registry import Tables, query
 
 K = 10
 
 
+def once(t: Tables, name: str, build):
+    """A table that a query uses several times: written to the shared folder at its first use and read from there."""
+    if name not in t.__dict__:
+        df, path = build(), work_dir(t.spark, name)
+        df.write.parquet(path)
+        t.__dict__[name] = t.spark.read.schema(df.schema).parquet(path)
+    return t.__dict__[name]
+
+
 def chunks(t: Tables):
-    return retrieval.chunk_sentences(t.texts.select("doc_id", "text"))
+    return once(t, "_chunks", lambda: retrieval.chunk_sentences(t.texts.select("doc_id", "text")))
 
 
 def with_vector(df, t: Tables, position):
@@ -25,9 +35,9 @@ def with_vector(df, t: Tables, position):
 
 
 def vectors(t: Tables):
-    """Chunk vectors, kept on all cores: scoring a row costs far more than its bytes suggest."""
-    rows = with_vector(chunks(t).select("chunk_id", "doc_id", "idx"), t, F.col("doc_id") * 7 + F.col("idx")).select("chunk_id", "vector")
-    return rows.repartition(t.spark.sparkContext.defaultParallelism, "chunk_id")
+    """Chunk vectors."""
+    rows = lambda: with_vector(chunks(t).select("chunk_id", "doc_id", "idx"), t, F.col("doc_id") * 7 + F.col("idx")).select("chunk_id", "vector")
+    return once(t, "_vectors", rows)
 
 
 def questions(t: Tables):
