@@ -146,3 +146,13 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     """Every document with its base figures, score and verdict; ratios come from these documents and labels."""
     counts = count_slots(docs.select("doc_id", "text"), trusted_sample(labels, max_trusted), buckets)
     return score_documents(docs, log_ratios(counts, buckets), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns.
+
+    The row number is there for the planner alone: without it the filter would be pushed below the projections, which
+    would work out the hash arrays again for every use of them in the condition.
+    """
+    judged = judge(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
