@@ -22,7 +22,7 @@ def test_solution(spark, max_rate):
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
     n = rng.integers(0, 500, 300)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>").repartition(3)
-    found = mixing.solve(members, [0.6, 0.3, 0.1], mu=1e-3, max_rate=max_rate, max_steps=400, tolerance=1e-7)
+    found = mixing.solve(members, [0.6, 0.3, 0.1], mu=1e-3, max_rate=max_rate, max_steps=200, tolerance=1e-6)
     want = plain(n, p, found.targets, 1e-3, max_rate)
     got = found.rates(p)
     share = n / n.sum()
