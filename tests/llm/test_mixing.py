@@ -53,3 +53,16 @@ def test_awkward_rows(spark):
     assert len(got) == 5 and len({(r.rate, r.copies) for r in got if r.doc_id == 1}) == 1 and found.misses[2] < -0.3
     assert [r.n_tokens for r in got if not r.text] == [0, 0]
     assert mixing.mix_to_targets(docs.limit(0), rows.limit(0), {"x": 1.0})[0].count() == 0
+
+
+@pytest.mark.parametrize("rare", [0, 2])
+def test_rare_domains_leave_the_others_alone(spark, caplog, rare):
+    """A domain that is absent, or has a thousandth of the tokens, does not decide how much of the corpus stays."""
+    rows = [(i, "the cat sat on the mat " * 10, "en") for i in range(2000)] + [(3000 + i, "der hund lag auf dem sofa " * 10, "de") for i in range(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 20 or doc_id >= 3000").select("doc_id")
+    out, found = mixing.mix_to_targets(docs, mixing.labelled(docs, labels, "lang"), ["de", "en", "fr"], max_rate=1.0)
+    got = out.collect()
+    assert sum(r.rate for r in got) > 0.99 * len(got) and min(r.rate for r in got if r.lang == "de" or not rare) > 0.95
+    assert found.targets[2] == 0 and (found.targets[0] > 0) == (rare > 0)
+    assert ("domain de" in caplog.text) == (rare > 0)  # has half of its target, and the miss is reported
