@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
-Each page is parsed twice. First its containers are scored by the prose they hold, and the best one's generalised
-tag-class path is the page's vote; Spark counts the votes per host. Then every page is read again and the blocks below
+Each page is parsed twice. First its containers are scored by the prose they hold. The best one is widened to the
+article or main element around it, else to the highest ancestor that adds little but prose and headings, and the
+generalised tag-class path of that is the page's vote; Spark counts the votes per host. Then every page is read again and the blocks below
 its host's winning path are its text. A page that lacks the winner uses the runners-up, then its own best container,
 then whatever prose it has, so no page stays empty for the sake of its host.
 
@@ -28,6 +29,8 @@ from .common import stored
 from .urls import host_of
 
 RUNNERS_UP = 4
+PROSE_FROM = 40  # characters of a block that counts as prose around the best container
+PROSE_SHARE = 0.75  # of what an ancestor adds
 
 # Element names by their role, and the class words of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,12 +65,14 @@ class Page:
     def __init__(self, html: str):
         self.parents: list[int] = []
         self.paths: list[str] = []
-        self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters in links, in a list item
+        self.tags: list[str] = []
+        self.blocks: list[tuple[int, str, int, bool, bool]] = []  # container, text, characters in links, in a list item, heading
         self._parse(html)
 
     def _open(self, parent: int, tag: str, classes: list[str]) -> int:
         words = sorted({DIGITS.sub("#", c) for c in classes})
         self.parents.append(parent)
+        self.tags.append(tag)
         self.paths.append((self.paths[parent] if parent >= 0 else "") + "/" + ".".join([tag, *words]))
         return len(self.paths) - 1
 
@@ -83,11 +88,11 @@ class Page:
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((owner, text, min(link, len(text)), in_item))
+                    self.blocks.append((owner, text, min(link, len(text)), in_item, heading))
                 parts.clear()
             link = 0
 
-        owner, in_item = 0, False
+        owner, in_item, heading = 0, False, False
         find, end = TAG.search, len(html)
         while at < end:
             m = find(html, at)
@@ -97,6 +102,7 @@ class Page:
                 if not skipped and (not headings or tag in HEADINGS or any(s[0] in HEADINGS for s in stack[-4:])):
                     if not parts:
                         owner, in_item = container, item
+                        heading = any(s[0] in HEADINGS for s in stack[-4:])
                     raw = html[at:start]
                     text = references.unescape(raw) if "&" in raw else raw
                     parts.append(text)
@@ -178,23 +184,47 @@ def _furniture(tag: str, classes: list[str], attributes: dict[str, str], raw: st
 
 
 def container_scores(page: Page) -> list[float]:
-    """Prose of every container: its own blocks in full, those of its child containers by half; links count against it."""
+    """Prose of every container: its own blocks in full, and half the score of each child container; links count against it."""
     scores = [0.0] * len(page.paths)
-    for owner, text, link, item in page.blocks:
+    for owner, text, link, item, _ in page.blocks:
         worth = len(text) - 2 * link + 10 * text.count(",")
         if worth > 0:
-            worth *= 0.5 if item else 1.0
-            scores[owner] += worth
-            if page.parents[owner] >= 0:
-                scores[page.parents[owner]] += worth / 2
+            scores[owner] += worth * (0.5 if item else 1.0)
+    for i in range(len(scores) - 1, 0, -1):  # parents come before their children
+        scores[page.parents[i]] += scores[i] / 2
     return scores
 
 
+def widened(page: Page, best: int) -> int:
+    """The article or main element around ``best``, else its highest ancestor that adds little but prose and headings."""
+    at = best
+    while at >= 0:
+        if page.tags[at] in ("article", "main"):
+            return at
+        at = page.parents[at]
+    size, good = [0] * len(page.paths), [0] * len(page.paths)
+    for owner, text, link, _, heading in page.blocks:
+        size[owner] += len(text)
+        if heading or (len(text) >= PROSE_FROM and 2 * link < len(text)):
+            good[owner] += len(text)
+    for i in range(len(size) - 1, 0, -1):
+        size[page.parents[i]] += size[i]
+        good[page.parents[i]] += good[i]
+    at = page.parents[best]
+    while at >= 0:
+        added = size[at] - size[best]
+        if added and good[at] - good[best] < PROSE_SHARE * added:
+            break
+        best = at if added else best
+        at = page.parents[at]
+    return best
+
+
 def best_container(page: Page) -> int | None:
-    """The container with most prose; of equals the innermost, which comes later."""
+    """The container with most prose (of equals the innermost, which comes later), widened to the whole article."""
     scores = container_scores(page)
     best = max(range(len(scores)), key=lambda i: (scores[i], i))
-    return best if scores[best] > 0 else None
+    return widened(page, best) if scores[best] > 0 else None
 
 
 def text_below(page: Page, wanted) -> str:
@@ -202,7 +232,7 @@ def text_below(page: Page, wanted) -> str:
     inside = [False] * len(page.paths)
     for i, parent in enumerate(page.parents):  # parents come before their children
         inside[i] = wanted(i) or (parent >= 0 and inside[parent])
-    return "\n".join(text for owner, text, _, _ in page.blocks if inside[owner])
+    return "\n".join(text for owner, text, *_ in page.blocks if inside[owner])
 
 
 def main_text(html: str | None, winners: list[str]) -> str:

@@ -52,3 +52,19 @@ def test_hosts_agree_on_a_path(spark):
         want = {7: "", 8: "alone", 9: "unlike the others"}.get(r.page_id, PROSE.strip())
         assert r.text == want and r.n_chars == len(want) and r.path == 1
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_whole_article_is_kept(spark):
+    """Title and lead outside the body, and sections of different classes, with and without an article element."""
+    parts = {
+        "a": "<h1>Title</h1><p>{p}lead</p><div class='entry-content'><p>{p}{p}{p}</p></div>",
+        "b": "<div class='intro'><h2>One</h2><div class='x'><p>{p}</p></div></div><div class='more'><h2>Two</h2><div class='y'><p>{p}{p}</p></div></div>"}
+    rows = []
+    for k, part in parts.items():
+        for tag in ("article", "div class='post'"):
+            body = f"<{tag}>{part.format(p=PROSE)}</{tag.split()[0]}><div class='links'><a href=a>{PROSE}</a><a href=b>more</a></div>"
+            rows += [(len(rows), f"http://{k}-{tag[:3]}.example.com/{i}", page(body)) for i in range(3)]
+    prose = PROSE.strip()
+    want = {"a": ["Title", f"{PROSE}lead", f"{PROSE * 3}".strip()], "b": ["One", prose, "Two", f"{PROSE * 2}".strip()]}
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.split("\n") == want[r.url[7]], r.url
