@@ -6,7 +6,8 @@ similarity is at least ``percent`` hundredths. Documents with equal sets form a
 Finding candidates. Linked sets share a token among the first ``size - ceil(size * percent / 100) + 1`` in any common
 order, so classes are brought together by those tokens: the top of the tree is a shuffle, not a traversal. The order
 puts the corpus' frequent tokens last (a bounded table, found by counting all documents), so passages that many
-documents share bring few of them together. Blocks with the same members count once.
+documents share bring few of them together. Blocks with the same members count once. The classes of a token that more
+than ``tile`` documents hold are dealt over tiles, and every pair of tiles is a block of its own.
 
 Pruning. Every class carries a bitmap of its tokens, about a bit for each, and its size. In a block, classes of
 neighbouring sizes are packed into a tree whose nodes hold OR-combined bitmaps and size ranges, and the tree is
@@ -14,8 +15,8 @@ traversed against itself: a pair of nodes is given up when its sizes cannot meet
 bitmaps allow is too small. What survives connects classes into clusters; a block emits a spanning forest, not pairs.
 
 Checking. The texts of each cluster are read again, once per class; a tree with eight bits a token and then the sets
-themselves decide, skipping pairs that are connected already. A cluster beyond ``tile`` classes is cut into tiles
-that meet pairwise in tasks of their own. The result is exact but for collisions of 64-bit hashes.
+themselves decide, skipping pairs that are connected already. A cluster beyond ``tile`` classes, or some millions of
+tokens, is cut into tiles that meet pairwise in tasks of their own. The result is exact but for collisions of 64-bit hashes.
 
 Edge cases. Fewer than ``n`` words make one shingle; no words or a null text make an empty set, linked with nothing.
 A component is named by its smallest doc_id; rows with a null doc_id link like others and are named by their partners.
@@ -299,8 +300,8 @@ def _gathered(lists, limit: int):
         yield held
 
 
-def frequent_tokens(docs: DataFrame, n: int = N, limit: int = MAX_FREQUENT, least: int = FREQUENT_FROM) -> np.ndarray:
-    """At most ``limit`` tokens, those in most documents. Tasks send what they see three times in some millions of tokens.
+def frequent_tokens(docs: DataFrame, n: int = N, limit: int = MAX_FREQUENT, least: int = FREQUENT_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``limit`` tokens, those in most documents, and how many. Tasks send what they see three times in some millions of tokens.
 
     Any choice leaves the join exact; it only decides which tokens come last in the order.
     """
@@ -312,26 +313,53 @@ def frequent_tokens(docs: DataFrame, n: int = N, limit: int = MAX_FREQUENT, leas
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(sizes[often].astype(np.int64))], names=["token", "n"])
 
     counted = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    best = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(limit).select("token")
-    return np.sort(best.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
+    best = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    tokens, sizes = best.column("token").to_numpy().astype(np.int64).view(np.uint64), best.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], sizes[order]
+
+
+def tiles_of(tokens: np.ndarray, frequent: np.ndarray, sizes: np.ndarray, tile: int) -> np.ndarray:
+    """Over how many tiles the classes of each token are dealt: a power of two, so that like tokens have like blocks."""
+    tiles = np.ones(len(tokens), np.int64)
+    if len(frequent) and len(tokens):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        hot = (frequent[at] == tokens) & (sizes[at] > tile)
+        tiles[hot] = 1 << np.ceil(np.log2(sizes[at][hot] / tile)).astype(np.int64)
+    return tiles
+
+
+def dealt(tokens: np.ndarray, cls: np.ndarray, tiles: np.ndarray):
+    """(token, cls) with a row for every pair of tiles that a class takes part in, the token renamed by the pair; in bounded parts."""
+    part = np.cumsum(tiles) // TOKENS_AT_ONCE
+    for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(tokens)])))):
+        t = tiles[a:b]
+        if (t == 1).all():
+            yield tokens[a:b], cls[a:b]
+            continue
+        own = np.repeat((mixed(cls[a:b].view(np.uint64)) % t.astype(np.uint64)).astype(np.int64), t)
+        other = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+        every = np.repeat(tokens[a:b], t)
+        yield np.where(np.repeat(t, t) > 1, mixed(every + mixed(pair + U(1))), every), np.repeat(cls[a:b], t)
 
 
-def profiles(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per document: key (id and text hash), class, size, bitmap and packed prefix tokens."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
-    names = ["doc_id", "doc_key", "text_key", "cls", "size", "bits", "prefix"]
+def profiles(docs: DataFrame, frequent, n: int = N, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """Per document: key (id and text hash), class, size, bitmap, packed prefix tokens and how many rows of blocks they make."""
+    names = ["doc_id", "doc_key", "text_key", "cls", "size", "bits", "prefix", "spread"]
 
     def profile(batches):
-        late = frequent.value
+        late, held = frequent.value
         for batch in batches:
             sets = token_sets(batch.column("text").to_pylist(), n)
+            prefixes = [prefix_of(s, late, percent) for s in sets]
             columns = [
                 pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bitmap(s, width_for(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                pa.array([prefix_of(s, late, percent).tobytes() for s in sets], pa.binary())]
+                pa.array([p.tobytes() for p in prefixes], pa.binary()), pa.array([int(tiles_of(p, late, held, tile).sum()) for p in prefixes], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *columns], names=names)
 
-    return keyed(docs).mapInArrow(profile, "doc_id bigint, doc_key bigint, text_key bigint, cls bigint, size bigint, bits binary, prefix binary")
+    return keyed(docs).mapInArrow(profile, "doc_id bigint, doc_key bigint, text_key bigint, cls bigint, size bigint, bits binary, prefix binary, spread bigint")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -347,26 +375,31 @@ def _rows(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [tokens, np.repeat(batch.column("cls").to_numpy(), [len(p) for p in prefixes])]
 
 
-def blocks(rows: DataFrame, buckets: int) -> DataFrame:
+def blocks(rows: DataFrame, buckets: int, frequent, tile: int = TILE) -> DataFrame:
     """(block, cls): the distinct member lists of tokens that two classes or more have in their prefixes.
 
+    A hot token's classes are dealt over pairs of tiles before they travel, so no list is much longer than two tiles.
     Tokens travel packed, a bucket of them in a row per batch, twelve to sixteen bytes each and no row overhead.
     """
 
     def pack(batches):
+        late, held = frequent.value
         for rows in _gathered((_rows(b) for b in batches), TOKENS_AT_ONCE):
-            tokens, cls = np.concatenate(rows[0::2]).view(np.uint64), np.concatenate(rows[1::2])
-            bucket = (mixed(tokens) % U(buckets)).astype(np.int64)
-            order = np.lexsort((cls, tokens, bucket))
-            bucket, tokens, cls = bucket[order], tokens[order], cls[order]
-            if not len(tokens):
+            found, holders = np.concatenate(rows[0::2]).view(np.uint64), np.concatenate(rows[1::2])
+            if not len(found):
                 continue
-            fresh = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])))
-            bucket, tokens, cls = bucket[fresh], tokens[fresh], cls[fresh]
-            cut = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[cut[:-1]], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                pa.array([cls[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "tokens", "cls"])
+            order = np.lexsort((holders, found))
+            found, holders = found[order], holders[order]
+            fresh = np.concatenate(([True], (found[1:] != found[:-1]) | (holders[1:] != holders[:-1])))
+            found, holders = found[fresh], holders[fresh]
+            for tokens, cls in dealt(found, holders, tiles_of(found, late, held, tile)):
+                bucket = (mixed(tokens) % U(buckets)).astype(np.int64)
+                order = np.lexsort((cls, tokens, bucket))
+                bucket, tokens, cls = bucket[order], tokens[order], cls[order]
+                cut = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[cut[:-1]], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                    pa.array([cls[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "tokens", "cls"])
 
     def meet(group: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()])
@@ -460,28 +493,31 @@ def check_clusters(rows: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
 
 
 def _tiled(clusters: DataFrame, tile: int) -> DataFrame:
-    """(id, component) -> (id, task): small clusters as they are, of large ones every pair of tiles in a task of its own."""
-    sized = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    """(id, component, size, ...) -> (id, task, ...): small clusters as they are, of large ones every pair of tiles in a task of its own."""
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("size") / TOKENS_AT_ONCE)).cast("int")
+    sized = clusters.groupBy("component").agg(tiles.alias("tiles"))
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.xxhash64("component", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
     placed = clusters.join(sized, "component").withColumn("own", own)
-    return placed.select("id", F.explode(F.when(F.col("tiles") == 1, F.array("component")).otherwise(others)).alias("task"))
+    tasks = F.explode(F.when(F.col("tiles") == 1, F.array("component")).otherwise(others))
+    return placed.withColumn("task", tasks).drop("component", "size", "tiles", "own")
 
 
 def similarity_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = stored(profiles(docs.select("doc_id", "text"), n, percent), "profiles")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
+    every = stored(profiles(docs.select("doc_id", "text"), frequent, n, percent, tile), "profiles")
     sets = every.where("size > 0")
     classes = stored(sets.groupBy("cls").agg(
         F.min(F.struct("doc_key", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.max("size").alias("size"), F.max("bits").alias("bits")), "classes")
 
-    tokens = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()[0]
-    together = stored(blocks(sets, max(width, int(tokens // TOKENS_PER_BUCKET))), "blocks")
+    tokens = sets.agg(F.coalesce(F.sum("spread"), F.lit(0))).first()[0]
+    together = stored(blocks(sets, max(width, int(tokens // TOKENS_PER_BUCKET)), frequent, tile), "blocks")
     members = together.join(classes.select("cls", "size", "bits"), "cls").repartition("block").sortWithinPartitions("block")
     clusters = components(prune_blocks(members, percent))
 
-    wanted = _tiled(clusters, tile).join(classes.select(F.col("cls").alias("id"), "first.*"), "id")
+    wanted = _tiled(stored(clusters.join(classes.select(F.col("cls").alias("id"), "size", "first.*"), "id"), "clusters"), tile)
     # the wanted rows grow with the corpus, so this join is a shuffle of both sides at every size
     texts = keyed(docs).join(stored(wanted, "wanted").hint("merge"), ["doc_key", "text_key"]).select("task", F.col("id").alias("cls"), "text")
     links = check_clusters(texts.repartition("task").sortWithinPartitions("task"), n, percent)
