@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, mixing, neighbours, quality, toxicity, urls, warc
+from . import bpe, chat, html, jaccard, mixing, neighbours, phrases, quality, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,29 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every twentieth embedding, among all embeddings."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
+@query("op13_phrase_collocations", oracle=r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws from p),
+f as (
+  select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest([1, 2, 3]) as k)) group by 1, 2, 3),
+n as (select lang, sum(len(ws))::bigint as n from w group by 1),
+o as (select lang, k, phrase, f, string_split(phrase, ' ') as ws from f where f >= 10),
+cover as (
+  select lang, phrase, max(f) as best from (
+    select lang, array_to_string(ws[1:2], ' ') as phrase, f from o where k = 3 union all select lang, array_to_string(ws[2:3], ' '), f from o where k = 3) group by 1, 2),
+c as (select o.* from o left join cover using (lang, phrase) where k >= 2 and (k = 3 or best is null or 100 * best < 50 * f)),
+cuts as (select lang, phrase, f as a, j, array_to_string(ws[1:j], ' ') as p1, array_to_string(ws[j + 1:], ' ') as p2 from (select *, unnest(range(1, k)) as j from c)),
+s as (
+  select c.lang, c.phrase, a, j, x.f as l, y.f as r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join o x on x.lang = c.lang and x.phrase = c.p1 join o y on y.lang = c.lang and y.phrase = c.p2),
+m as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from m join n using (lang)
+qualify rank <= 2000""")
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of 2 to 3 words of every language."""
+    found = phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
