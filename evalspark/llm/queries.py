@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, mixing, neighbours, phrases, quality, toxicity, urls, warc
+from . import bpe, chat, html, jaccard, mixing, neighbours, phrases, quality, repair, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,55 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of 2 to 3 words of every language."""
     found = phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_conversation_repair", oracle=r"""
+with recursive crc(t) as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) from range(256) r(i)),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (
+  select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as fault from k, crc),
+g as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from h, (select unnest([0, 1]) as copy) where fault <> 0 and (copy = 0 or fault = 3)),
+e as (select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from g),
+o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, nth) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text, nth) as before from e),
+f as (select *, case when body = '' then 'b' when nth > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '-' end as mark, left(role, 1) as g from o),
+stats as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (mark = 'b') as blank,
+    count(*) filter (mark = 'd') as duplicate, count(*) filter (mark = 't') as truncated,
+    count(*) filter (before is not null and left(before, 1) || g not in ('su', 'ua', 'au')) as illegal from f group by 1),
+dp as (
+  select conv_id, 0::bigint as i, {'c': 0, 'a': '', 'r': ''} as z, {'c': 1000000, 'a': '', 'r': ''} as s,
+    {'c': 2, 'a': 'I', 'r': chr(10) || 'user:'} as u, {'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} as a
+  from (select distinct conv_id from f)
+  union all
+  select conv_id, i, z, s, u, least(a, {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}) from (
+    select conv_id, i, z, s, a, least(u, {'c': z.c + 2, 'a': z.a || 'I', 'r': z.r || chr(10) || 'user:'}, {'c': s.c + 2, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'},
+      {'c': a.c + 2, 'a': a.a || 'I', 'r': a.r || chr(10) || 'user:'}) as u
+    from (
+      select dp.conv_id, f.i, {'c': z.c + 3, 'a': z.a || 'D', 'r': z.r} as z,
+        least({'c': s.c + 3, 'a': s.a || 'D', 'r': s.r}, {'c': z.c + tr + case when g = 's' then 0 else 1000000 end, 'a': z.a || 'K', 'r': z.r || chr(10) || role || ':' || text}) as s,
+        least({'c': u.c + 3, 'a': u.a || 'D', 'r': u.r},
+          {'c': z.c + tr + case when g = 'u' then 0 else 1000000 end, 'a': z.a || 'K', 'r': z.r || chr(10) || role || ':' || text},
+          {'c': s.c + tr + case when g = 'u' then 0 else 1000000 end, 'a': s.a || 'K', 'r': s.r || chr(10) || role || ':' || text},
+          {'c': a.c + tr + case when g = 'u' then 0 else 1000000 end, 'a': a.a || 'K', 'r': a.r || chr(10) || role || ':' || text},
+          {'c': z.c + tr + 2, 'a': z.a || 'R', 'r': z.r || chr(10) || 'user:' || text}, {'c': s.c + tr + 2, 'a': s.a || 'R', 'r': s.r || chr(10) || 'user:' || text},
+          {'c': a.c + tr + 2, 'a': a.a || 'R', 'r': a.r || chr(10) || 'user:' || text}) as u,
+        least({'c': a.c + 3, 'a': a.a || 'D', 'r': a.r},
+          {'c': u.c + tr + case when g = 'a' then 0 else 1000000 end, 'a': u.a || 'K', 'r': u.r || chr(10) || role || ':' || text},
+          {'c': u.c + tr + 2, 'a': u.a || 'R', 'r': u.r || chr(10) || 'assistant:' || text}) as a
+      from dp join (select *, case mark when 't' then 1 when '-' then 0 else 1000000 end as tr from f) f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1))),
+best as (select dp.conv_id, least(z, a) as b from dp join stats on dp.conv_id is not distinct from stats.conv_id and dp.i = stats.n)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(b.r[2:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) ids left join stats on ids.conv_id is not distinct from stats.conv_id
+left join best on ids.conv_id is not distinct from best.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the digest of the repaired turns."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audit(repair.damaged(conversations), conversations).drop("n_rows")
