@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, mixing, neighbours, phrases, quality, repair, toxicity, urls, warc
+from . import bpe, bytenet, chat, html, jaccard, mixing, neighbours, phrases, quality, repair, toxicity, urls, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, its cheapest repair and the digest of the repaired turns."""
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.audit(repair.damaged(conversations), conversations).drop("n_rows")
+
+
+@query("op11_byte_network")
+def op11_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of the held-out quarter are never read."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = bytenet.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return bytenet.score(docs, network).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
