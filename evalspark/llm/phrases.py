@@ -39,7 +39,7 @@ from .common import stored
 UNKNOWN = "und"
 MAP_BITS = 28
 PART_BYTES = 16 << 20
-HELD = 4_000_000  # n-grams a task adds up before it sends a summary
+HELD = 2_000_000  # n-grams a task adds up before it sends a summary
 KEY_BITS = 32
 SALTS = 16
 
@@ -287,7 +287,7 @@ def _span(phrase: Column, first: int | Column, n: int | Column) -> Column:
 
 
 def collocations(frequent: DataFrame, least: int = 2, most: int = 3, share: int = 50) -> DataFrame:
-    """Candidates that no longer candidate covers, with their weakest cut: lang, phrase, words, a, l, r, n, score.
+    """Candidates that no longer candidate covers, with their weakest cut: lang, phrase, words, a, l, r, score.
 
     ``frequent`` is the result of ``frequent_ngrams``. A candidate goes if a longer one that holds its words has at
     least ``share`` percent of its occurrences.
@@ -318,8 +318,7 @@ def collocations(frequent: DataFrame, least: int = 2, most: int = 3, share: int
     score = "(cast(1000000 as {0}) * cast(a as {0}) * cast(a as {0})) div (cast(l{1} as {0}) * cast(r{1} as {0}))"
     scored = [F.when(F.col("words") > k, F.struct(F.expr(score.format(wide, k)).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in where_cut]
     weakest = found.withColumn("cut", F.array_min(F.array(*scored)))
-    totals = frequent.where("words = 0").select("lang", F.col("f").alias("n"))
-    return weakest.select("lang", "phrase", "words", "a", "cut.l", "cut.r", "cut.score").join(totals, "lang")
+    return weakest.select("lang", "phrase", "words", "a", "cut.l", "cut.r", "cut.score")
 
 
 def ranked(found: DataFrame, top: int = 2000) -> DataFrame:
@@ -329,5 +328,7 @@ def ranked(found: DataFrame, top: int = 2000) -> DataFrame:
 
 
 def mine(docs: DataFrame, least: int = 2, most: int = 3, threshold: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
-    """Phrase collocations of every language of ``docs`` (lang, text)."""
-    return ranked(collocations(frequent_ngrams(docs, most=most, threshold=threshold), least, most, share), top)
+    """The first ``top`` phrase collocations of every language of ``docs`` (lang, text), with n, the language's words."""
+    frequent = frequent_ngrams(docs, most=most, threshold=threshold)
+    totals = frequent.where("words = 0").select("lang", F.col("f").alias("n"))
+    return ranked(collocations(frequent, least, most, share), top).join(totals, "lang")
