@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, words
-from . import tiles
+from . import keyword_index, tiles
 from .ranking import top_k
 from .tables import pattern_hits, pattern_join
 
@@ -41,26 +41,11 @@ def chunk_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Distinct query terms present / (words + 50), positive scores only, ties by chunk id.
 
-    Chunks stay where they are: each task scores its chunk tiles against query tiles (64-bit term
-    hashes, counted with one matrix product) and passes on k rows per query. (query, chunk) pairs are
-    never rows, however common a term is.
+    Chunks stay where they are: each task turns its chunks into inverted segments, scores the blocks of them that can
+    still win (``keyword_index``), and passes on k rows per query. (query, chunk) pairs are never rows, however common a
+    term is.
     """
-    def hashed(text: str):
-        return F.array_distinct(F.transform(words(F.lower(F.col(text))), lambda w: F.xxhash64(w)))
-
-    asked = queries.select("query_id", F.lit(0).alias("n_words"), hashed("query").alias("terms")).filter(F.size("terms") > 0)
-    held = chunks.select("chunk_id", words(F.lower("content")).alias("_w")).select(
-        "chunk_id", F.size("_w").alias("n_words"), F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w))).alias("terms"))
-    pairs = tiles.tile_pairs(
-        tiles.pack_terms(held.filter(F.size("terms") > 0), "chunk_id", "n_words", "terms", tiles.ROWS, 1 << 18),
-        tiles.pack_terms(asked, "query_id", "n_words", "terms", 256, 1 << 14))
-
-    def score(row):
-        hits = tiles.shared_terms(row).astype(np.float64)
-        return np.where(hits > 0, hits / (np.frombuffer(row.l_weights, np.int64) + 50), -np.inf)
-
-    best = tiles.top_scores(pairs, k, score, dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"], digits=None)
-    return top_k(best.withColumnRenamed("item", "chunk_id"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    return keyword_index.search(queries, keyword_index.index_rows(chunks), k).drop("read", "scored")
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, item: str = "chunk_id", exclude: str | None = None) -> DataFrame:

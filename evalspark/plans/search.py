@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import cosine
-from ..operators import retrieval, sequences, tables
+from ..operators import keyword_index, retrieval, sequences, tables
 from ..operators.ranking import with_scalars
 from ..session import work_dir
 from .registry import Tables, query
@@ -78,6 +78,15 @@ def _(t: Tables):
     return listed(retrieval.keyword_search(questions(t), chunks(t), K))
 
 
+@query("R2_stored_index", f"{SQL_BASE} select query_id, chunk_id, round(score, 9) as score, rank from kw where rank <= {K} and query_id % 7 = 0")
+def _(t: Tables):
+    """A seventh of the questions against an index that is written once and read by the buckets of their terms."""
+    path = work_dir(t.spark, "keyword_index")
+    keyword_index.write_index(chunks(t), path)
+    asked = questions(t).filter("query_id % 7 = 0")
+    return listed(keyword_index.search(asked, keyword_index.read_index(t.spark, path, asked), K))
+
+
 @query("R3_dense_search", f"{SQL_BASE} select query_id, chunk_id, score, rank from dn where rank <= {K}")
 def _(t: Tables):
     return listed(retrieval.dense_search(questions(t), vectors(t), K))

@@ -1,8 +1,8 @@
 """Windowed rates, ratios, quantiles and alert conditions, as streams and as their batch twins.
 
 Stateful streams hold rows back until the watermark has passed them and then take them in event-time order, so results
-do not depend on how the input is cut into micro-batches. Rows behind the watermark are dropped: by Spark in windows,
-by ``in_event_time`` in the stateful operators. Streams that append end with the last watermark: what is younger than
+do not depend on how the input is cut into micro-batches. Rows behind the watermark are dropped by Spark in windows; the
+stateful operators put them out in the column ``late_us``. Streams that append end with the last watermark: what is younger than
 it, open windows included, is not out yet.
 """
 
@@ -13,15 +13,19 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ranking import running_max, values_at_ranks, with_previous, with_scalars
 from ..session import work_dir
 
 DELAY = "10 minutes"
+MINUTE_US = 60_000_000
+LATE = "late_us"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20, one_file: bool = False) -> DataFrame:
-    """A Parquet table as a file stream with a watermark on ts.
+def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20, one_file: bool = False, delay: str | None = DELAY) -> DataFrame:
+    """A Parquet table as a file stream with a watermark on ts, or without one where ``delay`` is None.
 
     Micro-batches end after the file that passes ``batch_bytes``, or hold one file each; results do not depend on it.
     The path is given as a pattern so that a table of one file works like a folder of files.
@@ -29,12 +33,14 @@ def event_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20, o
     schema = spark.read.parquet(path).schema
     limit = ("maxFilesPerTrigger", 1) if one_file else ("maxBytesPerTrigger", batch_bytes)
     raw = spark.readStream.schema(schema).option(*limit).parquet(f"{path[:-1]}[{path[-1]}]")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
+    rows = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows if delay is None else rows.withWatermark("ts", delay)
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available into a Parquet table and read it back."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, written as changes; asked for by transformWithState
     out, marks = work_dir(spark, label), work_dir(spark, f"{label}_marks")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -57,51 +63,128 @@ def counter_steps(samples: DataFrame, key: str, value: str, tie: str) -> DataFra
     return prev.filter(F.col(f"prev_{value}").isNotNull()).select(key, "ts", step.alias("step"))
 
 
-def in_event_time(samples: DataFrame, key: str, columns: str, output: str, memory: str, step: Callable, alarm: Callable | None = None) -> DataFrame:
-    """Run ``step`` over the rows of each series in event-time order.
+class _EventTime(StatefulProcessor):
+    """Rows of one series in event-time order; see ``in_event_time``.
 
-    samples has key, ts, us (microseconds) and the columns of ``columns`` (DDL; the first one breaks ties). ``step``
-    takes the remembered tuple (or None) and a row (us, *columns) and gives the new tuple and rows to emit. ``alarm``
-    takes the tuple and the watermark in microseconds and gives the same when time alone has passed, plus the time at
-    which to ask again. State per series: the rows younger than the watermark, and one tuple.
+    Young rows lie in a map by (minute, part); every micro-batch adds parts of its own, so rows are written once and read
+    once. Only the minute in which the watermark stands may be written again.
     """
-    names = [c.split()[0] for c in columns.split(", ")]
-    kinds = [c.split()[1] for c in columns.split(", ")]
 
-    size, fields = len(names) + 1, len(memory.split(", "))
-
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows, remembered = [], None
-        if state.exists:
-            kept = state.get
-            rows = list(zip(*(list(c) for c in kept[:size])))
-            remembered = tuple(kept[size + 1:]) if kept[size] else None
-        mark = state.getCurrentWatermarkMs() * 1000
-        for pdf in batches:
-            if len(pdf):
-                rows += [r for r in pdf[["us", *names]].itertuples(index=False, name=None) if r[0] > mark]
-        rows.sort(key=lambda r: r[:2])
-        ready = [r for r in rows if r[0] <= mark]
-        out = []
-        for r in ready:
-            remembered, found = step(remembered, r)
-            out += found
-        rest = rows[len(ready):]
-        wake = [rest[0][0]] if rest else []
-        if alarm is not None and remembered is not None:
-            remembered, found, again = alarm(remembered, mark)
+    def __init__(self, key: str, names: Sequence[str], kinds: Sequence[str], output: str, memory: str, step: Callable, alarm: Callable | None):
+        self.key, self.names, self.kinds, self.memory_ddl, self.step, self.alarm = key, names, kinds, memory, step, alarm
+        self.columns = [c.split()[0] for c in output.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        arrays = ", ".join(f"{n} array<{kind}>" for n, kind in zip(["us", *self.names], ["long", *self.kinds]))
+        self.held = handle.getMapState("held", "minute long, part int", arrays)
+        self.parts = handle.getMapState("parts", "minute long", "n int")
+        self.memory = handle.getValueState("memory", self.memory_ddl)
+        self.wake = handle.getValueState("wake", "at_ms long")
+
+    def _put(self, minute: int, part: int, rows: list[tuple]) -> None:
+        self.held.updateValue((minute, part), tuple(list(c) for c in zip(*rows)))
+
+    def _wake_at(self, us: int, renew: bool) -> None:
+        at = -(-us // 1000)  # the first watermark, in milliseconds, that has reached the time
+        if renew or not self.wake.exists() or at < self.wake.get()[0]:
+            self.wake.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        minutes: dict[int, list[tuple]] = {}
+        late = []
+        for pdf in rows:
+            for r in pdf[["us", *self.names]].itertuples(index=False, name=None):
+                if r[0] <= mark:
+                    late.append(r[0])
+                else:
+                    minutes.setdefault(r[0] // MINUTE_US, []).append(r)
+        for minute, found in minutes.items():
+            n = self.parts.getValue((minute,))[0] if self.parts.containsKey((minute,)) else 0
+            self._put(minute, n, found)
+            self.parts.updateValue((minute,), (n + 1,))
+        if minutes:
+            self._wake_at(min(r[0] for r in minutes[min(minutes)]), False)
+        yield self._frame(key, [], late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        remembered = self.memory.get() if self.memory.exists() else None
+        remembered = None if remembered is None else tuple(remembered)
+        out, wake = [], []
+        counts = sorted((k[0], v[0]) for k, v in self.parts.iterator())
+        for minute, n in counts:
+            if minute * MINUTE_US > mark:
+                break
+            rows = []
+            for part in range(n):
+                rows += zip(*self.held.getValue((minute, part)))
+                self.held.removeKey((minute, part))
+            rows.sort(key=lambda r: r[:2])
+            ready = [r for r in rows if r[0] <= mark]
+            for r in ready:
+                remembered, found = self.step(remembered, r)
+                out += found
+            rest = rows[len(ready):]
+            if rest:
+                self._put(minute, 0, rest)
+                self.parts.updateValue((minute,), (1,))
+                wake.append(rest[0][0])
+            else:
+                self.parts.removeKey((minute,))
+        younger = [minute for minute, _ in counts if minute * MINUTE_US > mark]
+        if younger and not wake:
+            wake.append(younger[0] * MINUTE_US)
+        if self.alarm is not None and remembered is not None:
+            remembered, found, again = self.alarm(remembered, mark)
             out += found
             wake += [again] if again is not None else []
-        known = remembered is not None
-        state.update((*([r[i] for r in rest] for i in range(size)), known, *(remembered if known else [None] * fields)))
+        if remembered is not None:
+            self.memory.update(remembered)
         if wake:
-            state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=[key, *[c.split()[0] for c in output.split(", ")]])
+            self._wake_at(max(min(wake), mark + 1), True)  # a timer at the watermark itself would go with the one that expires now
+        else:
+            self.wake.clear()
+        yield self._frame(key, out, [])
+
+    def _frame(self, key: tuple, out: list[tuple], late: list[int]) -> pd.DataFrame:
+        rows = [(key[0], *r, None) for r in out] + [(key[0], *[None] * len(self.columns), us) for us in late]
+        return pd.DataFrame(rows, columns=[self.key, *self.columns, LATE], dtype=object)
+
+    def close(self) -> None:
+        pass
 
-    held = ", ".join(f"{n} array<{kind}>" for n, kind in zip(["us", *names], ["long", *kinds]))
+
+def in_event_time(samples: DataFrame, key: str, columns: str, output: str, memory: str, step: Callable, alarm: Callable | None = None) -> DataFrame:
+    """Run ``step`` over the rows of each series in event-time order.
+
+    samples has key, us (microseconds) and the columns of ``columns`` (DDL; the first one breaks ties). ``step`` takes the
+    remembered tuple (or None) and a row (us, *columns) and gives the new tuple and rows to emit. ``alarm`` takes the tuple
+    and the watermark in microseconds and gives the same when time alone has passed, plus the time at which to ask again.
+    State per series: the rows younger than the watermark, kept in parts by minute, one tuple, and one timer at the time
+    of its oldest row or alarm. A row that comes behind the watermark is not lost: it comes out with its time in
+    ``late_us`` and nulls in the other columns; ``on_time`` and ``late_rows`` tell the two kinds apart.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [c.split()[1] for c in columns.split(", ")]
     key_type = dict(samples.dtypes)[key]
-    return samples.select(key, "ts", "us", *names).groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, {output}", f"{held}, _known boolean, {memory}", "append", "EventTimeTimeout")
+    processor = _EventTime(key, names, kinds, output, memory, step, alarm)
+    # without ts Spark does not take late rows away before the processor has seen them; the watermark itself stays
+    return samples.select(key, "us", *names).groupBy(key).transformWithStateInPandas(
+        processor, f"{key} {key_type}, {output}, {LATE} long", "append", "EventTime")
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    """What a stateful stream has put out, without its late rows."""
+    return rows.filter(F.col(LATE).isNull()).drop(LATE)
+
+
+def late_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that came behind the watermark, by series: how many, and their first and last time."""
+    late = rows.filter(F.col(LATE).isNotNull())
+    return late.groupBy(key).agg(F.count(F.lit(1)).alias("late"), F.min(LATE).alias("first_us"), F.max(LATE).alias("last_us"))
 
 
 def counter_steps_stream(samples: DataFrame, key: str, value: str, tie: str) -> DataFrame:
@@ -112,7 +195,7 @@ def counter_steps_stream(samples: DataFrame, key: str, value: str, tie: str) ->
 
     chosen = samples.select(key, "ts", F.unix_micros("ts").alias("us"), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias(value))
     steps = in_event_time(chosen, key, f"{tie} long, {value} double", "us long, step double", "_last double", step)
-    return steps.select(key, F.timestamp_micros("us").alias("ts"), "step")
+    return steps.select(key, F.timestamp_micros("us").alias("ts"), "step", LATE)
 
 
 def rate_window(steps: DataFrame, key: str, seconds: int = 300, slide: int = 60) -> DataFrame:
@@ -254,6 +337,32 @@ def trace_completion(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
         "trace_id", F.unix_micros("_w.start").alias("start_us"), F.coalesce("graded_score", "end_score").alias("score"), F.col("graded_score").isNotNull().alias("graded"))
 
 
+def trace_ends(events: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
+    """Ended traces as a join of two streams, end and grade events of a trace that lie within ``gap`` of each other.
+
+    A graded end is out as soon as both events have arrived, whatever else the trace still sends. An end without a grade
+    is out with its own score once the watermark, which is that of the slower side, shows that no grade can come any more.
+    Traces that never end are never out. Both sides forget events that have left the gap. A trace with several ends or grades has a row for each pair;
+    ``last_grades`` keeps the last one. events: ts, trace_id, type, line_no, score, without a watermark: each side gets its
+    own after its filter.
+    """
+    def side(kind: str, prefix: str) -> DataFrame:
+        found = events.filter(F.col("type") == kind).select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("ts", "trace_id", "line_no", "score")))
+        return found.withWatermark(f"{prefix}_ts", delay)
+
+    near = F.expr(f"e_trace_id = g_trace_id and g_ts between e_ts - interval {gap} and e_ts + interval {gap}")
+    pairs = side("trace_end", "e").join(side("grading_result", "g"), near, "left_outer")
+    return pairs.select(
+        F.col("e_trace_id").alias("trace_id"), F.unix_micros("e_ts").alias("end_us"), F.col("e_line_no").alias("end_line"), F.col("g_line_no").alias("grade_line"),
+        F.coalesce("g_score", "e_score").alias("score"), F.col("g_trace_id").isNotNull().alias("graded"))
+
+
+def last_grades(pairs: DataFrame) -> DataFrame:
+    """One row a trace from the table of ``trace_ends``: its last end, with the last grade of that end."""
+    chosen = F.max(F.struct("end_line", F.coalesce("grade_line", F.lit(-1)).alias("grade"), "end_us", "score", "graded")).alias("c")
+    return pairs.groupBy("trace_id").agg(chosen).select("trace_id", "c.end_us", "c.score", "c.graded")
+
+
 def incremental_ingest(stream: DataFrame, done_path: str, marks: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> None:
     """Append results of items not seen before. A batch that is replayed after a failure is skipped by its id.
 
