@@ -40,9 +40,13 @@ def vectors(t: Tables):
     return once(t, "_vectors", rows)
 
 
+def asked(t: Tables):
+    """Questions for keyword search alone."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words("text"), " ").alias("query"))
+
+
 def questions(t: Tables):
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words("text"), " ").alias("query"))
-    return with_vector(q, t, F.col("query_id") * 3)
+    return with_vector(asked(t), t, F.col("query_id") * 3)
 
 
 SQL_CHUNKS = """folded as (select doc_id, list_reduce(list_prepend(['0', null], list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: [s])),
@@ -75,16 +79,16 @@ def _(t: Tables):
 
 @query("R2_keyword_search", f"{SQL_BASE} select query_id, chunk_id, round(score, 9) as score, rank from kw where rank <= {K}")
 def _(t: Tables):
-    return listed(retrieval.keyword_search(questions(t), chunks(t), K))
+    return listed(retrieval.keyword_search(asked(t), retrieval.chunk_sentences(t.texts.select("doc_id", "text")), K))
 
 
 @query("R2_stored_index", f"{SQL_BASE} select query_id, chunk_id, round(score, 9) as score, rank from kw where rank <= {K} and query_id % 7 = 0")
 def _(t: Tables):
     """A seventh of the questions against an index that is written once and read by the buckets of their terms."""
     path = work_dir(t.spark, "keyword_index")
-    keyword_index.write_index(chunks(t), path)
-    asked = questions(t).filter("query_id % 7 = 0")
-    return listed(keyword_index.search(asked, keyword_index.read_index(t.spark, path, asked), K))
+    keyword_index.write_index(retrieval.chunk_sentences(t.texts.select("doc_id", "text")), path)
+    some = asked(t).filter("query_id % 7 = 0")
+    return listed(keyword_index.search(some, keyword_index.read_index(t.spark, path, some), K))
 
 
 @query("R3_dense_search", f"{SQL_BASE} select query_id, chunk_id, score, rank from dn where rank <= {K}")
@@ -162,7 +166,7 @@ def _(t: Tables):
 @query("R8_rerank", f"""{SQL_BASE}, s as (select kw.*, case when idx % 2 = 0 then length(content)::double end as s2 from kw join chunks using (chunk_id))
 select query_id, chunk_id, s2 as score, row_number() over (partition by query_id order by s2 desc nulls last, rank) as rank from s qualify rank <= 5""".replace("qualify rank <= 5", "qualify row_number() over (partition by query_id order by s2 desc nulls last, s.rank) <= 5").replace("nulls last, rank) as rank", "nulls last, s.rank) as rank"))
 def _(t: Tables):
-    cands = retrieval.keyword_search(questions(t), chunks(t), 20)
+    cands = retrieval.keyword_search(asked(t), chunks(t), 20)
     return listed(retrieval.rerank(cands, scored(cands, t), 5))
 
 
@@ -232,8 +236,8 @@ select kw.query_id, count(ek.chunk_id) as overlap from kw left join ek on ek.que
 def _(t: Tables):
     """Top-5 overlap before and after the chunks got their context."""
     plain = chunks(t)
-    before = retrieval.keyword_search(questions(t), plain, 5)
-    after = retrieval.keyword_search(questions(t), retrieval.enrich_chunks(plain, contexts(t)), 5)
+    before = retrieval.keyword_search(asked(t), plain, 5)
+    after = retrieval.keyword_search(asked(t), retrieval.enrich_chunks(plain, contexts(t)), 5)
     return tables.compare_topk(before, after, 5)
 
 
@@ -241,14 +245,14 @@ def _(t: Tables):
 from kw join chunks using (chunk_id) where rank <= 5 group by 1""")
 def _(t: Tables):
     c = chunks(t)
-    out = retrieval.assemble_context(retrieval.keyword_search(questions(t), c, 5), c)
+    out = retrieval.assemble_context(retrieval.keyword_search(asked(t), c, 5), c)
     return out.select("query_id", F.sha2("context", 256).alias("digest"))
 
 
 @query("W6_reorder_lost_in_middle", f"""{SQL_BASE}, n as (select *, max(rank) over (partition by query_id) as n from kw where rank <= 7)
 select query_id, chunk_id, rank, case when n <= 2 then rank when rank % 2 = 1 then (rank + 1) // 2 else n - rank // 2 + 1 end as position from n""")
 def _(t: Tables):
-    ranked = retrieval.keyword_search(questions(t), chunks(t), 7)
+    ranked = retrieval.keyword_search(asked(t), chunks(t), 7)
     out = sequences.reorder_lost_in_middle(ranked)
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "position")
 
@@ -257,7 +261,7 @@ def _(t: Tables):
 select query_id, chunk_id, tokens, used, used <= 1000 as fits, used >= 750 as over_soft, used >= 900 as over_hard from u""")
 def _(t: Tables):
     c = chunks(t)
-    ranked = retrieval.keyword_search(questions(t), c, 20).join(c.select("chunk_id", "content"), "chunk_id")
+    ranked = retrieval.keyword_search(asked(t), c, 20).join(c.select("chunk_id", "content"), "chunk_id")
     return sequences.pack_context(ranked, "content", 1000).select("query_id", "chunk_id", "tokens", "used", "fits", "over_soft", "over_hard")
 
 
