@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-import re
-
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow_udf
-
+from . import automaton
 from .ranking import first_per_key
 
 
@@ -77,37 +72,13 @@ def pattern_hits(df: DataFrame, text: str, patterns: Mapping[str, str]) -> DataF
     return df.withColumn("pattern", F.explode(hits))
 
 
-PATTERNS_A_PASS = 5_000
-
-
 def pattern_join(df: DataFrame, text: str, patterns: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Rows x patterns that match, for a table (pattern, rx) read at run time; rx that do not compile match nothing.
 
-    Compiled patterns travel to the tasks, a bounded part of the table in each pass over the rows; no rows are shuffled.
+    An automaton over the literals of all patterns picks those that are tried on a row; no rows are shuffled.
     """
-    rows, out = patterns.select("pattern", "rx").filter("rx is not null").distinct().toLocalIterator(), None
-    while True:
-        part = [(r["pattern"], r["rx"]) for r in itertools.islice(rows, PATTERNS_A_PASS)]
-        if not part and out is not None:
-            return out
-        hits = df.withColumn("pattern", F.explode(_matcher(part, ignore_case)(F.col(text))))
-        out = hits if out is None else out.unionByName(hits)
-
-
-def _matcher(patterns: list[tuple[str, str]], ignore_case: bool):
-    kind = "bigint" if patterns and isinstance(patterns[0][0], int) else "string"
-
-    @arrow_udf(f"array<{kind}>")
-    def match(texts: pd.Series) -> pd.Series:
-        compiled = []
-        for name, rx in patterns:
-            try:
-                compiled.append((name, re.compile(rx, re.I if ignore_case else 0)))
-            except re.error:
-                continue
-        return texts.map(lambda t: [name for name, rx in compiled if t is not None and rx.search(t)])
-
-    return match
+    parts = [df.withColumn("pattern", F.explode(names)) for names in automaton.pattern_names(df, F.col(text), patterns, ignore_case)]
+    return reduce(DataFrame.unionByName, parts) if parts else df.withColumn("pattern", F.lit(None).cast(dict(patterns.dtypes)["pattern"])).limit(0)
 
 
 def pair_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

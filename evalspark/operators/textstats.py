@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from ..functions import lists
 from ..functions.arrow import arrow_udf
 from ..functions.text import col, let, ngrams, occurrences, rstrip, strip, tokens, words
 from ..session import durable
-from . import tiles
+from . import automaton, tiles
 from .curate import template_leak
 from .ranking import with_scalars
 
@@ -59,10 +58,6 @@ def slop_rate(df: DataFrame, text: str, by: str) -> DataFrame:
     return sums.withColumn("total_per_1k", F.round(hits * 1000.0 / F.greatest("words", F.lit(1)), 2)).drop("words")
 
 
-PIECE = re.compile(r"\w+|\W", re.S)
-PHRASES_A_PASS = 20_000
-
-
 def phrase_weights(ranked: DataFrame, lo: int = 0, hi: int = 600) -> DataFrame:
     """Phrases of a rank band with weight (1 - adjustment) / largest weight over all ranks.
 
@@ -73,78 +68,72 @@ def phrase_weights(ranked: DataFrame, lo: int = 0, hi: int = 600) -> DataFrame:
     return with_scalars(band, top).select(F.lower("phrase").alias("phrase"), "rank", ((1.0 - F.col("adjustment")) / F.col("_mx")).alias("weight"))
 
 
-class PhraseIndex:
-    """Phrases by their first piece, so that one walk over a text's pieces (words and single other characters) finds them
-    all. A phrase is a whole word when a word boundary stands at both of its ends, also where it starts or ends with a mark."""
-
-    def __init__(self, phrases: list[str]):
-        self.by_first: dict[str, list[tuple[str, list[str]]]] = {}
-        for phrase in phrases:
-            pieces = PIECE.findall(phrase)
-            if pieces:
-                self.by_first.setdefault(pieces[0], []).append((phrase, pieces))
-
-    def count(self, text: str) -> dict[str, int]:
-        """Non-overlapping occurrences of each phrase that occurs."""
-        pieces = PIECE.findall(text)
-        word = lambda i: 0 <= i < len(pieces) and (pieces[i][0].isalnum() or pieces[i][0] == "_")
-        hits: dict[str, int] = {}
-        free: dict[str, int] = {}
-        for i, piece in enumerate(pieces):
-            for phrase, want in self.by_first.get(piece, ()):
-                end = i + len(want)
-                if i < free.get(phrase, 0) or pieces[i:end] != want or word(i) == word(i - 1) or word(end - 1) == word(end):
-                    continue
-                hits[phrase] = hits.get(phrase, 0) + 1
-                free[phrase] = end
-        return hits
-
-
-def _finder(index):
+def phrase_hits(df: DataFrame, id_col: str, text: str, phrases: DataFrame) -> DataFrame:
+    """(id, phrase, hits): whole-word, non-overlapping occurrences of a lexicon's phrases.
+
+    Only hits leave a task, and no text is shuffled; ``automaton`` says how a long list is bounded.
+    """
+    parts = []
+    for table in automaton.phrase_tables(df, phrases.select("phrase").distinct()):
+        found = df.select(id_col, F.explode(_finder(table)(F.lower(text))).alias("_h"))
+        parts.append(found.select(id_col, "_h.phrase", "_h.hits"))
+    return reduce(DataFrame.unionByName, parts) if parts else df.select(id_col, F.lower(text).alias("phrase"), F.lit(0).cast("long").alias("hits")).limit(0)
+
+
+def _finder(table):
     @arrow_udf("array<struct<phrase:string,hits:long>>")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"phrase": p, "hits": n} for p, n in index.value.count(t or "").items()])
+        names = table.value.phrases
+        return texts.map(lambda t: [{"phrase": names[i][0], "hits": n} for i, n in table.value.count(t or "").items()])
 
     return find
 
 
-def phrase_hits(df: DataFrame, id_col: str, text: str, phrases: DataFrame) -> DataFrame:
-    """(id, phrase, hits): whole-word, non-overlapping occurrences.
+def _weigher(table, place: dict[str, int]):
+    @arrow_udf("array<double>")
+    def total(texts: pd.Series) -> pd.Series:
+        def one(t):
+            sums = [0.0] * len(place)
+            for i, n in table.value.count(t or "").items():
+                for label, weight in table.value.phrases[i][1]:
+                    sums[place[label]] += n * weight
+            return sums
+
+        return texts.map(one)
+
+    return total
+
 
-    The phrase list is a lexicon. Up to PHRASES_A_PASS phrases travel to the tasks at once and the text is read once;
-    a longer list takes a pass for every part of it. Only hits leave a task, and no text is shuffled.
+def _phrase_sums(df: DataFrame, text: str, phrases: DataFrame, labels: Sequence[str]) -> Column:
+    """Weighted hits of the phrases of each label (column ``label``), an array in the order of ``labels``.
+
+    Weights travel with the phrases, so sums are made where the text is and nothing is joined or grouped.
     """
-    rows, parts = phrases.select("phrase").filter("phrase is not null").distinct().toLocalIterator(), []
-    while part := [r["phrase"] for r in itertools.islice(rows, PHRASES_A_PASS)]:
-        parts.append(part)
-    out = None
-    for part in parts or [[]]:
-        find = _finder(df.sparkSession.sparkContext.broadcast(PhraseIndex(part)))
-        found = df.select(id_col, F.explode(find(F.lower(text))).alias("_h")).select(id_col, "_h.phrase", "_h.hits")
-        out = found if out is None else out.unionByName(found)
-    return out
+    place = {label: i for i, label in enumerate(labels)}
+    columns = [_weigher(table, place)(F.lower(text)) for table in automaton.phrase_tables(df, phrases, "label", "weight")]
+    nothing = F.array(*[F.lit(0.0) for _ in labels])
+    return reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + q), columns) if columns else nothing
+
+
+def _per_thousand(total: Column, text: str) -> Column:
+    return F.round(total / F.greatest(F.size(words(text)), F.lit(1)) * 1000, 6)
 
 
 def slop_index(df: DataFrame, id_col: str, text: str, phrases: DataFrame) -> DataFrame:
     """Weighted phrase hits per 1000 words; rows without hits score 0."""
-    hits = phrase_hits(df, id_col, text, phrases).join(phrases.select("phrase", "weight"), "phrase")
-    sums = hits.groupBy(id_col).agg(F.sum(F.col("hits") * F.col("weight")).alias("_w"))
-    count = df.select(id_col, F.greatest(F.size(words(text)), F.lit(1)).alias("_n"))
-    return count.join(sums, id_col, "left").select(
-        id_col, F.round(F.coalesce("_w", F.lit(0.0)) / F.col("_n") * 1000, 6).alias("slop_index"))
+    sums = _phrase_sums(df, text, phrases.select("phrase", F.lit("").alias("label"), "weight"), [""])
+    return df.select(id_col, _per_thousand(sums[0], text).alias("slop_index"))
 
 
 def slop_bands(df: DataFrame, id_col: str, text: str, ranked: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     """The same index per rank band in one pass over the text: (id, band, slop_index)."""
     weights = phrase_weights(ranked, 0, max(hi for _, hi in bands))
     label = F.coalesce(*[F.when((F.col("rank") >= lo) & (F.col("rank") < hi), F.lit(f"{lo}-{hi}")) for lo, hi in bands])
-    banded = weights.withColumn("band", label).filter(F.col("band").isNotNull())
-    hits = phrase_hits(df, id_col, text, banded).join(banded.select("phrase", "band", "weight"), "phrase")
-    sums = hits.groupBy(id_col, "band").agg(F.sum(F.col("hits") * F.col("weight")).alias("_w"))
-    every = F.explode(F.array(*[F.lit(f"{lo}-{hi}") for lo, hi in bands])).alias("band")
-    count = df.select(id_col, F.greatest(F.size(words(text)), F.lit(1)).alias("_n"), every)
-    return count.join(sums, [id_col, "band"], "left").select(
-        id_col, "band", F.round(F.coalesce("_w", F.lit(0.0)) / F.col("_n") * 1000, 6).alias("slop_index"))
+    banded = weights.withColumn("label", label).filter(F.col("label").isNotNull())
+    names = [f"{lo}-{hi}" for lo, hi in bands]
+    sums = df.select(id_col, _phrase_sums(df, text, banded, names).alias("_s"), F.greatest(F.size(words(text)), F.lit(1)).alias("_n"))
+    each = sums.select(id_col, "_n", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("band"), F.col("_s").alias("total"))).alias("_b"))
+    return each.select(id_col, F.col("_b.band").alias("band"), F.round(F.col("_b.total") / F.col("_n") * 1000, 6).alias("slop_index"))
 
 
 # --- repetition ------------------------------------------------------------------------------------
