@@ -47,16 +47,16 @@ def decontaminate_passages(df: DataFrame, heldout: DataFrame, id_col: str, text:
 def build_corpus(parts: Mapping[str, DataFrame], registry: DataFrame, banned: DataFrame, cap: int | None = None) -> DataFrame:
     """(id, source, messages, content_hash) of a mixed corpus.
 
-    parts: per source format, raw records with id and source; each goes through the format's adapter. Records are then
+    parts: per source format (a key of ``FORMATS``), raw records with id and source; each goes through the format's adapter. Records are then
     capped per source, checked, freed of banned prompt hashes and deduplicated by content. What is compared and shuffled
     are hashes and ids; conversations move once, to the join with the ids that stay.
     """
     from functools import reduce
 
-    from .normalize import get_adapter, validate_trajectories
+    from .normalize import FORMATS, validate_trajectories
 
     raw = {kind: cap_per_source(part, cap, "id") if cap else part for kind, part in parts.items()}
-    adapted = reduce(DataFrame.unionByName, [get_adapter(kind)(part).select("id", "source", "messages") for kind, part in raw.items()])
+    adapted = reduce(DataFrame.unionByName, [FORMATS[kind](part).select("id", "source", "messages") for kind, part in raw.items()])
     valid, _ = validate_trajectories(adapted.join(registry.filter("enabled").select("source", "source_rank"), "source"))
     hashed = with_hashes(valid)
     clean = decontaminate(hashed.select("id", "source_rank", "prompt_hash", "content_hash"), banned)

@@ -1,7 +1,9 @@
 """Vector quantization and approximate search: SQ8, PQ, OPQ, IVF-PQ and rotated low-bit codes.
 
-Training reads all vectors; each Lloyd round is one Spark job whose state (codebooks) is bounded by
-dimension x codes. Codes are scored tile by tile, only top-k rows leave a task.
+Training reads all vectors, packed into tiles once; each round is one Spark job whose state is bounded by
+dimension x codes, and with a learned rotation by dimension squared. Rounds go on until the measured distortion
+stands still. Codes are scored tile by tile, only top-k rows leave a task. Lossy rankings can be scored again from
+the stored vectors, to a depth that is measured against a recall target.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import tiles
 from .ranking import top_k, with_scalars
 
-ROUNDS = 8
+MOST_ROUNDS, STILL = 100, 0.005  # a round that gains less than STILL of the distortion is the last
+SAMPLE = 64  # stored vectors that stand in for queries when a depth or a number of probes is measured
 
 
 def dimension(df: DataFrame, vec: str = "vector") -> int:
@@ -62,6 +66,8 @@ class ProductQuantizer:
 
     books: np.ndarray
     rotation: np.ndarray | None = None
+    history: tuple[float, ...] = ()  # mean squared error at the start of each training round
+    converged: bool = True
 
     @property
     def bits_per_vector(self) -> int:
@@ -148,64 +154,88 @@ def train_scalar(vectors: DataFrame, vec: str = "vector") -> ScalarQuantizer:
     return ScalarQuantizer(lo, np.array([r["hi"] for r in rows]) - lo)
 
 
-def train_codebooks(vectors: DataFrame, m: int, codes: int, item: str = "vec_id", vec: str = "vector", rounds: int = ROUNDS,
-                    rotation: np.ndarray | None = None) -> np.ndarray:
-    """k-means in every subspace at once: Lloyd rounds over all vectors, repeatable start."""
+def _round(packed: DataFrame, books: np.ndarray, rotation: np.ndarray | None, cross: bool) -> tuple[dict[int, np.ndarray], float]:
+    """One pass over all vectors: sums and counts by code, distortion, and if asked for the covariance of the vectors with
+    what their codes stand for. Keys: subspace, -1 for (squared error, vectors), m + i for row i of the covariance."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
+    m, k, width = books.shape
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, error, n, both = np.zeros((m, k, width + 1)), 0.0, 0, 0.0
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x = tiles.matrix(row.data, row.n)
+                y = x if rotation is None else x @ rotation
+                code, parts = nearest(y, books), y.reshape(len(y), m, width)
+                stood = np.empty_like(parts)
+                for j in range(m):
+                    owner = np.zeros((k, len(y)))
+                    owner[code[:, j], np.arange(len(y))] = 1.0
+                    sums[j, :, :width] += owner @ parts[:, j]
+                    sums[j, :, width] += owner.sum(axis=1)
+                    stood[:, j] = books[j][code[:, j]]
+                error, n = error + float(((parts - stood) ** 2).sum()), n + len(y)
+                if cross:
+                    both = both + x.T @ stood.reshape(len(y), -1)
+        if n:
+            rows = [(j, sums[j].ravel()) for j in range(m)] + [(-1, np.array([error, n]))] + ([(m + i, line) for i, line in enumerate(both)] if cross else [])
+            yield pd.DataFrame(rows, columns=["part", "s"])
+
+    partial = packed.select("n", "data").mapInPandas(fold, "part int, s array<double>")
+    total = partial.groupBy("part").agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect()  # m + 1 + d rows of bounded size
+    found = {r["part"]: r["s"].toArray() for r in total}
+    error, n = found.pop(-1)
+    return found, error / n
+
+
+def train_codebooks(vectors: DataFrame, m: int, codes: int, item: str = "vec_id", rotation: np.ndarray | None = None,
+                    learn_rotation: bool = False, most_rounds: int = MOST_ROUNDS, still: float = STILL) -> ProductQuantizer:
+    """k-means in every subspace at once: Lloyd rounds over all vectors from a repeatable start, until they gain no more.
+
+    With ``learn_rotation`` every second round turns the space instead: the orthogonal matrix that brings the vectors
+    closest to what their codes stand for, from the singular vectors of their covariance (orthogonal Procrustes). Both
+    kinds of round can only lower the distortion. ``history`` and ``converged`` of the result tell how training went.
+    """
     spread = F.xxhash64(F.col(item), F.lit(17))
-    start = vectors.select(item, F.col(vec).alias("v"), spread.alias("_h")).orderBy("_h", item).limit(codes).collect()  # at most `codes` rows
+    start = vectors.select(item, F.col("vector").alias("v"), spread.alias("_h")).orderBy("_h", item).limit(codes).collect()  # at most `codes` rows
     first = np.array([r["v"] for r in start], dtype=np.float64)
     d = first.shape[1]
     if d % m:
         raise ValueError(f"dimension {d} is not divisible by {m}")
-    if rotation is not None:
-        first = first @ rotation
+    if learn_rotation and rotation is None:
+        rotation = np.eye(d)
+    turned = first if rotation is None else first @ rotation
     width = d // m
-    books = np.stack([first[:, j * width : (j + 1) * width] for j in range(m)])
-    k = books.shape[1]
-    chosen = vectors.select(F.col(vec).alias("v"))
-    for _ in range(rounds):
-        fixed = books
-
-        def fold(batches: Iterator[pd.DataFrame], books=fixed) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((m, k, width + 1))
-            seen = False
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                seen = True
-                x = _stack(pdf["v"])
-                if rotation is not None:
-                    x = x @ rotation
-                code = nearest(x, books)
-                parts = x.reshape(len(x), m, width)
-                for j in range(m):
-                    np.add.at(sums[j, :, :width], code[:, j], parts[:, j])
-                    sums[j, :, width] += np.bincount(code[:, j], minlength=k)
-            if seen:
-                yield pd.DataFrame({"sub": np.arange(m), "s": list(sums.reshape(m, -1))})
-
-        partial = chosen.mapInPandas(fold, "sub int, s array<double>")
-        total = partial.groupBy("sub").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
-        nxt = books.copy()
-        for r in total.collect():  # m rows of bounded size
-            s = r["s"].toArray().reshape(k, width + 1)
-            filled = s[:, width] > 0
-            nxt[r["sub"]][filled] = s[filled, :width] / s[filled, width:]
-        if np.allclose(nxt, books):
-            break
-        books = nxt
-    return books
+    books = np.stack([turned[:, j * width : (j + 1) * width] for j in range(m)])
+    packed = durable(tiles.pack_vectors(vectors, item, "vector"))
+    history: list[float] = []
+    kinds = 2 if learn_rotation else 1
+    for step in range(most_rounds):
+        turning = learn_rotation and step % 2 == 1
+        found, error = _round(packed, books, rotation, turning)
+        history.append(error)
+        if len(history) > kinds and history[-1 - kinds] - error <= still * kinds * history[-1 - kinds]:
+            return ProductQuantizer(books, rotation, tuple(history), True)
+        if turning:
+            u, _, v = np.linalg.svd(np.stack([found[m + i] for i in range(d)]))
+            rotation = u @ v
+        else:
+            books = books.copy()
+            for j in range(m):
+                s = found[j].reshape(-1, width + 1)
+                filled = s[:, width] > 0
+                books[j][filled] = s[filled, :width] / s[filled, width:]
+    return ProductQuantizer(books, rotation, tuple(history), False)
 
 
 def train_pq(vectors: DataFrame, m: int, bits: int = 8, item: str = "vec_id") -> ProductQuantizer:
-    return ProductQuantizer(train_codebooks(vectors, m, 1 << bits, item))
+    return train_codebooks(vectors, m, 1 << bits, item)
 
 
-def train_opq(vectors: DataFrame, m: int, bits: int = 8, item: str = "vec_id") -> ProductQuantizer:
-    """Principal axes dealt to the subspaces so that each gets a similar share of variance, then PQ."""
+def balanced_axes(vectors: DataFrame, m: int) -> np.ndarray:
+    """Principal axes dealt to the subspaces so that each gets a similar share of variance."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
@@ -220,8 +250,12 @@ def train_opq(vectors: DataFrame, m: int, bits: int = 8, item: str = "vec_id") -
         best = min(open_groups, key=lambda g: load[g])
         groups[best].append(axis)
         load[best] += np.log(share[axis]) - np.log(1e-12)
-    rotation = axes[:, np.concatenate(groups).astype(int)]
-    return ProductQuantizer(train_codebooks(vectors, m, 1 << bits, item, rotation=rotation), rotation)
+    return axes[:, np.concatenate(groups).astype(int)]
+
+
+def train_opq(vectors: DataFrame, m: int, bits: int = 8, item: str = "vec_id") -> ProductQuantizer:
+    """PQ in a learned rotation, which starts from the balanced principal axes."""
+    return train_codebooks(vectors, m, 1 << bits, item, balanced_axes(vectors, m), learn_rotation=True)
 
 
 def rotated_quantizer(d: int, bits: int, seed: int = 0) -> RotatedQuantizer:
@@ -294,29 +328,93 @@ def rotated_lowbit_search(queries, vectors, bits: int, k: int = 10, item: str =
     return quantized_search(queries, vectors, rotated_quantizer(dimension(vectors), bits, seed), k, item)
 
 
-def ivf_pq_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | None = None, nprobe: int = 10, bits: int = 8,
-                  k: int = 10, item: str = "vec_id") -> DataFrame:
-    """Coarse cells, product codes of the residuals; a query meets only the tiles of its nprobe best cells.
+def rerank_exact(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, item: str = "vec_id") -> DataFrame:
+    """The k best of each query's candidates by the inner product of the stored vectors. Only candidates are joined."""
+    held = found.select("query_id", item).join(vectors.select(item, F.col("vector").cast("array<double>").alias("_v")), item)
+    both = held.join(queries.select("query_id", F.col("vector").cast("array<double>").alias("_q")), "query_id")
+    product = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return top_k(both.select("query_id", item, F.round(product, 9).alias("score")), ["query_id"], [F.col("score").desc(), F.col(item)], k)
+
+
+def sample_queries(vectors: DataFrame, item: str = "vec_id", n: int = SAMPLE) -> DataFrame:
+    """The n stored vectors with the smallest hashes, as queries."""
+    chosen = vectors.orderBy(F.xxhash64(F.col(item), F.lit(29)), item).limit(n)
+    return durable(chosen.select(F.col(item).alias("query_id"), F.col("vector").cast("array<double>").alias("vector")))
 
-    By default there are as many cells as the root of the number of vectors; ``nlist`` sets another number.
 
-    A crowded cell is many tiles, so it spreads over tasks like any other data.
+def _reach(places: list[float], target: float) -> int:
+    """The place within which the share ``target`` of all places lies."""
+    return int(np.sort(places)[max(0, int(np.ceil(target * len(places))) - 1)])
+
+
+def measured_depth(vectors: DataFrame, quantizer, k: int, target: float, item: str = "vec_id") -> int:
+    """How many candidates of a lossy ranking hold the share ``target`` of the true k best, measured on sample queries.
+
+    Both rankings are made over all vectors; k places a sample query come to the driver.
     """
+    asked = sample_queries(vectors, item)
+    n = vectors.count()
+    truth = flat_topk(asked, vectors, k, item).select("query_id", item)
+    depth, places = min(n, 16 * k), []
+    while True:
+        ranked = quantized_search(asked, vectors, quantizer, depth, item).select("query_id", item, "rank")
+        places = [r["rank"] or n + 1 for r in truth.join(ranked, ["query_id", item], "left").select("rank").collect()]
+        if _reach(places, target) <= depth or depth >= n:
+            return min(n, _reach(places, target))
+        depth = min(n, 4 * depth)
+
+
+def reranked_search(queries: DataFrame, vectors: DataFrame, quantizer, k: int = 10, target: float = 0.95, item: str = "vec_id") -> DataFrame:
+    """Lossy ranking to the measured depth, then exact order. The column ``depth`` tells how far it went."""
+    depth = max(k, measured_depth(vectors, quantizer, k, target, item))
+    found = quantized_search(queries, vectors, quantizer, depth, item)
+    return rerank_exact(found, queries, vectors, k, item).withColumn("depth", F.lit(depth))
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Coarse cells with product codes of what lies in them, or of the residuals to their centers."""
+
+    centers: np.ndarray
+    quantizer: ProductQuantizer
+    coded: DataFrame  # id, cell, and the vector that was coded
+    item: str
+    residual: bool
+
+
+def cell_index(vectors: DataFrame, m: int, nlist: int | None = None, bits: int = 8, item: str = "vec_id", residual: bool = True,
+               quantizer: ProductQuantizer | None = None) -> CellIndex:
+    """By default there are as many cells as the root of the number of vectors; ``nlist`` sets another number."""
     if nlist is None:
         nlist = max(1, round(vectors.count() ** 0.5))
-    centers = train_codebooks(vectors, 1, nlist, item)[0]
+    centers = train_codebooks(vectors, 1, nlist, item).books[0]
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = _stack(pdf["v"])
                 cell = nearest(x, centers[None])[:, 0]
-                yield pd.DataFrame({"id": pdf["id"], "cell": cell, "r": list(x - centers[cell])})
+                yield pd.DataFrame({"id": pdf["id"], "cell": cell, "r": list(x - centers[cell] if residual else x)})
 
-    id_type, query_type = dict(vectors.dtypes)[item], dict(queries.dtypes)["query_id"]
-    residuals = vectors.select(F.col(item).alias("id"), F.col("vector").alias("v")).mapInPandas(
+    id_type = dict(vectors.dtypes)[item]
+    coded = vectors.select(F.col(item).alias("id"), F.col("vector").alias("v")).mapInPandas(
         to_cells, f"id {id_type}, cell int, r array<double>").select(F.col("id").alias(item), "cell", F.col("r").alias("vector"))
-    quantizer = train_pq(residuals, m, bits, item)
+    return CellIndex(centers, quantizer or train_pq(coded, m, bits, item), coded, item, residual)
+
+
+def measured_probes(index: CellIndex, vectors: DataFrame, k: int, target: float) -> int:
+    """How many cells, best first, hold the share ``target`` of the true k best of sample queries."""
+    asked = sample_queries(vectors, index.item)
+    own = {r["query_id"]: np.array(r["vector"]) for r in asked.collect()}  # SAMPLE vectors
+    truth = flat_topk(asked, vectors, k, index.item).select("query_id", index.item).join(index.coded.select(index.item, "cell"), index.item)
+    places = [int((index.centers @ own[r["query_id"]] > index.centers[r["cell"]] @ own[r["query_id"]]).sum()) + 1 for r in truth.collect()]
+    return _reach(places, target)
+
+
+def search_cells(index: CellIndex, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """Best k by code among the nprobe best cells of each query. A crowded cell is many tiles, so it spreads over tasks."""
+    centers, quantizer, item, residual = index.centers, index.quantizer, index.item, index.residual
+    id_type, query_type = dict(index.coded.dtypes)[item], dict(queries.dtypes)["query_id"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -337,17 +435,36 @@ def ivf_pq_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | N
                                         "r_data": [_stack(part["vector"]).tobytes()], "r_exclude": [[[] for _ in range(len(part))]]})
 
     right = probes.mapInPandas(pack_probes, f"x int, r_ids array<{query_type}>, r_n int, r_data binary, r_exclude array<array<{id_type}>>")
-    left = compress(residuals, quantizer, item, "cell")
+    left = compress(index.coded, quantizer, item, "cell")
     pairs = left.select("x", F.col("ids").alias("l_ids"), F.col("n").alias("l_n"), F.col("data").alias("l_data")).join(right, "x")
 
     def score(row) -> np.ndarray:
         q = tiles.matrix(row.r_data, row.r_n)
-        return (q @ centers[row.x])[:, None] + quantizer.score(q, _codes(row))
+        return quantizer.score(q, _codes(row)) + ((q @ centers[row.x])[:, None] if residual else 0.0)
 
     best = tiles.top_scores(pairs, k, score, id_type, query_type).withColumnRenamed("item", item)
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col(item)], k)
 
 
+def ivf_pq_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | None = None, nprobe: int = 10, bits: int = 8,
+                  k: int = 10, item: str = "vec_id") -> DataFrame:
+    """Coarse cells, product codes of the residuals; a query meets only the tiles of its nprobe best cells."""
+    return search_cells(cell_index(vectors, m, nlist, bits, item), queries, nprobe, k)
+
+
+def ivf_reranked_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | None = None, bits: int = 8, k: int = 10,
+                        target: float = 0.95, item: str = "vec_id") -> DataFrame:
+    """Cells and codes to a recall target: probes and depth are measured on stored vectors, the order is exact.
+
+    ``probes`` and ``searched`` (share of the cells) tell what the target costs on these vectors.
+    """
+    index = cell_index(vectors, m, nlist, bits, item, residual=False)
+    each = target**0.5  # both losses together stay within the target
+    nprobe, depth = measured_probes(index, vectors, k, each), max(k, measured_depth(vectors, index.quantizer, k, each, item))
+    found = rerank_exact(search_cells(index, queries, nprobe, depth), queries, vectors, k, item)
+    return found.withColumns({"depth": F.lit(depth), "probes": F.lit(nprobe), "searched": F.lit(round(nprobe / len(index.centers), 6))})
+
+
 # --- reports -------------------------------------------------------------------------------------------------
 
 def storage_report(methods: DataFrame, size: DataFrame) -> DataFrame:

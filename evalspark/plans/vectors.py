@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import quantize
@@ -113,3 +115,36 @@ def _(t: Tables):
     """Whether every method reaches its bound."""
     bound = F.create_map(*[x for m, b in BOUNDS.items() for x in (F.lit(m), F.lit(b))])
     return reported(t).select("method", (F.col("recall_10") >= F.try_element_at(bound, F.col("method"))).alias("reached"))
+
+
+@query("V4_convergence", "select * from (values ('opq', true, true, true), ('pq', true, true, true)) v(method, converged, falling, not_above_pq)")
+def _(t: Tables):
+    """Whether training ended by itself, and whether no round made the distortion larger."""
+    _, e = data(t)
+    fits = {"pq": quantize.train_pq(e, 16, 8), "opq": quantize.train_opq(e, 16, 8)}
+    falling = lambda h: all(b <= a * (1 + 1e-9) for a, b in zip(h, h[1:]))
+    # random directions leave a rotation nothing to gain; it may lose the luck of a start, no more
+    rows = [(name, f.converged, falling(f.history), bool(f.history[-1] <= fits["pq"].history[-1] * 1.02)) for name, f in fits.items()]
+    return t.spark.createDataFrame(rows, "method string, converged boolean, falling boolean, not_above_pq boolean")
+
+
+@query("V6_all_cells_equal_pq", "select count(*) * 10 as rows, true as equal from benchmark")
+def _(t: Tables):
+    """Probing all cells of an index of whole vectors against the product codes alone."""
+    q, e = data(t)
+    fit = quantize.train_pq(e, 16, 8)
+    index = quantize.cell_index(e, 16, residual=False, quantizer=fit)
+    cells, codes = quantize.search_cells(index, q, len(index.centers), 10), quantize.quantized_search(q, e, fit)
+    both = cells.select("query_id", "rank", "vec_id").join(codes.select("query_id", "rank", F.col("vec_id").alias("other")), ["query_id", "rank"], "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bool_and(F.col("vec_id").eqNullSafe(F.col("other"))), F.lit(True)).alias("equal"))
+
+
+@query("V9_reranked_bounds", "select * from (values ('ivf', true), ('opq', true), ('pq', true), ('rot2', true)) v(method, reached)")
+def _(t: Tables):
+    """Whether lossy rankings that are scored again to a measured depth reach a recall of 0.9 at 10."""
+    q, e = data(t)
+    truth = quantize.flat_topk(q, e)
+    found = {"pq": quantize.reranked_search(q, e, quantize.train_pq(e, 16, 8)), "opq": quantize.reranked_search(q, e, quantize.train_opq(e, 16, 8)),
+             "rot2": quantize.reranked_search(q, e, quantize.rotated_quantizer(quantize.dimension(e), 2)), "ivf": quantize.ivf_reranked_search(q, e, m=16)}
+    parts = [recall_at_k(truth, df, 10, "vec_id").select(F.lit(name).alias("method"), (F.col("recall") >= 0.9).alias("reached")) for name, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -264,12 +264,10 @@ def test_hash_ignores_case_and_space(spark):
     assert one(spark, chat.prompt_hash(a)) == one(spark, chat.prompt_hash(b))
 
 
-def test_adapters_refuse_unverified_formats():
-    with pytest.raises(NotImplementedError):
-        normalize.get_adapter("toolbench")
+def test_corpus_formats(spark):
+    assert normalize.FORMATS["fleet"] is normalize.from_fleet and len(normalize.FORMATS) == 6
     with pytest.raises(KeyError):
-        normalize.get_adapter("unknown")
-    assert normalize.get_adapter("fleet") is normalize.from_fleet
+        curate.build_corpus({"toolbench": spark.range(1)}, spark.range(1), spark.range(1))
 
 
 def test_quarantine(spark):
@@ -388,6 +386,65 @@ def test_quantized_recall(clustered):
     assert four > two > 0.2
 
 
+def test_training_goes_on_until_it_stands_still(clustered):
+    _, _, _, vectors = clustered
+    for fit in (quantize.train_pq(vectors, 8, 4), quantize.train_opq(vectors, 8, 4)):
+        assert fit.converged and len(fit.history) > 3
+        assert all(b <= a * (1 + 1e-9) for a, b in zip(fit.history, fit.history[1:]))
+    assert not quantize.train_codebooks(vectors, 8, 16, most_rounds=2).converged
+
+
+def test_learned_rotation(spark):
+    """On correlated coordinates the learned rotation is orthogonal and codes are not worse than without; a numpy run of
+    the same rounds ends at the same distortion."""
+    rng = np.random.default_rng(8)
+    mix = rng.standard_normal((16, 16)) * np.geomspace(3, 0.05, 16)
+    x = rng.standard_normal((1_500, 16)) @ mix
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, vector array<double>").repartition(5)
+    plain, learned = quantize.train_pq(vectors, 4, 4), quantize.train_opq(vectors, 4, 4)
+    assert np.allclose(learned.rotation @ learned.rotation.T, np.eye(16), atol=1e-8)
+    error = lambda q: float(((x if q.rotation is None else x @ q.rotation) - np.stack([q.books[j][q.encode(x)[:, j]] for j in range(4)], axis=1).reshape(len(x), -1)).__pow__(2).sum() / len(x))
+    assert error(learned) < 0.9 * error(plain)
+    assert learned.history[-1] == pytest.approx(error(learned), rel=1e-9)
+    rotation = quantize.balanced_axes(vectors, 4)
+    order = [r["vec_id"] for r in vectors.selectExpr("vec_id", "xxhash64(vec_id, 17) as h").orderBy("h", "vec_id").limit(16).collect()]
+    books = np.stack([(x[order] @ rotation)[:, 4 * j: 4 * j + 4] for j in range(4)])
+    history = []
+    for step in range(len(learned.history)):
+        y = x @ rotation
+        code = quantize.nearest(y, books)
+        stood = np.concatenate([books[j][code[:, j]] for j in range(4)], axis=1)
+        history.append(((y - stood) ** 2).sum() / len(x))
+        if step % 2:
+            u, _, v = np.linalg.svd(x.T @ stood)
+            rotation = u @ v
+        else:
+            books = np.stack([np.stack([y[code[:, j] == c, 4 * j: 4 * j + 4].mean(axis=0) if (code[:, j] == c).any() else books[j][c] for c in range(16)]) for j in range(4)])
+    assert np.allclose(history, learned.history, rtol=1e-6)
+
+
+def test_recall_targets(clustered):
+    _, _, queries, vectors = clustered
+    truth = quantize.flat_topk(queries, vectors)
+    recall = lambda df: retrieval.recall_at_k(truth, df, 10, "vec_id").first()["recall"]
+    fit = quantize.train_pq(vectors, 8, 4)
+    again = quantize.reranked_search(queries, vectors, fit).persist()
+    assert recall(again) >= 0.9 > recall(quantize.quantized_search(queries, vectors, fit)) and again.first()["depth"] < 800
+    cells = quantize.ivf_reranked_search(queries, vectors, 8, nlist=20, bits=4).persist()
+    assert recall(cells) >= 0.9 and 0 < cells.first()["searched"] <= 1
+    whole = {(r["query_id"], r["vec_id"]): r["score"] for r in quantize.flat_topk(queries, vectors, 800).collect()}
+    assert all(r["score"] == pytest.approx(whole[r["query_id"], r["vec_id"]], abs=2e-9) for r in again.collect())
+
+
+def test_all_cells_are_all_codes(clustered):
+    """Probing every cell of an index of whole vectors gives what the codes alone give."""
+    _, _, queries, vectors = clustered
+    fit = quantize.train_pq(vectors, 8, 4)
+    index = quantize.cell_index(vectors, 8, nlist=12, residual=False, quantizer=fit)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in df.collect())
+    assert rows(quantize.search_cells(index, queries, 12, 10)) == rows(quantize.quantized_search(queries, vectors, fit))
+
+
 def test_latest_wins_join(spark):
     a = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "k long, o long, a string")
     b = spark.createDataFrame([(1, 1, "b")], "k long, o long, b string")
