@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
 PIECE_CHARS = 32_768
 FIRST_WINDOW, AGREE = 16, 2
@@ -137,27 +139,35 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", piece_chars: i
     short = docs.where(~long)
     done = short.mapInArrow(whole, _schema_with(short, n_tokens="bigint", ids="binary"))
 
-    # Pieces are keyed by a number of their row; the other columns go to the joined text once.
-    rows = docs.where(long).withColumn("_row", F.monotonically_increasing_id())
+    # Pieces are keyed by a number of their row. The numbered rows are stored: the plan reads them twice, and a number that
+    # were given anew on unstored input could name another row.
+    row, piece = _free("_row", docs), _free("_piece", docs)
+    rows = stored(docs.where(long).drop("n_tokens", "ids").withColumn(row, F.monotonically_increasing_id()), "long-texts")
     count = F.ceil(F.char_length("text") / piece_chars).cast("int")
-    pieces = rows.select("_row", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("_piece")).select(
-        "_row", "_piece", F.substring("text", F.col("_piece") * piece_chars + 1, F.lit(piece_chars)).alias("text"))
-    spread = pieces.repartition(F.col("_row"), F.col("_piece"))
-    encoded = spread.mapInArrow(whole, _schema_with(spread, n_tokens="bigint", ids="binary")).select("_row", "_piece", "ids")
+    pieces = rows.select(row, "text", F.explode(F.sequence(F.lit(0), count - 1)).alias(piece)).select(
+        row, piece, F.substring("text", F.col(piece) * piece_chars + 1, F.lit(piece_chars)).alias("text"))
+    spread = pieces.repartition(F.col(row), F.col(piece))
+    encoded = spread.mapInArrow(whole, _schema_with(spread, n_tokens="bigint", ids="binary")).select(row, piece, "ids")
 
     def joined(batches):
         v = vocabulary(vocab)
         for batch in batches:
             ids = [join_all([list(unpacked(p)) for p in parts], v) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(map(len, ids), pa.int64()), pa.array(map(packed, ids), pa.binary())],
-                names=["_row", "n_tokens", "ids"])
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_piece", "ids"))), lambda p: p["ids"])
-    grouped = encoded.groupBy("_row").agg(ordered.alias("parts"))
-    whole_ids = grouped.mapInArrow(joined, T.StructType.fromDDL("_row bigint, n_tokens bigint, ids binary"))
-    kept = rows.drop("n_tokens", "ids")
-    return done.unionByName(kept.join(whole_ids, "_row").drop("_row"))
+                [batch.column(row), pa.array(map(len, ids), pa.int64()), pa.array(map(packed, ids), pa.binary())],
+                names=[row, "n_tokens", "ids"])
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(piece, "ids"))), lambda p: p["ids"])
+    grouped = encoded.groupBy(row).agg(ordered.alias("parts"))
+    whole_ids = grouped.mapInArrow(joined, T.StructType.fromDDL(f"`{row}` bigint, n_tokens bigint, ids binary"))
+    return done.unionByName(rows.join(whole_ids, row).drop(row))
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
 
 
 def decode(tokens: DataFrame, vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -531,10 +531,11 @@ def similarity_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns; of repeated rows of that id one stays.
+    """The documents with the smallest doc_id of their component, all columns; of rows that repeat id and text one stays.
 
-    Rows with a null doc_id cannot be told apart by it and all stay.
+    Rows that share an id but not the text all stay if one of them does: none stands for another. Rows with a null doc_id
+    cannot be told apart by it and all stay.
     """
     heads = similarity_classes(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stored(heads, "heads"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(stored(heads, "heads"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

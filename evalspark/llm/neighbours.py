@@ -157,6 +157,7 @@ class Cell:
 
     def __init__(self, p: Projection, vectors: np.ndarray, ids: list[list[int]]):
         self.p, self.vectors, self.ids = p, vectors, ids
+        self.smallest = np.array([x[0] for x in ids] + [np.iinfo(np.int64).max], np.int64)  # ids ascend; the last stands for no row
         self.points = p.data(vectors)
         self.tree = Tree(self.points)
 
@@ -167,7 +168,8 @@ class Cell:
         before the first leaf that fails, and skips rows of a leaf that fail by themselves. Queries that visit the
         same leaf in the same round are verified by one matrix product.
         """
-        keep = k + 12  # room for ties, which the ids decide in the end
+        keep = k
+        digits = 12 - int(np.ceil(np.log10(max(np.sqrt(self.p.norm2 * (queries**2).sum(axis=1).max()), 1e-300))))  # equal products that differ in rounding are equal
         projected = self.p.query(queries)
         reach = np.stack([self.tree.reach(q) for q in projected])
         order = np.argsort(reach, axis=1, kind="stable")
@@ -187,7 +189,7 @@ class Cell:
                 found = np.where(gap <= stop * limit[mine][:, None], queries[mine] @ self.vectors[inside].T, -np.inf)
                 both = np.concatenate((products[mine], found), axis=1)
                 names = np.concatenate((rows[mine], np.broadcast_to(inside, found.shape)), axis=1)
-                best = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
+                best = np.lexsort((self.smallest[names], -np.round(both, digits)), axis=1)[:, :keep]
                 products[mine], rows[mine] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
                 worst = -np.partition(-products[mine], k - 1, axis=1)[:, k - 1]
                 full = np.isfinite(worst)

@@ -21,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -120,6 +121,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest32"))),
         head("WARC-Profile", F.when(is_revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         head("WARC-Refers-To", F.when(is_revisit, _urn("refers_to_id"))),
+        head("WARC-Truncated", F.when(F.col("truncated"), "unspecified")),
         head("Content-Type", F.when(F.col("http"), "application/http; msgtype=response").otherwise(F.col("mime"))),
         head("Content-Length", F.octet_length("body").cast("string")), F.lit(CRLF))
     rows = records.withColumn("body", block)
@@ -153,20 +155,48 @@ def http_field(head: bytes, name: bytes) -> int | None:
     return None
 
 
+# A header line up to its content type: an url may hold blanks, the address and the date after it may not.
+OPENING = re.compile(r"(.*) (\S+) (\d{8,17}) (.*)", re.S)
+
+
+def arc_header(text: str, version: int | None) -> tuple[int, dict[str, str]] | None:
+    """Version and fields of a header line, or None. Without a version block the version is told from the line."""
+    for kind in [version] if version else sorted(ARC_FIELDS, reverse=True):
+        names = ARC_FIELDS[kind]
+        opening, *rest = text.rsplit(" ", len(names) - 4)
+        exact = text.split(" ")
+        found = OPENING.fullmatch(opening)
+        if len(exact) == len(names):
+            values = exact
+        elif found and len(rest) == len(names) - 4:
+            values = [*found.groups(), *rest]
+        else:
+            continue
+        if values[-1].isdigit() and (version or len(exact) == len(names) or (kind == 1) or values[4].isdigit()):
+            return kind, dict(zip(names, values))
+    return None
+
+
 def parse_arc(name: str, content: bytes, key_header: bytes = b"x-page-id") -> Iterator[dict]:
-    """The records of one ARC file, in order, without its version block."""
+    """The records of one ARC file, in order, without its version block.
+
+    Lines that are no header give a row with the error ``malformed``; if such a line ends in a length like a header's, as
+    many bytes are passed over, so that its payload is not read as headers.
+    """
     stream, version, offset = _opened(content), None, 0
     while line := stream.readline():
         start, offset = offset, offset + len(line)
         text = line.decode("utf-8", "replace").strip("\r\n")
         if not text:
             continue
-        values = text.split(" ")
-        kind = version or {len(f): v for v, f in ARC_FIELDS.items()}.get(len(values))
-        fields = dict(zip(ARC_FIELDS.get(kind, []), values))
-        if len(values) != len(ARC_FIELDS.get(kind, [])) or not fields["length"].isdigit():
-            yield {"arc_file": name, "arc_offset": start, "version": kind, "error": "malformed"}
+        header = arc_header(text, version)
+        if header is None:
+            values = text.split(" ")
+            if len(values) >= len(ARC_FIELDS[1]) and values[-1].isdigit():
+                offset += len(stream.read(int(values[-1])))
+            yield {"arc_file": name, "arc_offset": start, "version": version, "error": "malformed"}
             continue
+        kind, fields = header
         block = stream.read(int(fields["length"]))
         offset += len(block)
         whole = len(block) == int(fields["length"])
@@ -233,7 +263,7 @@ def _read(spark: SparkSession, paths: list[str], ddl: str, parse, drop: list[str
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,arc,warc}").load(paths)
     return files.select("path", "content").mapInArrow(rows, kept)
 
 
@@ -268,8 +298,8 @@ def convert(records: DataFrame, revisits: DataFrame) -> DataFrame:
     digits = F.rpad(F.regexp_replace("date", r"[^0-9]", ""), 14, "0")
     when = F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))
     body_start = F.octet_length("block") - F.col("payload_bytes").cast("int")
-    return records.where("error is null").join(revisits, "record_id", "left").select(
-        "record_id", "url", "ip", "mime", "http", "block", "refers_to_id",
+    return records.where("error is null or error = 'truncated'").join(revisits, "record_id", "left").select(
+        "record_id", "url", "ip", "mime", "http", "block", "refers_to_id", F.col("error").isNotNull().alias("truncated"),
         F.when(F.col("refers_to_id").isNotNull(), "revisit").when(F.col("http"), "response").otherwise("resource").alias("record_type"),
         F.coalesce(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("warc_date"),
         F.substring("block", F.lit(1), body_start).alias("http_head"), _base32(F.col("payload_digest")).alias("digest32"))

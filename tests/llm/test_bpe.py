@@ -67,3 +67,11 @@ def test_query(spark, library):
         assert out[d.doc_id].n_tokens == len(ids)
         assert out[d.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert out[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_rows_that_are_dealt_anew(spark, library):
+    """Long texts keep their own ids on unstored input that is dealt round, also beside columns named like the helpers."""
+    rows = [(i, f"document {i} " + f"w{i} " * 300, i, -i) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, _piece long").repartition(7)
+    for r in bpe.decode(bpe.encode(docs, piece_chars=256)).collect():
+        assert r.decoded == rows[r.doc_id][1] and (r["_row"], r["_piece"]) == (r.doc_id, -r.doc_id)

@@ -65,3 +65,11 @@ def test_awkward_rows(spark):
 def test_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 10) - 18.307038) < 1e-5
     assert abs(neighbours.chi_square_quantile(0.5, 2) - 1.386294) < 1e-5
+
+
+def test_ties_go_to_the_smallest_ids(spark):
+    """300 different vectors with the same product: the 20 smallest ids are found, whatever order they come in."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(a), float(b)]) for i, (a, b) in enumerate(((a, b) for a in range(-9, 10) for b in range(1, 17)), 1)]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(3)
+    found = neighbours.nearest(df, lambda i: i == 0, k=20).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21)) and {r.score for r in found} == {1.0}

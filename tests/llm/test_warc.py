@@ -50,3 +50,29 @@ def test_round_trip(spark):
 def test_query(spark):
     out = queries.QUERIES["op1_arc_to_warc"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_headers():
+    """Blanks in urls and content types, lines without a header, and payloads that look like headers."""
+    trap = b"http://evil/ 0.0.0.0 20000101000000 text/html 3\nabc\n"
+    for version in (1, 2):
+        bad = b"http://bad/ 1.2.3.4 nodate text/html " + (b"x 200 - - zero x.arc " if version == 2 else b"x y z w v ") + str(len(trap)).encode() + b"\n" + trap + b"\n"
+        data = arc(version) + record("http://a/b c d", b"one", version) + record("http://e/", b"two", version).replace(b"text/html", b"text/html; charset=x", 1) + bad + record("http://f/", b"three", version)
+        rows = list(warc.parse_arc("f", data))
+        assert [(r.get("url"), r["error"]) for r in rows] == [("http://a/b c d", None), ("http://e/", None), (None, "malformed"), ("http://f/", None)]
+        assert rows[1]["mime"] == "text/html; charset=x" and rows[0]["payload_bytes"] == 3
+    assert warc.arc_header("http://x y/ 1.1.1.1 20000101000000 text/html 7", None)[1]["url"] == "http://x y/"
+
+
+def test_plain_and_truncated_archives(spark, tmp_path):
+    """Archives that are not compressed are converted too; a record cut short is written with what is there."""
+    whole = arc(1) + record("http://a/ b", b"HTTP/1.0 200 OK\r\nX-Page-Id: 1\r\n\r\nbody") + record("http://cut/", b"HTTP/1.0 200 OK\r\nX-Page-Id: 2\r\n\r\npart", length=900)
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "plain.arc").write_bytes(whole)
+    (source / "packed.arc.gz").write_bytes(gzip.compress(whole))
+    warc.convert_archives(spark, [str(source)], str(target))
+    out = [(r.url, r.order_key, bytes(r.payload)) for r in warc.warc_records(spark, [str(target)]).collect()]
+    assert sorted(out) == sorted([("http://a/ b", 1, b"body"), ("http://cut/", 2, b"part\n")] * 2)
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in target.glob("*.gz"))
+    assert text.count(b"WARC-Truncated: unspecified") == 2
