@@ -256,22 +256,17 @@ def gram_sets(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
 
 def shared_ngram_pairs(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
     """Pairs of distinct gram sets with a shared n-gram: a < b, shared, union and the copies of each."""
-    sets = gram_sets(df, id_col, text, n).filter(F.size("grams") > 0)
+    sets = tiles.shared_grams(gram_sets(df, id_col, text, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                shared, size_l, size_r = tiles.shared_counts(row)
-                if row.l_tile == row.r_tile:
-                    shared = np.triu(shared, 1)
-                at_l, at_r = np.nonzero(shared)
-                s = shared[at_l, at_r]
+                at_l, at_r, shared, union = tiles.shared_pairs(row)
                 left, right = np.asarray(row.l_ids)[at_l], np.asarray(row.r_ids)[at_r]
                 wl, wr = np.asarray(row.l_weights)[at_l], np.asarray(row.r_weights)[at_r]
                 swap = left > right
                 yield pd.DataFrame({
-                    "a": np.where(swap, right, left), "b": np.where(swap, left, right), "shared": s,
-                    "union_size": size_l[at_l] + size_r[at_r] - s,
+                    "a": np.where(swap, right, left), "b": np.where(swap, left, right), "shared": shared, "union_size": union,
                     "copies_a": np.where(swap, wr, wl), "copies_b": np.where(swap, wl, wr)})
 
     schema = "a long, b long, shared long, union_size long, copies_a long, copies_b long"
@@ -281,8 +276,8 @@ def shared_ngram_pairs(df: DataFrame, id_col: str, text: str, n: int = 4) -> Dat
 def self_bleu(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
     """Mean pairwise Jaccard of n-gram sets over all pairs of texts.
 
-    Copies contribute in closed form; distinct sets are compared tile by tile and only the sum of
-    each tile pair leaves the task.
+    Copies contribute in closed form. Only grams that two sets hold and sets with such a gram are compared, tile by tile;
+    a sum leaves the task for each tile pair. All other pairs are 0.
     """
     sets = durable(gram_sets(df, id_col, text, n))
     same = F.when(F.size("grams") > 0, F.col("weight") * (F.col("weight") - 1) / 2.0).otherwise(F.lit(0.0))
@@ -292,20 +287,19 @@ def self_bleu(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
         for pdf in batches:
             sums = []
             for row in pdf.itertuples(index=False):
-                shared, size_l, size_r = tiles.shared_counts(row)
-                union = size_l[:, None] + size_r[None, :] - shared
-                jac = np.where(union > 0, shared / np.maximum(union, 1), 0.0)
-                if row.l_tile == row.r_tile:
-                    jac = np.triu(jac, 1)
-                sums.append(float(np.asarray(row.l_weights) @ jac @ np.asarray(row.r_weights)))
+                at_l, at_r, shared, union = tiles.shared_pairs(row)
+                sums.append(float((np.asarray(row.l_weights)[at_l] * np.asarray(row.r_weights)[at_r] * (shared / union)).sum()))
             yield pd.DataFrame({"s": sums})
 
-    cross = tiles.self_pairs(tiles.pack_sets(sets)).mapInPandas(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_cross"))
+    cross = tiles.self_pairs(tiles.pack_sets(tiles.shared_grams(sets))).mapInPandas(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_cross"))
     total = with_scalars(cross, inside)
     pairs = F.col("_n") * (F.col("_n") - 1) / 2.0
     return total.select(F.round(F.coalesce((F.col("_cross") + F.col("_same")) / F.nullif(pairs, F.lit(0.0)), F.lit(0.0)), 6).alias("self_bleu"))
 
 
+RADIX_BITS = (20, 22, 22)
+
+
 def _squared(row) -> np.ndarray:
     x, y = tiles.matrix(row.l_data, row.l_n), tiles.matrix(row.r_data, row.r_n)
     d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
@@ -315,8 +309,8 @@ def _squared(row) -> np.ndarray:
 def mmd2(x: DataFrame, y: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Unbiased MMD^2 with an RBF kernel and the exact median of all off-diagonal squared distances.
 
-    Distances never leave their task: the median is found by radix selection over histograms of the
-    float bit pattern (16 bits per pass), then one more pass sums the kernels per tile pair.
+    Distances never leave their task: both middle ranks are found by one radix selection over histograms of the float bit
+    pattern, a pass for each part of RADIX_BITS, then one more pass sums the kernels per tile pair.
     """
     spark = x.sparkSession
     sides = x.select(id_col, vec_col, F.lit(0).alias("_s")).unionByName(y.select(id_col, vec_col, F.lit(1).alias("_s")))
@@ -334,31 +328,38 @@ def mmd2(x: DataFrame, y: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         d = _squared(row)
         return d[np.triu_indices(len(d), 1)] if row.l_tile == row.r_tile else d.ravel()
 
-    def at_rank(rank: int) -> float:
-        prefix = 0
-        for level in range(4):
-            shift = np.uint64(48 - 16 * level)
+    def at_ranks(ranks: list[int]) -> list[float]:
+        """The distances at some zero-based ranks: a histogram of the leading bits for all of them in one pass, then
+        histograms of the bits that follow, inside the cells that hold the ranks."""
+        prefixes = [0] * len(ranks)
+        done = 0
+        for width in RADIX_BITS:
+            shift = np.uint64(64 - done - width)
+            open_cells = sorted(set(prefixes))
 
-            def run(batches, shift=shift, prefix=prefix, level=level):
+            def run(batches, shift=shift, open_cells=open_cells, width=width, done=done):
                 for pdf in batches:
-                    counts = np.zeros(65536, dtype=np.int64)
+                    counts = np.zeros((len(open_cells), 1 << width), dtype=np.int64)
                     for row in pdf.itertuples(index=False):
                         bits = distances(row).view(np.uint64)
-                        if level:
-                            bits = bits[(bits >> np.uint64(int(shift) + 16)) == np.uint64(prefix)]
-                        counts += np.bincount(((bits >> shift) & np.uint64(0xFFFF)).astype(np.int64), minlength=65536)
-                    hit = np.flatnonzero(counts)
-                    yield pd.DataFrame({"cell": hit, "c": counts[hit]})
-
-            cells = pairs.mapInPandas(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-            running = F.sum("c").over(Window.orderBy("cell"))  # at most 65536 rows
-            hit = cells.withColumn("cum", running).filter(F.col("cum") > rank).orderBy("cell").first()
-            rank -= hit["cum"] - hit["c"]
-            prefix = (prefix << 16) | hit["cell"]
-        return float(np.array([prefix], dtype=np.uint64).view(np.float64)[0])
-
-    lower = at_rank((total - 1) // 2)
-    upper = lower if total % 2 else at_rank(total // 2)
+                        for i, prefix in enumerate(open_cells):
+                            inside = bits[(bits >> np.uint64(64 - done)) == np.uint64(prefix)] if done else bits
+                            np.add.at(counts[i], ((inside >> shift) & np.uint64((1 << width) - 1)).astype(np.int64), 1)
+                    which, cell = np.nonzero(counts)
+                    yield pd.DataFrame({"prefix": np.array(open_cells, dtype=np.int64)[which], "cell": cell, "c": counts[which, cell]})
+
+            cells = pairs.mapInPandas(run, "prefix long, cell long, c long").groupBy("prefix", "cell").agg(F.sum("c").alias("c"))
+            running = F.sum("c").over(Window.partitionBy("prefix").orderBy("cell"))  # at most 2^width rows a prefix
+            table = cells.withColumn("cum", running)
+            wanted = [(F.col("prefix") == p) & (F.col("cum") > r) & (F.col("cum") - F.col("c") <= r) for p, r in zip(prefixes, ranks)]
+            hits = table.filter(reduce(lambda a, b: a | b, wanted)).collect()  # one row a rank
+            for i, (p, r) in enumerate(zip(prefixes, ranks)):
+                hit = next(h for h in hits if h["prefix"] == p and h["cum"] > r >= h["cum"] - h["c"])
+                ranks[i], prefixes[i] = r - (hit["cum"] - hit["c"]), (p << width) | hit["cell"]
+            done += width
+        return [float(v) for v in np.array(prefixes, dtype=np.uint64).view(np.float64)]
+
+    lower, upper = at_ranks([(total - 1) // 2, total // 2])
     gamma = 1.0 / ((lower + upper) / 2.0 + 1e-12)
 
     def kernels(batches):

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, shuffle_width
@@ -112,8 +112,19 @@ def inner_products(row) -> np.ndarray:
 
 # --- sets of grams --------------------------------------------------------------------------------
 
+def shared_grams(sets: DataFrame) -> DataFrame:
+    """Sets (id, weight, grams) cut to the grams that another set holds too, with ``total``, the size of the whole set.
+
+    Sets without such a gram go: they have no pair. Grams are counted in sorted order, so a gram that very many sets hold
+    is never held in one row.
+    """
+    each = sets.select("id", "weight", F.size("grams").alias("total"), F.explode("grams").alias("gram"))
+    common = each.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter(F.col("_n") > 1)
+    return common.groupBy("id", "weight", "total").agg(F.collect_list("gram").alias("grams"))
+
+
 def pack_sets(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Tiles of (id, weight, grams array<long>): flat gram hashes plus set sizes."""
+    """Tiles of (id, weight, total, grams array<long>): flat gram hashes, their numbers and the sizes of the whole sets."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,15 +134,18 @@ def pack_sets(df: DataFrame, rows: int = 256) -> DataFrame:
                 flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in part["grams"]]) if sizes.sum() else np.zeros(0, np.int64)
                 yield pd.DataFrame({
                     "ids": [part["id"].to_numpy(np.int64)], "weights": [part["weight"].to_numpy(np.int64)],
-                    "sizes": [sizes.tobytes()], "grams": [flat.tobytes()],
+                    "totals": [part["total"].to_numpy(np.int64).tobytes()], "sizes": [sizes.tobytes()], "grams": [flat.tobytes()],
                 })
 
-    schema = "ids array<long>, weights array<long>, sizes binary, grams binary"
-    return df.select("id", "weight", "grams").mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
+    schema = "ids array<long>, weights array<long>, totals binary, sizes binary, grams binary"
+    return df.select("id", "weight", F.col("total").cast("long").alias("total"), "grams").mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
 
 
-def shared_counts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shared gram counts left x right, left sizes, right sizes) of one tile pair."""
+def shared_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one tile pair that share a gram: left and right place, shared grams, size of the union.
+
+    The right tile's grams are postings; each gram of the left tile meets those of its own only.
+    """
     size_l, size_r = np.frombuffer(row.l_sizes, np.int64), np.frombuffer(row.r_sizes, np.int64)
     gram_l, gram_r = np.frombuffer(row.l_grams, np.int64), np.frombuffer(row.r_grams, np.int64)
     owner_l, owner_r = np.repeat(np.arange(len(size_l)), size_l), np.repeat(np.arange(len(size_r)), size_r)
@@ -142,8 +156,18 @@ def shared_counts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # positions lo..hi-1 of every left gram, laid out one after the other
     at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
     cell = np.repeat(owner_l, count) * len(size_r) + owner_r[order[at]]
-    shared = np.bincount(cell, minlength=len(size_l) * len(size_r)).reshape(len(size_l), len(size_r))
-    return shared, size_l, size_r
+    if len(cell) * 8 < len(size_l) * len(size_r):
+        pair, shared = np.unique(cell, return_counts=True)
+    else:
+        counts = np.bincount(cell, minlength=1)
+        pair = np.flatnonzero(counts)
+        shared = counts[pair]
+    at_l, at_r = np.divmod(pair, max(len(size_r), 1))
+    if row.l_tile == row.r_tile:
+        upper = at_l < at_r
+        at_l, at_r, shared = at_l[upper], at_r[upper], shared[upper]
+    union = np.frombuffer(row.l_totals, np.int64)[at_l] + np.frombuffer(row.r_totals, np.int64)[at_r] - shared
+    return at_l, at_r, shared, union
 
 
 def pack_queries(queries: DataFrame, exclude_col: str, rows: int = 256) -> DataFrame:
