@@ -151,17 +151,19 @@ def score_distribution(rows: DataFrame, official: str = "official", dense: str =
 
 def latency_summary(reqs: DataFrame, by: str) -> DataFrame:
     """ok/failed, nearest-rank p50/p99 of TTFT and TPOT, means, output tokens per second of wall time."""
-    good = reqs.filter("ok")
     sums = reqs.groupBy(by).agg(
         F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"),
         F.round(F.avg(F.when(F.col("ok"), F.col("ttft_ms"))), 6).alias("mean_ttft_ms"),
         F.round(F.avg(F.when(F.col("ok"), F.col("tpot_ms"))), 6).alias("mean_tpot_ms"),
         F.sum(F.when(F.col("ok"), F.col("out_tokens"))).alias("_tok"), (F.max("end_s") - F.min("start_s")).alias("_wall"))
     out = sums.withColumn("tokens_per_s", F.round(F.col("_tok") / F.col("_wall"), 6)).drop("_tok", "_wall")
-    for name in ("ttft", "tpot"):
-        ranks = nearest_rank(good, [by], f"{name}_ms", {f"{name}_p50_ms": 50, f"{name}_p99_ms": 99}).drop("n")
-        out = out.join(ranks, by, "left")
-    return out
+    # both times as rows of one table, so that all ranks come from one selection
+    names = ["ttft", "tpot"]
+    times = F.explode(F.array(*[F.struct(F.lit(name).alias("time"), F.col(f"{name}_ms").cast("double").alias("ms")) for name in names])).alias("_t")
+    each = reqs.filter("ok").select(by, times).select(by, "_t.time", "_t.ms")
+    ranks = nearest_rank(each, [by, "time"], "ms", {"p50": 50, "p99": 99})
+    wide = ranks.groupBy(by).agg(*[F.max(F.when(F.col("time") == name, F.col(p))).alias(f"{name}_{p}_ms") for name in names for p in ("p50", "p99")])
+    return out.join(wide, by, "left")
 
 
 def counter_delta(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:

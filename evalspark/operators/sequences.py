@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ranking import first_per_key, numbered, running_max
 
 
@@ -101,17 +102,33 @@ def pack_context(ranked: DataFrame, text: str, budget: int, soft: float = 0.75,
 def running_best(log: DataFrame, key: str, order: str, value: str, threshold: float) -> DataFrame:
     """Rows accepted by a search: the first, then every row above the last accepted value + threshold.
 
-    An accepted row always beats every earlier value, so only records (strict running maxima) can be
-    accepted. They are found with balanced slices; the fold runs over the few records of a log.
+    An accepted row always beats every earlier value, so only records (strict running maxima) can be accepted. Each record
+    points to the first one that passes it by the threshold, the record with the least value above. Accepted are those on
+    the path of pointers from the first record, which doubles in each round: pointers are joined with themselves, so a
+    path of n rows takes log2(n) rounds, and no log is ever held in one row or task. Rows without a value are left out.
     """
-    top = running_max(log.select(key, order, value), [key], [order], value, "_top")
-    records = top.filter(F.col("_top").isNull() | (F.col(value) > F.col("_top")))
-    lists = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_r"))
-    none = F.slice("_r", 1, 0)
-    chain = F.aggregate(
-        "_r", none,
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["v"] > F.try_element_at(acc, F.lit(-1))["v"] + threshold), F.concat(acc, F.array(x))).otherwise(acc))
-    return lists.select(key, F.explode(chain).alias("a")).select(key, F.col("a.o").alias(order), F.col("a.v").alias(value))
+    if threshold < 0:
+        raise ValueError("a threshold below 0 would accept rows that are no records")
+    found = log.select(F.col(key).alias("_key"), F.col(order).alias("_o"), F.col(value).alias("_v")).filter("_v is not null")
+    tops = running_max(found, ["_key"], ["_o"], "_v", "_top")
+    records = durable(tops.filter(F.col("_top").isNull() | (F.col("_v") > F.col("_top"))).select("_key", "_o", "_v"))
+    # walk down the values: the record met last before value + threshold is the next one to be accepted
+    met = records.select("_key", (-F.col("_v")).alias("_down"), F.lit(1).alias("_kind"), F.col("_v").alias("_from"), (-F.col("_v")).alias("_seen"))
+    asked = records.select("_key", (-(F.col("_v") + threshold)).alias("_down"), F.lit(0).alias("_kind"), F.col("_v").alias("_from"), F.lit(None).cast(met.schema["_seen"].dataType).alias("_seen"))
+    pointers = running_max(met.unionByName(asked), ["_key"], ["_down", "_kind"], "_seen", "_next").filter("_kind = 0 and _next is not null")
+    jump = durable(pointers.select("_key", F.col("_from").alias("_a"), (-F.col("_next")).alias("_b")))
+    path = durable(records.groupBy("_key").agg(F.min("_v").alias("_v")))
+
+    def follow(left: DataFrame, at: str, onto: str) -> DataFrame:
+        steps = jump.select(F.col("_key").alias("_k"), F.col("_a").alias("_from"), F.col("_b").alias("_to"))
+        return left.join(steps, F.col("_key").eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_from"))).select("_key", *([onto] if onto else []), "_to")
+
+    while not (further := durable(follow(path, "_v", "").withColumnRenamed("_to", "_v"))).isEmpty():
+        path = durable(path.unionByName(further))
+        jump = durable(follow(jump, "_b", "_a").withColumnRenamed("_to", "_b"))
+    chosen = path.select(F.col("_key").alias("_k"), F.col("_v").alias("_best"))
+    kept = records.join(chosen, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_v") == F.col("_best")))
+    return kept.select(F.col("_key").alias(key), F.col("_o").alias(order), F.col("_v").alias(value))
 
 
 def exclude_seen(results: DataFrame, seen: DataFrame, k: int, keys: Sequence[str] = ("session_id",), item: str = "chunk_id",

@@ -98,6 +98,15 @@ def test_running_best_accepts_like_a_loop(skewed):
         assert sorted(got[key]) == accepted
 
 
+def test_running_best_of_a_rising_log(spark):
+    """Every row is a record; nothing is gathered per log, and the path of 2,500 rows takes some twelve rounds."""
+    df = spark.range(20_000).selectExpr("'a' as key", "id", "id * 1.0D as v").unionByName(spark.range(3).selectExpr("'b' as key", "id", "case id when 1 then null else 5.0D end as v"))
+    got = sequences.running_best(df, "key", "id", "v", 7.0).collect()
+    assert sorted((r["key"], r["id"]) for r in got) == [("a", i) for i in range(0, 20_000, 8)] + [("b", 0)]
+    with pytest.raises(ValueError):
+        sequences.running_best(df, "key", "id", "v", -1.0)
+
+
 def test_dedup_is_idempotent_and_partition_free(skewed):
     _, df = skewed
     hashed = df.select("id", "key", F.col("v").cast("string").alias("content_hash"), F.lit(0).alias("source_rank"))
