@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, lists
 from ..functions.text import col, contains_folded, ngrams, tokens, word_count
-from .ranking import first_per_key, lowest_per_key, top_k, with_scalars
+from .ranking import first_rows, first_per_key, lowest_per_key, top_k, with_scalars
 
 
 def with_hashes(df: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def partition_by_skill(df: DataFrame, skills: Mapping[str, str], actions: str =
 
 def length_band_sample(df: DataFrame, text: str, lo: int, hi: int, n: int, id_col: str, seed: int) -> DataFrame:
     banded = df.filter(word_count(text).between(lo, hi))
-    return banded.withColumn("_key", sample_key(id_col, seed)).orderBy("_key", id_col).limit(n).drop("_key")
+    return first_rows(banded.withColumn("_key", sample_key(id_col, seed)), ["_key", id_col], n).drop("_key")
 
 
 def quality_gate(df: DataFrame, bands: Mapping[str, tuple[float | None, float | None]]) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +147,7 @@ def train_eval_split(df: DataFrame, id_col: str, percent: int = 5, seed: int = 4
     """split column by hash; with a cap the lowest sample keys are kept. Stable under repartition."""
     keyed = df.withColumn("_key", sample_key(id_col, seed))
     if cap is not None:
-        keyed = keyed.orderBy("_key", id_col).limit(cap)
+        keyed = first_rows(keyed, ["_key", id_col], cap)
     return keyed.withColumn("split", F.when(F.col("_key") % 100 < percent, "eval").otherwise("train")).drop("_key")
 
 
@@ -157,7 +157,7 @@ def select_problems(df: DataFrame, date: str, id_col: str, difficulty: str, sinc
 
     def pick(wanted):
         kept = df.filter((F.col(date) >= F.lit(since).cast("date")) & F.col(difficulty).isin(*wanted))
-        return kept.orderBy(date, id_col).limit(limit)
+        return first_rows(kept, [date, id_col], limit)
 
     chosen = pick(levels)
     if widen and chosen.limit(least).count() < least:

@@ -26,6 +26,17 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of a whole table, for any n.
+
+    Up to SMALL_K each task keeps n rows and the driver's merge is small. Beyond, rows are numbered over range slices, so
+    no task takes them all; same result.
+    """
+    if n <= SMALL_K:
+        return df.orderBy(*order).limit(n)
+    return numbered(df, [], list(order), "_place").filter(F.col("_place") <= n).drop("_place")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "_first").drop("_first")
 

@@ -98,6 +98,13 @@ def test_running_best_accepts_like_a_loop(skewed):
         assert sorted(got[key]) == accepted
 
 
+@pytest.mark.parametrize("n", [0, 5, 1_000, 1_500, 9_999])
+def test_first_rows_of_any_number(skewed, n):
+    rows, df = skewed
+    got = sorted((r["v"], r["id"]) for r in ranking.first_rows(df, ["v", "id"], n).collect())
+    assert got == sorted((r["v"], r["id"]) for r in df.collect())[:n]
+
+
 def test_running_best_of_a_rising_log(spark):
     """Every row is a record; nothing is gathered per log, and the path of 2,500 rows takes some twelve rounds."""
     df = spark.range(20_000).selectExpr("'a' as key", "id", "id * 1.0D as v").unionByName(spark.range(3).selectExpr("'b' as key", "id", "case id when 1 then null else 5.0D end as v"))
