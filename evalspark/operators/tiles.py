@@ -1,11 +1,12 @@
 """Blocked all-pairs work: rows are packed into bounded tiles and tile pairs are computed with numpy.
 
 A tile is a slice of one Arrow batch, so packing needs no shuffle and no tile grows with a key.
-Tile pairs come from an equi-join on a salt, and only sums, counts or top-k rows leave a task - never the pairs themselves.
+Tile pairs come from an equi-join on a block number, and only sums, counts or top-k rows leave a task - never the pairs themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,23 +39,30 @@ BROADCAST_BYTES = 64 << 20
 
 
 def tile_bytes(tiles: DataFrame) -> int:
-    sizes = [F.octet_length(name) for name, kind in tiles.dtypes if kind == "binary"]
-    return tiles.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0))).first()[0]
+    """Bytes of all columns: binaries as they are, lists of ids by their text."""
+    sizes = [F.octet_length(name) if kind == "binary" else F.octet_length(F.to_json(F.struct(name))) for name, kind in tiles.dtypes if kind == "binary" or kind.startswith("array")]
+    return tiles.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0]).cast("long")), F.lit(0))).first()[0]
 
 
 def tile_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every left tile next to every right tile, columns prefixed l_ and r_.
 
-    The right side is measured: up to 64 MB it is broadcast and the left side never moves. Beyond
-    that both sides meet on a salt, the right side repeated once per salt.
+    The right side is measured: up to 64 MB it is broadcast and the left side never moves. Beyond that the tiles meet in a
+    square of blocks, about as many as there are shuffle partitions: a left tile goes to every block of its row, a right
+    one to every block of its column, so each side is copied about as often as the root of that number.
     """
     small = tile_bytes(right) <= BROADCAST_BYTES
-    salts = 1 if small else shuffle_width(left.sparkSession)
-    own = F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("long").alias("_salt")
-    every = own if small else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], own)
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], every)
-    return a.join(F.broadcast(b) if small else b, "_salt").drop("_salt")
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    if small:
+        one = lambda tile: F.pmod(F.xxhash64(tile), F.lit(1))
+        return a.withColumn("_block", one("l_tile")).join(F.broadcast(b.withColumn("_block", one("r_tile"))), "_block").drop("_block")
+    side = math.ceil(shuffle_width(left.sparkSession) ** 0.5)
+    every = F.sequence(F.lit(0), F.lit(side - 1))
+    own = lambda tile: F.pmod(F.xxhash64(tile), F.lit(side)).cast("int")
+    rows = a.withColumn("_own", own("l_tile")).withColumn("_block", F.explode(F.transform(every, lambda x: F.col("_own") * side + x)))
+    columns = b.withColumn("_own", own("r_tile")).withColumn("_block", F.explode(F.transform(every, lambda x: x * side + F.col("_own"))))
+    return rows.drop("_own").join(columns.drop("_own"), "_block").drop("_block")
 
 
 def self_pairs(tiles: DataFrame) -> DataFrame:

@@ -363,6 +363,13 @@ def last_grades(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("trace_id").agg(chosen).select("trace_id", "c.end_us", "c.score", "c.graded")
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists and has a finished batch, asked of its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and any(files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")) for s in files.listStatus(folder))
+
+
 def incremental_ingest(stream: DataFrame, done_path: str, marks: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> None:
     """Append results of items not seen before. A batch that is replayed after a failure is skipped by its id.
 
@@ -371,13 +378,8 @@ def incremental_ingest(stream: DataFrame, done_path: str, marks: str, key: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
+        if holds_files(spark, done_path):  # the first batch finds no table
             done = spark.read.parquet(done_path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        if done is not None:
             fresh = fresh.join(done.filter(F.col("batch_id") != batch_id).select(key), key, "left_anti")
         transform(fresh).write.mode("overwrite").parquet(f"{done_path}/batch_id={batch_id}")
 

@@ -387,6 +387,23 @@ def test_search_beyond_the_broadcast_bound(clustered, monkeypatch):
     assert sorted(map(tuple, quantize.flat_topk(queries, vectors, 3).collect())) == near
 
 
+def test_tile_pairs_in_a_square(spark, monkeypatch):
+    """Beyond the bound every pair of tiles meets once, and no tile is copied more often than the root of the partitions."""
+    from evalspark.operators import tiles
+
+    left = spark.range(30).selectExpr("id as tile", "cast('x' as binary) as data")
+    right = spark.range(17).selectExpr("id as tile", "cast('y' as binary) as data", "array(cast(id as string)) as ids")
+    assert tiles.tile_bytes(right) > 17
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tiles, "shuffle_width", lambda _: 16)
+    pairs = tiles.tile_pairs(left, right)
+    assert sorted((r["l_tile"], r["r_tile"]) for r in pairs.collect()) == [(a, b) for a in range(30) for b in range(17)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "CartesianProduct" not in plan
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 64 << 20)
+    assert tiles.tile_pairs(left, right).count() == 30 * 17
+
+
 def test_quantized_recall(clustered):
     _, _, queries, vectors = clustered
     truth = quantize.flat_topk(queries, vectors)
