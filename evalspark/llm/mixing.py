@@ -38,9 +38,9 @@ log = logging.getLogger(__name__)
 
 BUCKETS = 1 << 12
 MAX_ROWS = 50_000
-MU = 1e-4
+MU = 1e-6
 TEMPERATURES = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0]
-OWN = ["n_tokens", "domain", "posteriors", "rate", "copies"]
+OWN = ["n_tokens", "domain", "posteriors", "rate", "copies", "converged"]
 
 
 @dataclass
@@ -135,6 +135,7 @@ class Solution:
     steps: list[np.ndarray]  # misses of the domains at each step, as shares of all tokens
     momentum: list[float]
     rate_of_step: float
+    natural: np.ndarray
     mu: float
     max_rate: float
     targets: np.ndarray
@@ -143,13 +144,18 @@ class Solution:
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors p after all steps."""
-        return replay(p, self.steps, self.momentum, self.rate_of_step, self.mu, self.max_rate)[0]
+        return replay(p, self.steps, self.momentum, self.rate_of_step, self.natural, self.mu, self.max_rate)[0]
 
 
-def replay(p: np.ndarray, steps, momentum, size: float, mu: float, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and look-ahead rates after the given steps; every rate starts at 1, within its bounds."""
+def replay(p: np.ndarray, steps, momentum, scale: float, natural: np.ndarray, mu: float, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and look-ahead rates after the given steps; every rate starts at 1, within its bounds.
+
+    A document's step is divided by the share that its domains have of the corpus. Rates of a rare domain move its total
+    little, so they take larger steps, and all domains come near their targets in about as many of them.
+    """
     w = np.full(len(p), min(1.0, max_rate))
     ahead = w
+    size = scale / (p @ natural + mu)
     for miss, m in zip(steps, momentum):
         new = np.clip(ahead - size * (p @ miss + mu * (ahead - 1.0)), 0.0, max_rate)
         ahead, w = new + m * (new - w), new
@@ -157,30 +163,37 @@ def replay(p: np.ndarray, steps, momentum, size: float, mu: float, max_rate: flo
 
 
 def solve(
-    members: DataFrame, weights: list[float], mu: float = MU, max_rate: float = float("inf"), max_steps: int = 80, tolerance: float = 1e-4
+    members: DataFrame, weights: list[float], mu: float = MU, max_rate: float = float("inf"), max_steps: int = 400, tolerance: float = 1e-4
 ) -> Solution:
     """Fit the rates to target weights (shares of the domains, in the classifier's order). ``members`` should be stored.
 
-    Stops when the domains' totals change by less than ``tolerance`` of all tokens in two steps running; ``converged`` says so.
+    Stops when the total of each domain changes by less than ``tolerance`` of all tokens, and by less than a hundredth of
+    a small target, in two steps running; ``converged`` says so.
     """
     d = len(weights)
     share = np.array(weights, float) / sum(weights)
 
-    def moments(batches):
-        total = np.zeros((d + 1, d))
+    def expected(batches):
         for batch in batches:
             n, p = _arrays(batch, d)
-            total[0] += n @ p
-            total[1:] += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(d * (d + 1)), pa.int64()), pa.array(total.ravel())], names=["k", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int64()), pa.array(n @ p)], names=["k", "s"])
 
-    first = _sums(members, moments, d * (d + 1)).reshape(d + 1, d)
-    tokens = first[0].sum()
+    own = _sums(members, expected, d)
+    tokens = own.sum()
     if not tokens:
-        return Solution([], [], 0.0, mu, max_rate, share * 0, share * 0, True)
-    natural = first[0] / tokens
+        return Solution([], [], 0.0, share * 0, mu, max_rate, share * 0, share * 0, True)
+    natural = own / tokens
     targets = share
-    size = 1.0 / (float(np.linalg.eigvalsh(first[1:] / tokens)[-1]) + mu)
+
+    def moments(batches):
+        total = np.zeros((d, d))
+        for batch in batches:
+            n, p = _arrays(batch, d)
+            total += (p * (n / (p @ natural + mu))[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(d * d), pa.int64()), pa.array(total.ravel())], names=["k", "s"])
+
+    curvature = _sums(members, moments, d * d).reshape(d, d) / tokens
+    size = 1.0 / (float(np.linalg.eigvalsh(curvature)[-1]) + 1.0)
     steps: list[np.ndarray] = []
     momentum: list[float] = []
     t, last, still, converged = 1.0, None, 0, False
@@ -191,7 +204,7 @@ def solve(
             out = np.zeros(2 * d)
             for batch in batches:
                 n, p = _arrays(batch, d)
-                w, ahead = replay(p, steps, momentum, size, mu, max_rate)
+                w, ahead = replay(p, steps, momentum, size, natural, mu, max_rate)
                 out[:d] += (n * ahead) @ p
                 out[d:] += (n * w) @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(2 * d), pa.int64()), pa.array(out)], names=["k", "s"])
@@ -199,7 +212,8 @@ def solve(
         both = _sums(members, totals, 2 * d) / tokens
         reached, misses = both[d:], both[d:] - targets
         moved = reached * 0 if last is None else reached - last
-        still = still + 1 if last is not None and np.abs(moved).max() < tolerance else 0
+        near = tolerance * np.minimum(1.0, 100 * np.maximum(targets, 1e-6))
+        still = still + 1 if last is not None and (np.abs(moved) < near).all() else 0
         if still == 2:
             converged = True
             break
@@ -209,7 +223,7 @@ def solve(
         steps.append(both[:d] - targets)
         momentum.append((t - 1) / following)
         t, last = following, reached
-    return Solution(steps, momentum, size, mu, max_rate, targets, misses, converged)
+    return Solution(steps, momentum, size, natural, mu, max_rate, targets, misses, converged)
 
 
 def _arrays(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,10 +248,10 @@ def _sums(members: DataFrame, part, size: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, model: Classifier, found: Solution) -> DataFrame:
-    """Add n_tokens, domain (the likeliest), posteriors, rate and copies to every document."""
+    """Add n_tokens, domain (the likeliest), posteriors, rate, copies and converged (of the fit) to every document."""
     kept = docs.drop(*OWN)
     with_seed = kept.withColumn("copies", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text")]), F.lit(1 << 20)) / (1 << 20))
-    fields = T.StructType.fromDDL("n_tokens bigint, domain string, posteriors array<double>, rate double, copies bigint").fields
+    fields = T.StructType.fromDDL("n_tokens bigint, domain string, posteriors array<double>, rate double, copies bigint, converged boolean").fields
 
     def rated(batches):
         for batch in batches:
@@ -248,7 +262,7 @@ def mix(docs: DataFrame, model: Classifier, found: Solution) -> DataFrame:
             names = [c for c in batch.schema.names if c != "copies"]
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(c) for c in names), pa.array(n), pa.array([model.domains[k] for k in p.argmax(1)]),
-                pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rate), pa.array(copies)], names=[*names, *OWN])
+                pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rate), pa.array(copies), pa.array([found.converged] * len(rate), pa.bool_())], names=[*names, *OWN])
 
     return with_seed.mapInArrow(rated, T.StructType(kept.schema.fields + fields))
 
@@ -281,6 +295,8 @@ def mix_to_targets(
         tokens = tokens_by_domain(members, len(domains))
         weights = [x**smoothing if x > 0 else 0.0 for x in tokens] if any(tokens) else [1.0] * len(domains)
     found = solve(members, weights, max_rate=max_rate)
+    if not found.converged:
+        log.warning("the rates still moved after %d steps", len(found.steps))
     for d, target, miss in zip(domains, found.targets, found.misses):
         if abs(miss) >= 0.01 or abs(miss) > 0.1 * target:
             log.warning("domain %s has %.5f of all tokens for a target of %.5f", d, target + miss, target)

@@ -66,3 +66,18 @@ def test_rare_domains_leave_the_others_alone(spark, caplog, rare):
     assert sum(r.rate for r in got) > 0.99 * len(got) and min(r.rate for r in got if r.lang == "de" or not rare) > 0.95
     assert found.targets[2] == 0 and (found.targets[0] > 0) == (rare > 0)
     assert ("domain de" in caplog.text) == (rare > 0)  # has half of its target, and the miss is reported
+
+
+@pytest.mark.parametrize("natural", [0.005, 0.0005])
+def test_rare_domains_reach_their_targets(spark, natural):
+    """A domain of a two-thousandth of all tokens comes to a fifth of them, and the fit says that it has settled."""
+    rng = np.random.default_rng(5)
+    rare = int(40_000 * natural)
+    kind = np.concatenate([np.zeros(24_000, int), np.ones(16_000 - rare, int), np.full(rare, 2)])
+    p = np.full((40_000, 3), 0.0001)
+    p[np.arange(40_000), kind] = 0.9998
+    n = rng.integers(50, 150, 40_000)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>").repartition(4)
+    found = mixing.solve(members, [0.5, 0.3, 0.2])
+    assert found.converged and np.abs(found.misses).max() < 0.005
+    assert abs((n * found.rates(p)) @ p[:, 2] / n.sum() - 0.2) < 0.005
