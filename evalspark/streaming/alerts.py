@@ -42,7 +42,13 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, written as changes; asked for by transformWithState
     out, marks = work_dir(spark, label), work_dir(spark, f"{label}_marks")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    # the number of state partitions stays with the checkpoint: no more than the cluster has cores
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(width), spark.sparkContext.defaultParallelism)))
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
