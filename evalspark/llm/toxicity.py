@@ -252,16 +252,33 @@ def fit(rows: DataFrame, max_words: int = MAX_WORDS, bins: int = 64) -> Model:
 
 
 def _logistic(x: np.ndarray, hits: np.ndarray, n: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Newton steps for a logistic curve on grouped points; the slope stays positive."""
-    a, b = 0.5, -2.0
+    """Newton steps for a logistic curve on grouped points; the slope stays positive.
+
+    A step is halved until the penalised likelihood rises: whole steps can leave the curve on one side of all points, where
+    its curvature is 0 and nothing leads back.
+    """
     x = np.log1p(x)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float(np.sum(n * np.logaddexp(0, z) - hits * z) + ridge / 2 * (a * a + b * b))
+
+    a, b = 0.5, -2.0
+    now = loss(a, b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
         g = np.array([np.sum((hits - n * p) * x) - ridge * a, np.sum(hits - n * p) - ridge * b])
         w = n * p * (1 - p)
-        h = np.array([[np.sum(w * x * x) + ridge, np.sum(w * x)], [np.sum(w * x), np.sum(w) + ridge]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = max(0.05, a + step[0]), b + step[1]
+        if a <= 0.05 and g[0] < 0:  # the slope stands at its bound
+            step = np.array([0.0, g[1] / (np.sum(w) + ridge)])
+        else:
+            step = np.linalg.solve(np.array([[np.sum(w * x * x) + ridge, np.sum(w * x)], [np.sum(w * x), np.sum(w) + ridge]]), g)
+        size = 1.0
+        while size > 1e-9 and (found := loss(max(0.05, a + size * step[0]), b + size * step[1])) > now + 1e-9 * abs(now):
+            size /= 2
+        if size <= 1e-9:
+            break
+        a, b, now = max(0.05, a + size * step[0]), b + size * step[1], found
         if np.abs(step).max() < 1e-8:
             break
     return float(a), float(b)

@@ -53,3 +53,15 @@ def test_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), m).count() == 0
     for few in (labels.where("toxic = 0"), labels.limit(0)):
         assert {r.predicted for r in toxicity.score(docs, toxicity.fit(toxicity.labelled(docs, few))).collect()} == {0}
+
+
+def test_curve_is_the_maximum_where_whole_newton_steps_run_away():
+    """Labels that evidence tells apart: whole steps ended at a slope of 0.05 and an offset of -10.9, so nothing was toxic."""
+    x = np.array([0.0, 0.5, 22.0, 109.5, 52.5, 158.0])
+    n = np.array([44243.0, 199.0, 707.0, 1242.0, 1410.0, 2248.0])
+    hits = np.where(x > 50, n, 0.0)
+    a, b = toxicity._logistic(x, hits, n)
+    p = 1 / (1 + np.exp(-(a * np.log1p(x) + b)))
+    assert ((p >= 0.5) == (x > 50)).all()
+    z = np.log1p(x)
+    assert abs(np.sum((hits - n * p) * z) - 1e-3 * a) < 1e-6 and abs(np.sum(hits - n * p) - 1e-3 * b) < 1e-6
