@@ -13,8 +13,7 @@ domains' misses. The misses of all steps so far therefore fix every rate, and a
 The rates are expected copies. ``copies`` rounds them by a hash of the row, so a rerun gives the same.
 
 Edge cases. Null and empty texts have no tokens, the prior as posteriors and no influence on the totals. Domains
-without labelled documents get no posterior but their target stays, so the miss is reported. Labelled rows beyond
-``max_rows`` are left out of training (smallest hashes of their ids stay). Targets are never scaled: with ``max_rate``
+without labelled documents get no posterior but their target stays, so the miss is reported. Targets are never scaled: with ``max_rate``
 a domain that has too little misses its own target, and the others keep theirs. Misses of a hundredth of all tokens or
 more, or of a tenth of the target, are logged. Without any token every rate is 1. Repeated rows get equal rates. Columns
 of the input stay; those named like an output are replaced.
@@ -31,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import join_ids, stored
 from .jaccard import word_hashes
 
 log = logging.getLogger(__name__)
 
 BUCKETS = 1 << 12
-MAX_ROWS = 50_000
 MU = 1e-6
 TEMPERATURES = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0]
 OWN = ["n_tokens", "domain", "posteriors", "rate", "copies", "converged"]
@@ -68,10 +66,10 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, domain: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, domain) of at most ``max_rows`` documents that occur in ``labels``; the id list is bounded and broadcast."""
-    ids = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text", F.col(domain).cast("string").alias("domain"))
+def labelled(docs: DataFrame, labels: DataFrame, domain: str) -> DataFrame:
+    """(text, domain) of all documents that occur in ``labels``."""
+    ids = labels.where("doc_id is not null").select("doc_id").distinct()
+    return join_ids(docs, ids, "doc_id", "left_semi").select("text", F.col(domain).cast("string").alias("domain"))
 
 
 def train(rows: DataFrame, domains: list[str], buckets: int = BUCKETS) -> Classifier:

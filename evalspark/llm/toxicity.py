@@ -11,8 +11,8 @@ Scoring. One linear scan per text finds every maximal segment (Ruzzo and Tompa);
 ``max_evalue`` are the significant passages. A document's evidence is the sum statistic of all its segments with an
 E-value of at most 1, put through a logistic curve that is fitted on the training rows.
 
-The model has at most ``max_words`` weights and its labelled rows are at most ``max_rows``, so what travels to the tasks
-is bounded. Training looks at text and labels only, never at ids, languages or sources.
+The model learns from every labelled row and has at most ``max_words`` weights, so what travels to the tasks is bounded.
+Training looks at text and labels only, never at ids, languages or sources.
 
 Edge cases. Null, empty and blank texts have no passages and get the score of a text without evidence. Without toxic or
 without clean labelled rows every weight is 0 and every score is the base rate's (0 without rows). Repeated rows are
@@ -31,9 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, stored
+from .common import SPACE, join_ids, stored
 
-MAX_ROWS = 100_000
 MAX_WORDS = 50_000
 STEMS = (3, 4, 5, 6)
 TYPE_CAP = 3
@@ -144,18 +143,14 @@ def split(text: str | None) -> list[str]:
 
 # ---- training ----
 
-def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, toxic): distinct texts of at most ``max_rows`` labelled documents, the smallest hashes of their ids.
-
-    The id list has a fixed bound and is broadcast; texts of unlabelled documents are not shuffled.
-    """
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic): distinct texts of all labelled documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     copy = F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))
-    texts = docs.select("doc_id", "text").where("doc_id is not null").join(known, "doc_id").withColumn("copy", copy)
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = join_ids(texts, known, "doc_id").withColumn("copy", copy)
     kept = texts.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    # at most max_rows rows again; the texts themselves stay where they are
-    return texts.drop("toxic").join(F.broadcast(kept), ["doc_id", "copy"]).select("text", "toxic")
+    return join_ids(texts.drop("toxic"), kept, ["doc_id", "copy"]).select("text", "toxic")
 
 
 def near_copy_key(words: Column) -> Column:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from evalspark.llm import quality, queries
+from evalspark.llm import common, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,14 @@ def test_awkward_rows(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
     nothing = quality.judge(docs, labels.limit(0)).collect()
     assert all(r.llr == 0 and r.kept == (not r.base_failed) for r in nothing)
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """50,001 trusted documents: the list was once cut at 50,000; a list too long for a broadcast gives the same counts."""
+    labels = spark.range(50_001).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    trusted = quality.trusted_ids(labels)
+    assert trusted.count() == 50_001
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'same' as text")
+    for limit in (2_000_000, 10):
+        monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+        assert [(r.raw, r.trusted) for r in quality.count_slots(docs, trusted).collect()] == [(60_000, 50_001)]
