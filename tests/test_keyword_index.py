@@ -68,3 +68,11 @@ def test_empty(spark):
     asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
     none = spark.createDataFrame([], "chunk_id string, content string")
     assert keyword_index.search(asked, keyword_index.index_rows(none), 3).collect() == []
+
+
+def test_absent_words_count_for_nothing(spark):
+    """Words that no chunk holds, whatever their hashes: one next to a word that is asked for was counted as that word."""
+    chunks = spark.createDataFrame([("a", "one two three"), ("b", "two")], "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "two " + " ".join(f"absent{i}" for i in range(50)))], "query_id long, query string")
+    rows = keyword_index.search(asked, keyword_index.index_rows(chunks.coalesce(1)), 5).collect()
+    assert {(r.chunk_id, r.score) for r in rows} == {("a", 1 / 53), ("b", 1 / 51)}
