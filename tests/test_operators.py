@@ -523,3 +523,19 @@ def test_permutation_modes(spark):
     for bad in ({"mode": "sampled"}, {"iterations": 5}, {"mode": "auto"}):
         with pytest.raises(ValueError):
             experiments.permutation_test(runs, "a", "b", **bad)
+
+
+def test_batches_of_wide_rows_are_small(spark):
+    """Rows of two tiles reach a Python worker a few at a time, not 10,000."""
+    import pandas as pd
+
+    from evalspark.plans.registry import Tables
+
+    Tables(spark, "/nowhere")
+    wide = spark.range(200, numPartitions=1).selectExpr("id", "repeat('x', 500000) as data")
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    assert max(r["n"] for r in wide.mapInPandas(sizes, "n long").collect()) <= 16
