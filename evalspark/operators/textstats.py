@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.arrow import arrow_udf
-from ..functions.text import col, let, ngrams, occurrences, rstrip, strip, tokens, words
+from ..functions.text import col, let, ngram_hashes, ngrams, occurrences, rstrip, strip, tokens, words
 from ..session import durable
 from . import automaton, tiles
 from .curate import template_leak
@@ -139,8 +139,8 @@ def slop_bands(df: DataFrame, id_col: str, text: str, ranked: DataFrame, bands:
 # --- repetition ------------------------------------------------------------------------------------
 
 def max_repeat(grams: Column) -> Column:
-    """Largest multiplicity in an array: run lengths over the sorted array, inside the row."""
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """Largest multiplicity in an array of hashes: run lengths over the sorted array, inside the row."""
+    start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc, g):
         run = F.when(acc["g"] == g, acc["run"] + 1).otherwise(F.lit(1))
@@ -154,18 +154,20 @@ def max_repeat(grams: Column) -> Column:
 
 
 def worst_ngram(text, n: int = 4) -> Column:
-    """Most repeated n-gram of lower-cased words without surrounding punctuation."""
-    bare = F.transform(words(text), lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:!?"']+|[.,;:!?"']+$""", "")))
-    return max_repeat(ngrams(bare, n))
+    """Most repeated n-gram of lower-cased words without surrounding punctuation; grams are compared by 64-bit hashes."""
+    bare = F.transform(words(text), lambda w: F.lower(F.btrim(w, F.lit(""".,;:!?"'"""))))
+    return max_repeat(ngram_hashes(bare, n))
 
 
 def ngram_loop(text, n: int = 8, least_words: int = 24, legacy: bool = False) -> Column:
     """Most repeated word 8-gram of a longer text, else NULL. legacy leaves out the last window."""
-    w = words(text)
-    grams = ngrams(w, n)
-    if legacy:
-        grams = F.slice(grams, F.lit(1), F.greatest(F.size(w) - n, F.lit(0)))
-    return F.when(F.size(w) >= least_words, max_repeat(grams))
+    def looped(w: Column) -> Column:
+        grams = ngram_hashes(w, n)
+        if legacy:
+            grams = F.slice(grams, F.lit(1), F.greatest(F.size(w) - n, F.lit(0)))
+        return F.when(F.size(w) >= least_words, max_repeat(grams))
+
+    return let(words(text), looped)
 
 
 def char_run(text) -> Column:
