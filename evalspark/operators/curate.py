@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat, lists
-from ..functions.text import col, contains_folded, ngrams, tokens, word_count
+from ..functions.text import col, contains_folded, ngram_hashes, tokens, word_count
 from .ranking import first_rows, first_per_key, lowest_per_key, top_k, with_scalars
 
 
@@ -31,12 +31,12 @@ def decontaminate(train: DataFrame, heldout: DataFrame, hash_col: str = "prompt_
 def holds_passage(df: DataFrame, heldout: DataFrame, id_col: str, text: str, held_text: str, n: int = 13) -> DataFrame:
     """Distinct ids whose text shares a run of ``n`` words (lower-case letters, digits, apostrophes) with a held-out text.
 
-    Runs of the held-out side are distinct and usually few; Spark broadcasts them where their measured size allows, so
-    that no run of the corpus is shuffled.
+    Runs are compared by 64-bit hashes. Those of the held-out side are distinct and usually few; Spark broadcasts them where
+    their measured size allows, so that no run of the corpus is shuffled.
     """
-    runs = lambda d, c: F.explode(F.array_distinct(ngrams(tokens(c), n))).alias("_run")
-    held = heldout.select(runs(heldout, held_text)).distinct()
-    return df.select(id_col, runs(df, text)).join(held, "_run", "left_semi").select(id_col).distinct()
+    runs = lambda c: F.explode(ngram_hashes(tokens(c), n)).alias("_run")
+    held = heldout.select(runs(held_text)).distinct()
+    return df.select(id_col, runs(text)).join(held, "_run", "left_semi").select(id_col).distinct()
 
 
 def decontaminate_passages(df: DataFrame, heldout: DataFrame, id_col: str, text: str, held_text: str, n: int = 13) -> DataFrame:
