@@ -5,8 +5,8 @@ A lexicon is a table of patterns or phrases. It goes to the tasks as broadcasts
 scan for every LEXICON_BYTES of it. Each Python worker builds the automaton once.
 
 Regular expressions: of each one a literal is taken that every match must hold (or a set of them, one of which it must
-hold). A text is walked once through the trie of all literals; only expressions whose literal occurs are tried on it.
-Expressions without such a literal are tried on every text. Phrases: the pieces of a text (words and single other
+hold). A text is walked once through the trie of all literals; only expressions whose literal occurs are tried on it,
+and where the literal stands at a bounded distance from the start of a match, only at those places. Expressions without such a literal are tried on every text. Phrases: the pieces of a text (words and single other
 characters) are numbered and walked once through the trie of all phrases.
 """
 
@@ -33,7 +33,7 @@ PLACE_BOUND = "Σσς"
 
 
 def folded(text: str) -> str:
-    return text.translate(ODD_CASE).lower()
+    return text.lower() if text.isascii() else text.translate(ODD_CASE).lower()
 
 
 def slices(rows: Iterator, size) -> Iterator[list]:
@@ -51,6 +51,11 @@ def slices(rows: Iterator, size) -> Iterator[list]:
 
 # --- regular expressions -----------------------------------------------------------------------------
 
+def _is_plain(code, value, ascii_only: bool) -> bool:
+    """Whether a parsed item is a character whose folded form stands in the folded text wherever it matches."""
+    return code is op.LITERAL and (value < 128 or not ascii_only) and chr(value) not in PLACE_BOUND and len(folded(chr(value))) == 1
+
+
 def needed(parsed, ascii_only: bool) -> set[str] | None:
     """Folded literals one of which every match of a parsed expression holds, or None: the set whose shortest is longest."""
     best: set[str] | None = None
@@ -64,7 +69,7 @@ def needed(parsed, ascii_only: bool) -> set[str] | None:
     for code, value in parsed:
         if code is op.AT:
             continue
-        if code is op.LITERAL and (value < 128 or not ascii_only) and chr(value) not in PLACE_BOUND and len(folded(chr(value))) == 1:
+        if _is_plain(code, value, ascii_only):
             run += chr(value)
             continue
         offer({folded(run)} if run else None)
@@ -82,6 +87,26 @@ def needed(parsed, ascii_only: bool) -> set[str] | None:
     return best
 
 
+FARTHEST, WIDEST = 64, 8  # a literal beyond has too many places at which a match may start
+
+
+def distance(parsed, literal: str, ascii_only: bool) -> tuple[int, int] | None:
+    """Least and largest distance from the start of every match to a literal of the outermost sequence, or None."""
+    run, first = "", 0
+    for i, (code, value) in enumerate([*parsed, (None, None)]):
+        if code is op.AT:
+            continue
+        if _is_plain(code, value, ascii_only):
+            first = first if run else i
+            run += chr(value)
+            continue
+        if run and folded(run) == literal:
+            low, high = parsed[:first].getwidth()
+            return (low, high) if high <= FARTHEST and high - low <= WIDEST else None
+        run = ""
+    return None
+
+
 class PatternTable:
     """Names and regular expressions; those that do not compile match nothing."""
 
@@ -93,16 +118,22 @@ class PatternTable:
 
     def _build(self):
         flags = re.I if self.ignore_case else 0
-        by_literal: dict[str, list[int]] = {}
+        by_literal: dict[str, tuple[int, list[int], list[tuple]]] = {}  # size, expressions for the whole text, those with a place
         compiled, always = [], []
         for name, rx in self.patterns:
             try:
                 one = re.compile(rx, flags)
             except (re.error, OverflowError, RecursionError):
                 continue
-            found = needed(_parser.parse(rx, flags), bool(one.flags & re.I) or "(?" in rx)
+            parsed, ascii_only = _parser.parse(rx, flags), bool(one.flags & re.I) or "(?" in rx
+            found = needed(parsed, ascii_only)
             for literal in found or ():
-                by_literal.setdefault(literal, []).append(len(compiled))
+                _, whole, placed = by_literal.setdefault(literal, (len(literal), [], []))
+                span = distance(parsed, literal, ascii_only) if len(found) == 1 else None
+                if span is None:
+                    whole.append(len(compiled))
+                else:
+                    placed.append((len(compiled), one.match, *span))
             if not found:
                 always.append(len(compiled))
             compiled.append((name, one))
@@ -118,11 +149,24 @@ class PatternTable:
         if self._ready is None:
             self._build()
         compiled, always, trie = self._ready
-        candidates = set(always)
+        candidates, found = set(always), set()
+        low_text = folded(text)
+        same = len(low_text) == len(text)  # else places in one are not places in the other
         if trie is not None:
-            for _, which in trie.iter(folded(text)):
-                candidates.update(which)
-        return [compiled[i][0] for i in sorted(candidates) if compiled[i][1].search(text)]
+            for end, (size, whole, placed) in trie.iter(low_text):
+                if whole:
+                    candidates.update(whole)
+                start = end - size + 1
+                for i, match, low, high in placed:
+                    if not same:
+                        candidates.add(i)
+                    elif i not in found:
+                        for at in range(max(0, start - high), start - low + 1):
+                            if match(text, at):  # anchors and lookbehind see the text before the place
+                                found.add(i)
+                                break
+        found.update(i for i in candidates if compiled[i][1].search(text))
+        return [compiled[i][0] for i in sorted(found)]
 
 
 def pattern_names(df: DataFrame, text: Column, patterns: DataFrame, ignore_case: bool) -> Iterator[Column]:

@@ -37,6 +37,28 @@ def test_literals():
     assert found(r"(ab)?cde(x|yy)") == {"cde"} and found(r"a|bcd") is None and found(r"a\bbc") == {"abc"}
 
 
+def test_expressions_are_tried_where_their_literal_stands():
+    """Distances of literals, and a text of many words that is not searched from its start to its end for each expression."""
+    at = lambda rx, literal: automaton.distance(_parser.parse(rx), literal, False)
+    assert at(r"(^|\s)Word[a-z]*", "word") == (0, 1) and at(r"\bab[0-9]{2,4}cd", "cd") == (4, 6) and at(r".*word", "word") is None and at(r"(word)+", "word") is None
+    table = automaton.PatternTable([(i, rf"(^|\s)w{i}[a-z]*") for i in range(100, 300)], False)
+    table.names("")
+    calls = []
+
+    class Watched:
+        def __init__(self, rx):
+            self.rx = rx
+
+        def search(self, text):
+            calls.append(len(text))
+            return self.rx.search(text)
+
+    compiled, always, trie = table._ready
+    table._ready = [(name, Watched(rx)) for name, rx in compiled], always, trie
+    text = " ".join(f"xw{i}" for i in range(100, 300)) + " w150 w151abc\nw299"
+    assert table.names(text) == [150, 151, 299] and not calls
+
+
 def test_many_patterns(spark):
     """50,000 expressions in one scan of the texts."""
     rng = random.Random(4)
