@@ -539,3 +539,20 @@ def test_batches_of_wide_rows_are_small(spark):
             yield pd.DataFrame({"n": [len(pdf)]})
 
     assert max(r["n"] for r in wide.mapInPandas(sizes, "n long").collect()) <= 16
+
+
+def test_shared_pairs_in_slices(monkeypatch):
+    """Near copies in one tile come out in bounded slices that together are all pairs."""
+    from types import SimpleNamespace
+
+    from evalspark.operators import tiles
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(50)]
+    packed = {"sizes": np.array([len(s) for s in sets]).tobytes(), "grams": np.concatenate(sets).tobytes(), "totals": np.array([len(s) for s in sets]).tobytes(), "tile": 1}
+    row = SimpleNamespace(**{f"{side}_{k}": v for side in "lr" for k, v in packed.items()})
+    monkeypatch.setattr(tiles, "MEETINGS", 500)
+    slices = list(tiles.shared_pairs(row))
+    got = {(a, b): (s, u) for part in slices for a, b, s, u in zip(*map(np.ndarray.tolist, part))}
+    want = {(a, b): (len(x := np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b]) - len(x)) for a in range(50) for b in range(a + 1, 50)}
+    assert len(slices) > 5 and got == {k: v for k, v in want.items() if v[0]}
