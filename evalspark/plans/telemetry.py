@@ -21,8 +21,11 @@ def event_files(t: Tables, lateness, **options):
     rows = t.events.select("event_type", "event_id", "user_id", "value", "ts", at.alias("_at"))
     span = rows.agg(F.min("_at").alias("_first"), ((F.max("_at") - F.min("_at")) / FILES).alias("_span"))
     filed = with_scalars(rows, span).withColumn("_file", F.least(F.floor((F.col("_at") - F.col("_first")) / F.col("_span")), F.lit(FILES - 1)))
+    staged = work_dir(t.spark, "event_parts")  # the table is cut once, by all tasks; each file then reads its own part
+    filed.select("event_type", "event_id", "user_id", "value", "ts", "_file").write.partitionBy("_file").parquet(staged)
+    parts = t.spark.read.schema(filed.select("event_type", "event_id", "user_id", "value", "ts", "_file").schema).parquet(staged)
     for k in range(FILES):
-        filed.filter(F.col("_file") == k).select("event_type", "event_id", "user_id", "value", "ts").coalesce(1).write.mode("append").parquet(path)
+        parts.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
     return alerts.event_stream(t.spark, path, one_file=True, **options)
 
 

@@ -8,6 +8,7 @@ it, open windows included, is not out yet.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,7 +20,8 @@ from ..operators.ranking import running_max, values_at_ranks, with_previous, wit
 from ..session import work_dir
 
 DELAY = "10 minutes"
-MINUTE_US = 60_000_000
+CHUNK = 4096  # rows
+BUCKETS = 4096
 LATE = "late_us"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,10 +72,10 @@ def counter_steps(samples: DataFrame, key: str, value: str, tie: str) -> DataFra
 
 
 class _EventTime(StatefulProcessor):
-    """Rows of one series in event-time order; see ``in_event_time``.
+    """Rows of many series in event-time order; see ``in_event_time``.
 
-    Young rows lie in a map by (minute, part); every micro-batch adds parts of its own, so rows are written once and read
-    once. Only the minute in which the watermark stands may be written again.
+    A bucket's young rows lie in a map by chunk, sorted by time and at most CHUNK rows each. A chunk is read when the
+    watermark passes its first row; only the rows of such chunks that are still young are written again.
     """
 
     def __init__(self, key: str, names: Sequence[str], kinds: Sequence[str], output: str, memory: str, step: Callable, alarm: Callable | None):
@@ -81,105 +83,131 @@ class _EventTime(StatefulProcessor):
         self.columns = [c.split()[0] for c in output.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        def arrays(ddl: Sequence[str]) -> str:
+            return ", ".join("{} array<{}>".format(*c.split()) for c in ddl)
+
         self.handle = handle
-        arrays = ", ".join(f"{n} array<{kind}>" for n, kind in zip(["us", *self.names], ["long", *self.kinds]))
-        self.held = handle.getMapState("held", "minute long, part int", arrays)
-        self.parts = handle.getMapState("parts", "minute long", "n int")
-        self.memory = handle.getValueState("memory", self.memory_ddl)
-        self.wake = handle.getValueState("wake", "at_ms long")
-
-    def _put(self, minute: int, part: int, rows: list[tuple]) -> None:
-        self.held.updateValue((minute, part), tuple(list(c) for c in zip(*rows)))
-
-    def _wake_at(self, us: int, renew: bool) -> None:
-        at = -(-us // 1000)  # the first watermark, in milliseconds, that has reached the time
-        if renew or not self.wake.exists() or at < self.wake.get()[0]:
-            self.wake.update((at,))
+        rows = ["us long", *(f"{n} {kind}" for n, kind in zip(self.names, self.kinds)), "series string"]
+        self.held = handle.getMapState("held", "chunk int", arrays(rows))
+        self.index = handle.getValueState("index", "at_ms long, next int, chunks array<int>, first_us array<long>")
+        self.memory = handle.getValueState("memory", arrays(["series string", *self.memory_ddl.split(", ")]))
+
+    def _load(self) -> tuple[int | None, int, list[tuple[int, int]]]:
+        """The time of the timer, the next chunk's number, and (first time, number) of the chunks."""
+        at, free, chunks, first = self.index.get() or (None, 0, [], [])
+        return at, free, list(zip(first, chunks))
+
+    def _hold(self, rows: list[tuple], free: int, chunks: list[tuple[int, int]]) -> int:
+        """Rows as chunks of their own; gives the next free number."""
+        rows.sort(key=_in_time)
+        for start in range(0, len(rows), CHUNK):
+            part = rows[start : start + CHUNK]
+            self.held.updateValue((free,), tuple(list(c) for c in zip(*part)))
+            chunks.append((part[0][0], free))
+            free += 1
+        return free
+
+    def _save(self, was: int | None, wake: int | None, free: int, chunks: list[tuple[int, int]], fired: bool) -> None:
+        """Keep the index, with one timer at ``wake`` (microseconds) at most; ``was`` is the timer there is."""
+        at = None if wake is None else -(-wake // 1000)  # the first watermark, in milliseconds, that has reached the time
+        if not fired and was is not None and (at is None or was <= at):
+            at = was
+        if at is not None and (fired or at != was):
             self.handle.registerTimer(at)
+            if was is not None and not fired:
+                self.handle.deleteTimer(was)
+        self.index.update((at, free, [c for _, c in chunks], [first for first, _ in chunks]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        minutes: dict[int, list[tuple]] = {}
-        late = []
+        at, free, chunks = self._load()
+        young, wake = [], None
         for pdf in rows:
-            for r in pdf[["us", *self.names]].itertuples(index=False, name=None):
+            late = []
+            for r in zip(*(pdf[c].tolist() for c in ["us", *self.names, self.key])):
                 if r[0] <= mark:
-                    late.append(r[0])
+                    late.append((r[-1], *[None] * len(self.columns), r[0]))
                 else:
-                    minutes.setdefault(r[0] // MINUTE_US, []).append(r)
-        for minute, found in minutes.items():
-            n = self.parts.getValue((minute,))[0] if self.parts.containsKey((minute,)) else 0
-            self._put(minute, n, found)
-            self.parts.updateValue((minute,), (n + 1,))
-        if minutes:
-            self._wake_at(min(r[0] for r in minutes[min(minutes)]), False)
-        yield self._frame(key, [], late)
+                    young.append(r)
+                    wake = r[0] if wake is None else min(wake, r[0])
+            if late:
+                yield self._frame(late)
+            if len(young) >= 16 * CHUNK:
+                free, young = self._hold(young, free, chunks), []
+        if wake is not None:
+            self._save(at, wake, self._hold(young, free, chunks), chunks, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        remembered = self.memory.get() if self.memory.exists() else None
-        remembered = None if remembered is None else tuple(remembered)
-        out, wake = [], []
-        counts = sorted((k[0], v[0]) for k, v in self.parts.iterator())
-        for minute, n in counts:
-            if minute * MINUTE_US > mark:
-                break
-            rows = []
-            for part in range(n):
-                rows += zip(*self.held.getValue((minute, part)))
-                self.held.removeKey((minute, part))
-            rows.sort(key=lambda r: r[:2])
-            ready = [r for r in rows if r[0] <= mark]
+        _, free, chunks = self._load()
+        memory = {name: tuple(rest) for name, *rest in zip(*(self.memory.get() or ()))}
+        rest, out = [], []
+
+        def steps(ready: list[tuple]) -> Iterator[pd.DataFrame]:
             for r in ready:
-                remembered, found = self.step(remembered, r)
-                out += found
-            rest = rows[len(ready):]
-            if rest:
-                self._put(minute, 0, rest)
-                self.parts.updateValue((minute,), (1,))
-                wake.append(rest[0][0])
-            else:
-                self.parts.removeKey((minute,))
-        younger = [minute for minute, _ in counts if minute * MINUTE_US > mark]
-        if younger and not wake:
-            wake.append(younger[0] * MINUTE_US)
-        if self.alarm is not None and remembered is not None:
-            remembered, found, again = self.alarm(remembered, mark)
-            out += found
-            wake += [again] if again is not None else []
-        if remembered is not None:
-            self.memory.update(remembered)
-        if wake:
-            self._wake_at(max(min(wake), mark + 1), True)  # a timer at the watermark itself would go with the one that expires now
-        else:
-            self.wake.clear()
-        yield self._frame(key, out, [])
-
-    def _frame(self, key: tuple, out: list[tuple], late: list[int]) -> pd.DataFrame:
-        rows = [(key[0], *r, None) for r in out] + [(key[0], *[None] * len(self.columns), us) for us in late]
+                memory[r[-1]], found = self.step(memory.get(r[-1]), r[:-1])
+                out.extend((r[-1], *f, None) for f in found)
+                if len(out) >= CHUNK:
+                    yield self._frame(out)
+                    out.clear()
+
+        chunks.sort()
+        due = [c for c in chunks if c[0] <= mark]
+        chunks = chunks[len(due):]
+        for first, chunk in due:
+            n = bisect_left(rest, first, key=lambda r: r[0])  # no later chunk holds a row before these
+            yield from steps(rest[:n])
+            rest = rest[n:] + list(zip(*self.held.getValue((chunk,))))
+            rest.sort(key=_in_time)
+            self.held.removeKey((chunk,))
+        n = bisect_right(rest, mark, key=lambda r: r[0])
+        yield from steps(rest[:n])
+        free = self._hold(rest[n:], free, chunks)
+        wake = [first for first, _ in chunks]
+        if self.alarm is not None:
+            for name, remembered in memory.items():
+                memory[name], found, again = self.alarm(remembered, mark)
+                out.extend((name, *f, None) for f in found)
+                wake += [again] if again is not None else []
+        if memory:
+            self.memory.update((list(memory), *(list(c) for c in zip(*memory.values()))))
+        # a timer at the watermark itself would go with the one that expires now
+        self._save(None, max(min(wake), mark + 1) if wake else None, free, chunks, True)
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, *self.columns, LATE], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def in_event_time(samples: DataFrame, key: str, columns: str, output: str, memory: str, step: Callable, alarm: Callable | None = None) -> DataFrame:
+def _in_time(row: tuple) -> tuple:
+    return row[:2]
+
+
+def in_event_time(samples: DataFrame, key: str, columns: str, output: str, memory: str, step: Callable, alarm: Callable | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Run ``step`` over the rows of each series in event-time order.
 
     samples has key, us (microseconds) and the columns of ``columns`` (DDL; the first one breaks ties). ``step`` takes the
     remembered tuple (or None) and a row (us, *columns) and gives the new tuple and rows to emit. ``alarm`` takes the tuple
     and the watermark in microseconds and gives the same when time alone has passed, plus the time at which to ask again.
-    State per series: the rows younger than the watermark, kept in parts by minute, one tuple, and one timer at the time
-    of its oldest row or alarm. A row that comes behind the watermark is not lost: it comes out with its time in
-    ``late_us`` and nulls in the other columns; ``on_time`` and ``late_rows`` tell the two kinds apart.
+    Series share ``buckets`` by the hash of their key, so that a call to the state store serves many of them. State per
+    bucket: the rows younger than the watermark in chunks, one tuple a series, and one timer at the time of the oldest
+    row or alarm. A row that comes behind the watermark is not lost: it comes out with its time in ``late_us`` and nulls
+    in the other columns; ``on_time`` and ``late_rows`` tell the two kinds apart.
     """
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [c.split()[1] for c in columns.split(", ")]
     key_type = dict(samples.dtypes)[key]
     processor = _EventTime(key, names, kinds, output, memory, step, alarm)
     # without ts Spark does not take late rows away before the processor has seen them; the watermark itself stays
-    return samples.select(key, "us", *names).groupBy(key).transformWithStateInPandas(
-        processor, f"{key} {key_type}, {output}, {LATE} long", "append", "EventTime")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
+    rows = samples.select(bucket, F.col(key).cast("string").alias(key), "us", *names).groupBy("_bucket").transformWithStateInPandas(
+        processor, f"{key} string, {output}, {LATE} long", "append", "EventTime")
+    return rows.withColumn(key, F.col(key).cast(key_type))
 
 
 def on_time(rows: DataFrame) -> DataFrame:

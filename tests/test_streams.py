@@ -1,7 +1,10 @@
 """Stateful streams: late rows, times on the watermark itself, series that come back, parts of a minute."""
 
 import datetime
+import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evalspark.session import work_dir
@@ -68,3 +71,95 @@ def test_trace_ends(spark):
     pairs = {(r.trace_id, r.end_line, r.grade_line, r.score, r.graded) for r in table.collect()}
     assert pairs == {(1, 1, 6, 0.7, True), (1, 1, 7, 0.8, True), (2, 3, 2, 0.9, True), (4, 8, None, 0.3, False), (7, 11, 12, 0.4, True)}
     assert {(r.trace_id, r.score, r.graded) for r in alerts.last_grades(table).collect()} == {(1, 0.8, True), (2, 0.9, True), (4, 0.3, False), (7, 0.4, True)}
+
+
+class Store:
+    """A state store of one bucket in memory, with the number of calls it had."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getValueState(self, name, ddl):  # noqa: N802
+        return Value(self)
+
+    def getMapState(self, name, key, ddl):  # noqa: N802
+        return Value(self)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Value:
+    def __init__(self, store):
+        self.store, self.held = store, {}
+
+    def _call(self, f, *at):
+        self.store.calls += 1
+        return f(*at)
+
+    def get(self):
+        return self._call(self.held.get, None)
+
+    def update(self, value):
+        self._call(self.held.__setitem__, None, value)
+
+    def getValue(self, key):  # noqa: N802
+        return self._call(self.held.get, key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._call(self.held.__setitem__, key, value)
+
+    def removeKey(self, key):  # noqa: N802
+        self._call(self.held.pop, key)
+
+
+def run_bucket(batches):
+    """Steps of a counter in one bucket, batch by batch; the watermark is ten seconds behind."""
+    def step(last, row):
+        return (row[2],), [] if last is None else [(row[0], row[2] - last[0])]
+
+    store, mark, out = Store(), 0, []
+    processor = alerts._EventTime("name", ["id", "v"], ["long", "double"], "us long, step double", "_last double", step, None)
+    processor.init(store)
+    for rows in [*batches, []]:
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark // 1000)
+        if rows:
+            frame = pd.DataFrame(rows, columns=["us", "id", "v", "name"])
+            out += processor.handleInputRows((0,), iter([frame]), times)
+        for at in [t for t in sorted(store.timers) if t <= mark // 1000]:
+            out += processor.handleExpiredTimer((0,), times, None)
+            store.timers.discard(at)
+        mark = max([mark, *(r[0] - 10_000_000 for r in rows)])
+    table = pd.concat(out)
+    return store, mark, table[table[alerts.LATE].isna()], table[table[alerts.LATE].notna()]
+
+
+def test_many_series_share_calls_to_the_state(monkeypatch):
+    """A thousand series of a bucket take a few calls a batch, and every series keeps its own order, in chunks of any size."""
+    rng = random.Random(5)
+    batches = [[(20_000_000 * b + rng.randrange(18_000_000), 1000 * b + i, float(rng.randrange(50)), f"s{rng.randrange(1000)}") for i in range(1000)] for b in range(6)]
+    tables = []
+    for chunk in (4096, 7):
+        monkeypatch.setattr(alerts, "CHUNK", chunk)
+        store, mark, steps, late = run_bucket(batches)
+        assert chunk < 4096 or store.calls < 100
+        assert len(store.timers) <= 1 and not len(late)
+        tables.append(sorted(zip(steps["name"], steps["us"], steps["step"])))
+    last, wanted = {}, []
+    for us_, _, v, name in sorted(r for rows in batches for r in rows):
+        if us_ <= mark:
+            wanted += [(name, us_, v - last[name])] if name in last else []
+            last[name] = v
+    assert tables == [sorted(wanted)] * 2
+
+
+def test_null_series_is_a_series(spark):
+    """Keys keep their type and a null key is a series of its own."""
+    batches = [[(us(0), None, 1, 1.0), (us(1), 2**60 + 1, 2, 5.0), (us(2), None, 3, 4.0), (us(3), 2**60 + 1, 4, 6.0)], [(us(9_000), 7, 5, 0.0)]]
+    table = alerts.run_to_table(alerts.counter_steps_stream(stream_of(spark, batches, "name long, id long, v double"), "name", "v", "id"), "nulls")
+    assert {(r["name"], r.step) for r in alerts.on_time(table).collect()} == {(None, 3.0), (2**60 + 1, 1.0)}
