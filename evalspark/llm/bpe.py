@@ -32,20 +32,29 @@ BATCH_CHARS = 1 << 20
 
 
 class Vocabulary:
-    """Token bytes and the encoder of short texts, loaded once per Python worker from a vocabulary file."""
+    """Token bytes and the encoder of short texts, loaded once per Python worker from a vocabulary file.
 
-    def __init__(self, path: str, special: dict[str, int]):
-        import public_tokenizers
-        import tiktoken
+    The encoder is built when a text is encoded: a worker that only decodes does not hold one.
+    """
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoder = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = set(special)
+    def __init__(self, path: str, special: dict[str, int]):
+        self.path, self.names, self.special = path, special, set(special)
+        ranks = self._ranks()
         self.token = [b""] * (1 + max(max(ranks.values()), *special.values()))
         for word, i in [*ranks.items(), *((name.encode(), i) for name, i in special.items())]:
             self.token[i] = word
 
+    def _ranks(self) -> dict[bytes, int]:
+        with open(self.path, "rb") as lines:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    @functools.cached_property
+    def encoder(self):
+        import public_tokenizers
+        import tiktoken
+
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self._ranks(), special_tokens=self.names)
+
     def encode(self, text: str) -> list[int]:
         return self.encoder.encode(text, allowed_special=self.special, disallowed_special=())
 
@@ -94,6 +103,10 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _counts(ids: list[bytes]) -> pa.Array:
+    return pa.array([len(i) // 4 for i in ids], pa.int64())
+
+
 def unpacked(ids: bytes) -> tuple[int, ...]:
     return struct.unpack(f"<{len(ids) // 4}I", ids)
 
@@ -132,8 +145,8 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", piece_chars: i
         v = vocabulary(vocab)
         for batch in batches:
             for part in _slices(batch, pa.compute.utf8_length(batch.column("text")).to_pylist(), BATCH_CHARS):
-                ids = [v.encode(t) if t else [] for t in part.column("text").to_pylist()]
-                yield _add(part, n_tokens=pa.array(map(len, ids), pa.int64()), ids=pa.array(map(packed, ids), pa.binary()))
+                ids = [packed(v.encode(t)) if t else b"" for t in part.column("text").to_pylist()]
+                yield _add(part, n_tokens=_counts(ids), ids=pa.array(ids, pa.binary()))
 
     long = F.coalesce(F.char_length("text"), F.lit(0)) > piece_chars
     short = docs.where(~long)
@@ -152,10 +165,8 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.tiktoken", piece_chars: i
     def joined(batches):
         v = vocabulary(vocab)
         for batch in batches:
-            ids = [join_all([list(unpacked(p)) for p in parts], v) for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(row), pa.array(map(len, ids), pa.int64()), pa.array(map(packed, ids), pa.binary())],
-                names=[row, "n_tokens", "ids"])
+            ids = [packed(join_all([list(unpacked(p)) for p in parts.as_py()], v)) for parts in batch.column("parts")]
+            yield pa.RecordBatch.from_arrays([batch.column(row), _counts(ids), pa.array(ids, pa.binary())], names=[row, "n_tokens", "ids"])
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(piece, "ids"))), lambda p: p["ids"])
     grouped = encoded.groupBy(row).agg(ordered.alias("parts"))

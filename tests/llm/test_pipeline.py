@@ -89,3 +89,14 @@ def test_encoding(kept):
 
 def test_run(spark, kept):
     assert ids(corpus_pipeline.run(spark, SF)) == ids(kept[5])
+
+
+def test_encoding_and_decoding_are_apart(spark):
+    """A task runs one Python worker: what the stage returns only decodes, and decoding holds no encoder."""
+    docs = spark.createDataFrame([(1, "en", "web", "one two three"), (2, "de", "web", None)], "doc_id long, lang string, source string, text string")
+    out = corpus_pipeline.encoded(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].decoded_sha256 == hashlib.sha256(b"one two three").hexdigest() and rows[2].n_tokens == 0
+    words = bpe.vocabulary.__wrapped__("byte_bpe_50k.tiktoken")
+    assert words.decode([0, 1]) and "encoder" not in vars(words)
