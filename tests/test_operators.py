@@ -556,3 +556,38 @@ def test_shared_pairs_in_slices(monkeypatch):
     got = {(a, b): (s, u) for part in slices for a, b, s, u in zip(*map(np.ndarray.tolist, part))}
     want = {(a, b): (len(x := np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b]) - len(x)) for a in range(50) for b in range(a + 1, 50)}
     assert len(slices) > 5 and got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_tiles_of_sets_meet_without_a_shuffle(spark, monkeypatch):
+    """Beyond the broadcast bound the parts of a checkpoint meet, and no tile is written again for each block."""
+    from evalspark.operators import textstats, tiles
+
+    words = [f"w{i}" for i in range(7)]
+    texts = [" ".join(words[(i * j + j) % 7] for j in range(5 + i % 9)) for i in range(60)] + ["", None, "one two", "a b c d e", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = {}
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        sets.setdefault(frozenset(zip(w, w[1:], w[2:], w[3:])), []).append(i)
+    sets.pop(frozenset())
+    expect = sorted((*sorted((a[0], b[0])), len(s & t), len(s | t), *[len(x) for x in sorted((a, b))])
+                    for s, a in sets.items() for t, b in sets.items() if a < b and s & t)
+    near = sorted(map(tuple, textstats.shared_ngram_pairs(df, "id", "text").collect()))
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tiles, "SETS", 4)
+    far = textstats.shared_ngram_pairs(df, "id", "text")
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, far.collect())) == near == expect and len(expect) == 90
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_sets_travel_as_texts_and_grams_without_their_owner(spark):
+    """What is shuffled: a text for each set, then packed grams, never a row for each gram."""
+    from evalspark.operators import textstats
+
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "b c d e f")], "id long, text string")
+    cut = textstats.gram_tiles(textstats.gram_sets(df, "id", "text"))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    tile = cut.first()
+    assert sorted(tile["ids"]) == [1, 2] and len(tile["grams"]) == 16 and np.frombuffer(tile["totals"], np.int64).tolist() == [2, 2]
