@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, shuffle_width
 from . import tiles
 from .ranking import top_k, with_scalars
 
@@ -273,24 +273,42 @@ def rotated_quantizer(d: int, bits: int, seed: int = 0) -> RotatedQuantizer:
 
 # --- search ------------------------------------------------------------------------------------------------
 
-def compress(vectors: DataFrame, quantizer, item: str = "vec_id", extra: str | None = None) -> DataFrame:
-    """Tiles of (ids, n, codes); with ``extra`` a tile holds one value of that column only."""
+def compress(vectors: DataFrame, quantizer, item: str = "vec_id") -> DataFrame:
+    """Tiles of (ids, n, codes)."""
     id_type = dict(vectors.dtypes)[item]
-    columns = [F.col(item).alias("id"), F.col("vector").alias("v")] + ([F.col(extra).alias("x")] if extra else [])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for value, group in (pdf.groupby("x", sort=False) if extra else [(0, pdf)]):
+            for start in range(0, len(pdf), tiles.ROWS):
+                part = pdf.iloc[start : start + tiles.ROWS]
+                codes = quantizer.encode(_stack(part["v"]))
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "n": [len(part)], "data": [codes.tobytes()]})
+
+    packed = vectors.select(F.col(item).alias("id"), F.col("vector").alias("v")).mapInPandas(pack, f"ids array<{id_type}>, n int, data binary")
+    return packed.withColumn("tile", F.monotonically_increasing_id())
+
+
+def cell_tiles(coded: DataFrame, quantizer, item: str) -> DataFrame:
+    """Tiles of (x, ids, n, codes), each of one cell x. Codes are brought together by ranges of cells, so that tiles are full
+    however many cells there are, and a crowded cell lies in several ranges."""
+    id_type = dict(coded.dtypes)[item]
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "code": [c.tobytes() for c in quantizer.encode(_stack(pdf["v"]))]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, group in pdf.groupby("x", sort=False):
                 for start in range(0, len(group), tiles.ROWS):
                     part = group.iloc[start : start + tiles.ROWS]
-                    codes = quantizer.encode(_stack(part["v"]))
-                    row = {"ids": [part["id"].to_numpy()], "n": [len(part)], "data": [codes.tobytes()]}
-                    if extra:
-                        row["x"] = [int(value)]
-                    yield pd.DataFrame(row)
+                    yield pd.DataFrame({"x": [int(cell)], "ids": [part["id"].to_numpy()], "n": [len(part)], "data": [b"".join(part["code"])]})
 
-    schema = f"ids array<{id_type}>, n int, data binary" + (", x int" if extra else "")
-    return vectors.select(*columns).mapInPandas(pack, schema).withColumn("tile", F.monotonically_increasing_id())
+    rows = coded.select(F.col(item).alias("id"), F.col("cell").alias("x"), F.col("vector").alias("v"))
+    codes = durable(rows.mapInPandas(encode, f"id {id_type}, x int, code binary"))
+    ranged = codes.repartitionByRange(shuffle_width(codes.sparkSession), "x", F.xxhash64("id")).sortWithinPartitions("x")
+    return ranged.mapInPandas(pack, f"x int, ids array<{id_type}>, n int, data binary").withColumn("tile", F.monotonically_increasing_id())
 
 
 def _codes(row) -> np.ndarray:
@@ -301,6 +319,10 @@ def _plain_queries(queries: DataFrame, item_type: str) -> DataFrame:
     return queries.select("query_id", "vector", F.array().cast(f"array<{item_type}>").alias("_exclude"))
 
 
+def _best(scored: DataFrame, k: int, item: str) -> DataFrame:
+    return top_k(scored.withColumnRenamed("item", item), ["query_id"], [F.col("score").desc(), F.col(item)], k)
+
+
 def quantized_search(queries: DataFrame, vectors: DataFrame, quantizer, k: int = 10, item: str = "vec_id") -> DataFrame:
     item_type, query_type = dict(vectors.dtypes)[item], dict(queries.dtypes)["query_id"]
     pairs = tiles.tile_pairs(compress(vectors, quantizer, item), tiles.pack_queries(_plain_queries(queries, item_type), "_exclude"))
@@ -308,8 +330,7 @@ def quantized_search(queries: DataFrame, vectors: DataFrame, quantizer, k: int =
     def score(row) -> np.ndarray:
         return quantizer.score(tiles.matrix(row.r_data, row.r_n), _codes(row))
 
-    best = tiles.top_scores(pairs, k, score, item_type, query_type).withColumnRenamed("item", item)
-    return top_k(best, ["query_id"], [F.col("score").desc(), F.col(item)], k)
+    return _best(tiles.top_scores(pairs, k, score, item_type, query_type), k, item)
 
 
 def sq8_search(queries, vectors, k: int = 10, item: str = "vec_id") -> DataFrame:
@@ -412,17 +433,48 @@ def measured_probes(index: CellIndex, vectors: DataFrame, k: int, target: float)
 
 
 def search_cells(index: CellIndex, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
-    """Best k by code among the nprobe best cells of each query. A crowded cell is many tiles, so it spreads over tasks."""
+    """Best k by code among the nprobe best cells of each query. A crowded cell is many tiles, so it spreads over tasks.
+
+    Few probes meet the tiles of their own cell by a join. If a query probes half of the cells or more, tiles of whole queries,
+    with a bit for each cell, meet all tiles instead of a copy of the query for each of its cells.
+    """
     centers, quantizer, item, residual = index.centers, index.quantizer, index.item, index.residual
     id_type, query_type = dict(index.coded.dtypes)[item], dict(queries.dtypes)["query_id"]
+    left = cell_tiles(index.coded, quantizer, item)
+
+    def near(x: np.ndarray) -> np.ndarray:
+        return np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :nprobe]
+
+    def score(row) -> np.ndarray:
+        q = tiles.matrix(row.r_data, row.r_n)
+        return quantizer.score(q, _codes(row)) + ((q @ centers[row.l_x])[:, None] if residual else 0.0)
+
+    def score_probed(row) -> np.ndarray:
+        probed = np.unpackbits(np.frombuffer(row.r_cells, np.uint8).reshape(row.r_n, -1), axis=1)[:, row.l_x] > 0
+        out = np.full((row.r_n, row.l_n), -np.inf)
+        out[probed] = score(row)[probed]
+        return out
+
+    def pack_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, data in enumerate(pdf["data"]):
+                x = tiles.matrix(data, pdf["n"].iloc[i])
+                probed = np.zeros((len(x), len(centers)), dtype=np.uint8)
+                np.put_along_axis(probed, near(x), 1, axis=1)
+                yield pdf.iloc[i : i + 1].assign(cells=[np.packbits(probed, axis=1).tobytes()])
+
+    if 2 * nprobe >= len(centers):
+        asked = tiles.pack_queries(_plain_queries(queries, id_type), "_exclude").drop("tile")
+        schema = ", ".join(f"{name} {kind}" for name, kind in asked.dtypes) + ", cells binary"
+        pairs = tiles.tile_pairs(left, asked.mapInPandas(pack_cells, schema).withColumn("tile", F.monotonically_increasing_id()))
+        return _best(tiles.top_scores(pairs, k, score_probed, id_type, query_type), k, item)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                scores = _stack(pdf["vector"]) @ centers.T
-                near = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
-                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel(),
-                                    "vector": [v for v in pdf["vector"] for _ in range(near.shape[1])]})
+                cells = near(_stack(pdf["vector"]))
+                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), cells.shape[1]), "cell": cells.ravel(),
+                                    "vector": [v for v in pdf["vector"] for _ in range(cells.shape[1])]})
 
     probes = queries.select("query_id", "vector").mapInPandas(probe, f"query_id {query_type}, cell int, vector array<double>")
 
@@ -431,19 +483,14 @@ def search_cells(index: CellIndex, queries: DataFrame, nprobe: int, k: int) -> D
             for cell, group in pdf.groupby("cell", sort=False):
                 for start in range(0, len(group), 256):
                     part = group.iloc[start : start + 256]
-                    yield pd.DataFrame({"x": [int(cell)], "r_ids": [part["query_id"].to_numpy()], "r_n": [len(part)],
-                                        "r_data": [_stack(part["vector"]).tobytes()], "r_exclude": [[[] for _ in range(len(part))]]})
-
-    right = probes.mapInPandas(pack_probes, f"x int, r_ids array<{query_type}>, r_n int, r_data binary, r_exclude array<array<{id_type}>>")
-    left = compress(index.coded, quantizer, item, "cell")
-    pairs = left.select("x", F.col("ids").alias("l_ids"), F.col("n").alias("l_n"), F.col("data").alias("l_data")).join(right, "x")
-
-    def score(row) -> np.ndarray:
-        q = tiles.matrix(row.r_data, row.r_n)
-        return quantizer.score(q, _codes(row)) + ((q @ centers[row.x])[:, None] if residual else 0.0)
-
-    best = tiles.top_scores(pairs, k, score, id_type, query_type).withColumnRenamed("item", item)
-    return top_k(best, ["query_id"], [F.col("score").desc(), F.col(item)], k)
+                    yield pd.DataFrame({"x": [int(cell)], "ids": [part["query_id"].to_numpy()], "n": [len(part)],
+                                        "data": [_stack(part["vector"]).tobytes()], "exclude": [[[] for _ in range(len(part))]]})
+
+    right = probes.mapInPandas(pack_probes, f"x int, ids array<{query_type}>, n int, data binary, exclude array<array<{id_type}>>")
+    small = tiles.tile_bytes(right) <= tiles.BROADCAST_BYTES  # then the codes stay spread over their ranges
+    asked = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    pairs = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).join(F.broadcast(asked) if small else asked, F.col("l_x") == F.col("r_x"))
+    return _best(tiles.top_scores(pairs, k, score, id_type, query_type), k, item)
 
 
 def ivf_pq_search(queries: DataFrame, vectors: DataFrame, m: int, nlist: int | None = None, nprobe: int = 10, bits: int = 8,

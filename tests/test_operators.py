@@ -591,3 +591,31 @@ def test_sets_travel_as_texts_and_grams_without_their_owner(spark):
     assert "Generate" not in plan and "Window" not in plan
     tile = cut.first()
     assert sorted(tile["ids"]) == [1, 2] and len(tile["grams"]) == 16 and np.frombuffer(tile["totals"], np.int64).tolist() == [2, 2]
+
+
+@pytest.mark.parametrize("nprobe", [4, 30])
+def test_cells_come_together_before_they_are_searched(spark, nprobe):
+    """Tiles of a cell do not multiply with the partitions of the vectors, in a crowded cell neither."""
+    from evalspark.operators import quantize, tiles
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 8))
+    x[:1500] = x[0] + rng.standard_normal((1500, 8)) * 1e-3  # one crowded cell
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>").repartition(16)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[::100])], "query_id long, vector array<double>").coalesce(1)
+    index = quantize.cell_index(vectors, 4, nlist=30, bits=4)
+    found = quantize.search_cells(index, queries, nprobe, 5).select("query_id", "rank", "vec_id", "score").collect()
+    packed = quantize.cell_tiles(index.coded, index.quantizer, "vec_id").select("x", "n").collect()
+    assert len(packed) <= len(index.centers) + 8 + 3000 // tiles.ROWS and sum(r["n"] for r in packed) == 3000
+    q = index.quantizer
+    stored = {r["vec_id"]: (r["cell"], np.array(r["vector"])) for r in index.coded.collect()}
+    ids = np.array(sorted(stored))
+    cell, codes = np.array([stored[i][0] for i in ids]), q.encode(np.stack([stored[i][1] for i in ids]))
+    expect = []
+    for i in range(30):
+        v = x[100 * i : 100 * i + 1]
+        probed = np.argsort(-(v @ index.centers.T)[0], kind="stable")[:nprobe]
+        scores = np.round(q.score(v, codes)[0] + index.centers[cell] @ v[0], 9)
+        at = [j for j in np.lexsort((ids, -scores)) if cell[j] in probed][:5]
+        expect += [(i, rank + 1, int(ids[j])) for rank, j in enumerate(at)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == expect
