@@ -619,3 +619,20 @@ def test_cells_come_together_before_they_are_searched(spark, nprobe):
         at = [j for j in np.lexsort((ids, -scores)) if cell[j] in probed][:5]
         expect += [(i, rank + 1, int(ids[j])) for rank, j in enumerate(at)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == expect
+
+
+def test_harvest_lists_many_folders_in_few_tasks(spark, tmp_path):
+    """A hundred folders were a hundred tasks."""
+    from evalspark.sources import readers
+
+    for i in range(100):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.txt").write_text("x" * (150 + i))
+    before = spark.conf.get(readers.LISTING_TASKS)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = readers.harvest_files(spark, str(tmp_path), suffixes=("txt",), skip=("d99",))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 32 and spark.conf.get(readers.LISTING_TASKS) == before
+    assert sorted(r["length"] for r in found.collect()) == list(range(200, 249))
