@@ -10,6 +10,10 @@ by accelerated projected gradient in the metric of the token counts: a step chan
 domains' misses. The misses of all steps so far therefore fix every rate, and a step is one Spark job that sums
 ``domains`` numbers over a narrow stored table. Nothing per document leaves the tasks.
 
+Such steps settle slowly where domains are hard to tell apart and where rates met a bound on the way. At the optimum a rate
+is w_i = 1 - p_i . pull within its bounds, with one pull a domain that is its miss / mu. Newton steps in the pulls, from
+those nearest to the settled rates, go on until this holds: the cost is then within a proven bound of the least one.
+
 The rates are expected copies. ``copies`` rounds them by a hash of the row, so a rerun gives the same.
 
 Edge cases. Null and empty texts have no tokens, the prior as posteriors and no influence on the totals. Domains
@@ -130,19 +134,17 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
 @dataclass
 class Solution:
-    steps: list[np.ndarray]  # misses of the domains at each step, as shares of all tokens
-    momentum: list[float]
-    rate_of_step: float
-    natural: np.ndarray
-    mu: float
+    pulls: np.ndarray  # of the domains on the rates
     max_rate: float
     targets: np.ndarray
     misses: np.ndarray
     converged: bool
+    steps: int = 0  # gradient steps
+    finishing: int = 0  # Newton steps
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Rates of documents with posteriors p after all steps."""
-        return replay(p, self.steps, self.momentum, self.rate_of_step, self.natural, self.mu, self.max_rate)[0]
+        """Rates of documents with posteriors p."""
+        return np.clip(1.0 - p @ self.pulls, 0.0, self.max_rate)
 
 
 def replay(p: np.ndarray, steps, momentum, scale: float, natural: np.ndarray, mu: float, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +167,9 @@ def solve(
 ) -> Solution:
     """Fit the rates to target weights (shares of the domains, in the classifier's order). ``members`` should be stored.
 
-    Stops when the total of each domain changes by less than ``tolerance`` of all tokens, and by less than a hundredth of
-    a small target, in two steps running; ``converged`` says so.
+    Gradient steps end when the total of each domain changes by less than ``tolerance`` of all tokens, and by less than a
+    hundredth of a small target, in two steps running, or after ``max_steps``. What they leave is done by ``_finish``, without a
+    bound on its steps; ``converged`` says that the result is the optimum.
     """
     d = len(weights)
     share = np.array(weights, float) / sum(weights)
@@ -179,7 +182,7 @@ def solve(
     own = _sums(members, expected, d)
     tokens = own.sum()
     if not tokens:
-        return Solution([], [], 0.0, share * 0, mu, max_rate, share * 0, share * 0, True)
+        return Solution(share * 0, max_rate, share * 0, share * 0, True)
     natural = own / tokens
     targets = share
 
@@ -194,9 +197,9 @@ def solve(
     size = 1.0 / (float(np.linalg.eigvalsh(curvature)[-1]) + 1.0)
     steps: list[np.ndarray] = []
     momentum: list[float] = []
-    t, last, still, converged = 1.0, None, 0, False
-    misses = natural - targets
-    for _ in range(max_steps):
+    t, last, still = 1.0, None, 0
+    near = tolerance * np.minimum(1.0, 100 * np.maximum(targets, 1e-6))
+    while len(steps) < max_steps:
 
         def totals(batches):
             out = np.zeros(2 * d)
@@ -208,12 +211,10 @@ def solve(
             yield pa.RecordBatch.from_arrays([pa.array(range(2 * d), pa.int64()), pa.array(out)], names=["k", "s"])
 
         both = _sums(members, totals, 2 * d) / tokens
-        reached, misses = both[d:], both[d:] - targets
+        reached = both[d:]
         moved = reached * 0 if last is None else reached - last
-        near = tolerance * np.minimum(1.0, 100 * np.maximum(targets, 1e-6))
         still = still + 1 if last is not None and (np.abs(moved) < near).all() else 0
         if still == 2:
-            converged = True
             break
         if float((both[:d] - targets) @ moved) > 0:  # momentum starts anew when it carries the totals past their targets
             t = 1.0
@@ -221,7 +222,69 @@ def solve(
         steps.append(both[:d] - targets)
         momentum.append((t - 1) / following)
         t, last = following, reached
-    return Solution(steps, momentum, size, natural, mu, max_rate, targets, misses, converged)
+
+    def fitting(batches):  # least squares of the settled rates, without those at a bound
+        out = np.zeros(d + d * d)
+        for batch in batches:
+            n, p = _arrays(batch, d)
+            w = replay(p, steps, momentum, size, natural, mu, max_rate)[0]
+            free = n * ((w > 0) & (w < max_rate))
+            out[:d] += (free * (1.0 - w)) @ p
+            out[d:] += ((p * free[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["k", "s"])
+
+    fit = _sums(members, fitting, d + d * d) / tokens
+    pulls = np.linalg.solve(fit[d:].reshape(d, d) + mu * np.eye(d), fit[:d])
+    pulls, misses, converged, finishing = _finish(members, pulls, targets, tokens, mu, max_rate, near, tolerance)
+    return Solution(pulls, max_rate, targets, misses, converged, len(steps), finishing)
+
+
+def _finish(members: DataFrame, pulls: np.ndarray, targets: np.ndarray, tokens: float, mu: float, max_rate: float, near: np.ndarray, tolerance: float):
+    """(pulls, misses, whether they are the optimum, steps) by Newton steps on the dual cost, a smooth concave function.
+
+    Its slope is misses - mu * pulls; half its square bounds how far the cost is from the least one, and with it how far the
+    totals are from the best ones. The steps end when the slope is below ``near`` and another step would change the rates
+    by less than a thousandth of ``tolerance``, as a root mean square by tokens. A step is halved until the function gains by it.
+    """
+    d = len(pulls)
+
+    def measured(at: np.ndarray, origin: np.ndarray):
+        """Gain of the dual cost over ``origin``, slope and curvature at some pulls, misses."""
+
+        def part(batches):
+            out = np.zeros(1 + d + d * d)
+            for batch in batches:
+                n, p = _arrays(batch, d)
+                before, after = (1.0 - p @ x for x in (origin, at))
+                w0, w = np.clip(before, 0.0, max_rate), np.clip(after, 0.0, max_rate)
+                out[0] += n @ ((1.0 - after) * w - (1.0 - before) * w0 + 0.5 * ((w - 1.0) ** 2 - (w0 - 1.0) ** 2))
+                out[1 : 1 + d] += (n * w) @ p
+                free = n * ((after > 0.0) & (after < max_rate))
+                out[1 + d :] += ((p * free[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["k", "s"])
+
+        sums = _sums(members, part, 1 + d + d * d) / tokens
+        misses = sums[1 : 1 + d] - targets
+        gain = sums[0] - (at - origin) @ targets - 0.5 * mu * (at - origin) @ (at + origin)
+        return gain, misses - mu * at, sums[1 + d :].reshape(d, d) + mu * np.eye(d), misses
+
+    steps = 0
+    _, slope, curvature, misses = measured(pulls, pulls)
+    while True:
+        move = np.linalg.solve(curvature, slope)
+        promise = float(slope @ move)
+        if (np.abs(slope) < near).all() and promise <= (tolerance / 1000) ** 2:
+            return pulls, misses, True, steps
+        length = 1.0
+        while True:
+            gain, *there = measured(pulls + length * move, pulls)
+            steps += 1
+            if gain >= 1e-4 * length * promise:
+                break
+            length /= 2
+            if length < 1e-12:  # rounding hides the gain
+                return pulls, misses, False, steps
+        pulls, (slope, curvature, misses) = pulls + length * move, there
 
 
 def _arrays(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +357,7 @@ def mix_to_targets(
         weights = [x**smoothing if x > 0 else 0.0 for x in tokens] if any(tokens) else [1.0] * len(domains)
     found = solve(members, weights, max_rate=max_rate)
     if not found.converged:
-        log.warning("the rates still moved after %d steps", len(found.steps))
+        log.warning("the rates still moved after %d and %d steps", found.steps, found.finishing)
     for d, target, miss in zip(domains, found.targets, found.misses):
         if abs(miss) >= 0.01 or abs(miss) > 0.1 * target:
             log.warning("domain %s has %.5f of all tokens for a target of %.5f", d, target + miss, target)

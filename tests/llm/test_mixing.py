@@ -81,3 +81,21 @@ def test_rare_domains_reach_their_targets(spark, natural):
     found = mixing.solve(members, [0.5, 0.3, 0.2])
     assert found.converged and np.abs(found.misses).max() < 0.005
     assert abs((n * found.rates(p)) @ p[:, 2] / n.sum() - 0.2) < 0.005
+
+
+@pytest.mark.parametrize("max_rate", [float("inf"), 1.0])
+def test_rates_are_the_optimum(spark, max_rate):
+    """Domains that are hard to tell apart, and rates that meet a bound: the fit ends at the least cost, not where steps get small."""
+    rng = np.random.default_rng(7)
+    p = np.column_stack([0.45 + 0.01 * rng.standard_normal(4000), np.full(4000, 0.1)])
+    p = np.column_stack([p, 1 - p.sum(1)])
+    n = rng.integers(50, 150, 4000)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>").repartition(4)
+    found = mixing.solve(members, [0.48, 0.1, 0.42], max_rate=max_rate)
+    w, share, mu = found.rates(p), n / n.sum(), mixing.MU
+    misses = (share * w) @ p - found.targets
+    cost = 0.5 * misses @ misses + 0.5 * mu * share @ (w - 1) ** 2
+    slope = p @ misses + mu * (w - 1)
+    slope[((w == 0) & (slope > 0)) | ((w == max_rate) & (slope < 0))] = 0
+    assert found.converged and np.abs(misses - found.misses).max() < 1e-9
+    assert share @ slope**2 / (2 * mu) < 0.01 * cost  # the cost is strongly convex: it is at most this far from the least
