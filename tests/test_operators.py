@@ -636,3 +636,33 @@ def test_harvest_lists_many_folders_in_few_tasks(spark, tmp_path):
     tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert tasks and max(tasks) <= 32 and spark.conf.get(readers.LISTING_TASKS) == before
     assert sorted(r["length"] for r in found.collect()) == list(range(200, 249))
+
+
+def test_gram_hashes_follow_the_words():
+    """Hashed n-grams are as many, and as equal, as the n-grams of the words; texts of a batch stay apart."""
+    import pyarrow as pa
+
+    from evalspark.functions import grams
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "it's", "é", "x1", "--", "ab"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "a b c", "naïve café 1 2", "\n".join("abcd"), "q" * 200_000 + " r s t", "q" * 200_001 + " r s t", "ab ba ab ba", "ba ab ba ab"]
+    words = [re.findall("[a-z0-9']+", t or "") for t in texts]
+    want = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in words]
+    got = list(grams.gram_sets(pa.array(texts, pa.string()), 4))
+    assert [len(g) for g in got] == [len(w) for w in want] and all((np.diff(g.astype(object)) > 0).all() for g in got)
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i, j in pairs[::7] + [(len(texts) - 2, len(texts) - 1)])
+
+
+def test_grams_of_the_same_sets_are_one(spark):
+    """A line that three texts share is one gram with its number, and pairs still count each of its grams."""
+    from evalspark.operators import textstats
+
+    line = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(i, f"x{i} {line} y{i}") for i in range(3)] + [(9, "w0 w1 w2 w3"), (10, None)], "id long, text string")
+    tile = textstats.gram_tiles(textstats.gram_sets(df, "id", "text")).first()
+    held = dict(zip(tile["ids"], np.frombuffer(tile["sizes"], np.int64)))
+    assert held == {0: 2, 1: 2, 2: 2, 9: 1} and sorted(np.frombuffer(tile["times"], np.int32)) == [1, 1, 1, 1, 16, 16, 16]
+    got = {(r["a"], r["b"]): (r["shared"], r["union_size"]) for r in textstats.shared_ngram_pairs(df, "id", "text").collect()}
+    assert got == {(0, 1): (17, 21), (0, 2): (17, 21), (1, 2): (17, 21), (0, 9): (1, 19), (1, 9): (1, 19), (2, 9): (1, 19)}
