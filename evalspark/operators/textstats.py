@@ -8,11 +8,12 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 from hashlib import blake2b
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -312,82 +313,136 @@ def self_bleu(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
     return total.select(F.round(F.coalesce(F.col("_s") / F.nullif(pairs, F.lit(0.0)), F.lit(0.0)), 6).alias("self_bleu"))
 
 
-RADIX_BITS = (20, 22, 22)
+MMD_ROWS, MMD_BLOCK = 2048, 64  # vectors of a tile, and of those met at once
+CELLS = 1 << 16  # of a histogram of distances
+LISTED = 1 << 18  # distances around the median that are listed by value
+NARROW = 1e-5
 
 
-def _squared(row) -> np.ndarray:
+def _distances(row, room: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Squared distances of the pairs of two tiles, a block of rows at a time; within a tile each pair once. Rounding may leave
+    those of equal vectors below 0. They are written to ``room`` if given, since fresh memory takes longer than the product."""
     x, y = tiles.matrix(row.l_data, row.l_n), tiles.matrix(row.r_data, row.r_n)
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-    return np.maximum(d, 0.0)
+    ones = lambda v: np.ones((len(v), 1))
+    squares = lambda v: (v * v).sum(1, keepdims=True)
+    left, right = np.hstack([-2.0 * x, squares(x), ones(x)]), np.hstack([y, ones(y), squares(y)]).T
+    for start in range(0, len(x), MMD_BLOCK):
+        part = left[start : start + MMD_BLOCK]
+        d = np.matmul(part, right, out=None if room is None else room[: len(part) * len(y)].reshape(len(part), len(y)))
+        yield d[np.arange(len(y)) > np.arange(start, start + len(d))[:, None]] if row.l_tile == row.r_tile else d.ravel()
+
+
+def _bits(value: float) -> int:
+    """Bit pattern of a float that is not negative; both have the same order."""
+    return int(np.float64(value).view(np.int64))
+
+
+def _value(bits: int) -> float:
+    return float(np.int64(bits).view(np.float64))
 
 
 def mmd2(x: DataFrame, y: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Unbiased MMD^2 with an RBF kernel and the exact median of all off-diagonal squared distances.
 
-    Distances never leave their task: both middle ranks are found by one radix selection over histograms of the float bit
-    pattern, a pass for each part of RADIX_BITS, then one more pass sums the kernels per tile pair.
+    Distances never leave their task. Passes over all pairs count those below and inside a bracket of bit patterns for each
+    middle rank; a histogram narrows a bracket until at most LISTED distances lie in it, which are counted by value. Once
+    brackets are that narrow, the pass also sums the kernels and their derivatives by the bandwidth, which carry the sums to
+    the exact median: the error of a kernel is below NARROW squared. The first bracket comes from a few vectors. It decides only how
+    many passes there are: ranks outside of it are found in a wider one.
     """
-    spark = x.sparkSession
     sides = x.select(id_col, vec_col, F.lit(0).alias("_s")).unionByName(y.select(id_col, vec_col, F.lit(1).alias("_s")))
-    packed = tiles.pack_vectors(sides.filter("_s = 0"), id_col, vec_col).withColumn("side", F.lit(0)).unionByName(
-        tiles.pack_vectors(sides.filter("_s = 1"), id_col, vec_col).withColumn("side", F.lit(1)))
+    packed = tiles.pack_vectors(sides.filter("_s = 0"), id_col, vec_col, MMD_ROWS).withColumn("side", F.lit(0)).unionByName(
+        tiles.pack_vectors(sides.filter("_s = 1"), id_col, vec_col, MMD_ROWS).withColumn("side", F.lit(1)))
     packed = packed.withColumn("tile", F.col("tile") * 2 + F.col("side"))
-    pairs = tiles.self_pairs(packed)
+    pairs = tiles.self_pairs(packed.select("tile", "side", "n", "data"))
     sizes = {r["_s"]: r["n"] for r in sides.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     m, n = sizes.get(0, 0), sizes.get(1, 0)
     if m < 2 or n < 2:
         raise ValueError("mmd2 needs at least two vectors on each side")
     total = (m + n) * (m + n - 1) // 2
-
-    def distances(row):
-        d = _squared(row)
-        return d[np.triu_indices(len(d), 1)] if row.l_tile == row.r_tile else d.ravel()
-
-    def at_ranks(ranks: list[int]) -> list[float]:
-        """The distances at some zero-based ranks: a histogram of the leading bits for all of them in one pass, then
-        histograms of the bits that follow, inside the cells that hold the ranks."""
-        prefixes = [0] * len(ranks)
-        done = 0
-        for width in RADIX_BITS:
-            shift = np.uint64(64 - done - width)
-            open_cells = sorted(set(prefixes))
-
-            def run(batches, shift=shift, open_cells=open_cells, width=width, done=done):
-                for pdf in batches:
-                    counts = np.zeros((len(open_cells), 1 << width), dtype=np.int64)
-                    for row in pdf.itertuples(index=False):
-                        bits = distances(row).view(np.uint64)
-                        for i, prefix in enumerate(open_cells):
-                            inside = bits[(bits >> np.uint64(64 - done)) == np.uint64(prefix)] if done else bits
-                            np.add.at(counts[i], ((inside >> shift) & np.uint64((1 << width) - 1)).astype(np.int64), 1)
-                    which, cell = np.nonzero(counts)
-                    yield pd.DataFrame({"prefix": np.array(open_cells, dtype=np.int64)[which], "cell": cell, "c": counts[which, cell]})
-
-            cells = pairs.mapInPandas(run, "prefix long, cell long, c long").groupBy("prefix", "cell").agg(F.sum("c").alias("c"))
-            running = F.sum("c").over(Window.partitionBy("prefix").orderBy("cell"))  # at most 2^width rows a prefix
-            table = cells.withColumn("cum", running)
-            wanted = [(F.col("prefix") == p) & (F.col("cum") > r) & (F.col("cum") - F.col("c") <= r) for p, r in zip(prefixes, ranks)]
-            hits = table.filter(reduce(lambda a, b: a | b, wanted)).collect()  # one row a rank
-            for i, (p, r) in enumerate(zip(prefixes, ranks)):
-                hit = next(h for h in hits if h["prefix"] == p and h["cum"] > r >= h["cum"] - h["c"])
-                ranks[i], prefixes[i] = r - (hit["cum"] - hit["c"]), (p << width) | hit["cell"]
-            done += width
-        return [float(v) for v in np.array(prefixes, dtype=np.uint64).view(np.float64)]
-
-    lower, upper = at_ranks([(total - 1) // 2, total // 2])
-    gamma = 1.0 / ((lower + upper) / 2.0 + 1e-12)
-
-    def kernels(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                k = np.exp(-gamma * _squared(row))
-                if row.l_tile == row.r_tile:
-                    k = np.triu(k, 1)
-                out.append((int(row.l_side) + int(row.r_side), float(k.sum())))
-            yield pd.DataFrame(out, columns=["kind", "s"])
-
-    sums = pairs.mapInPandas(kernels, "kind int, s double").agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("s"))), F.lit(0.0)).alias(name) for i, name in enumerate(("xx", "xy", "yy"))])
-    value = 2.0 * F.col("xx") / (m * (m - 1)) + 2.0 * F.col("yy") / (n * (n - 1)) - 2.0 * F.col("xy") / (m * n)
-    return sums.select(F.round(F.greatest(value, F.lit(0.0)), 6).alias("mmd2"), F.round(F.lit(1.0 / gamma), 6).alias("bandwidth"))
+    ranks = [(total - 1) // 2, total // 2]
+
+    def measured(brackets: list[tuple[int, int]], shift: int | None, gamma: float | None) -> pd.DataFrame:
+        """Counts (kind, bracket, key, c): distances below each bracket, and inside by cell, or by value without ``shift``;
+        with ``gamma`` the sums s of the kernels by kind of pair and derivative."""
+
+        def run(batches):
+            below, inside, sums = np.zeros(len(brackets), np.int64), [{} for _ in brackets], np.zeros((3, 2))
+            cells = np.zeros((len(brackets), CELLS), np.int64) if shift is not None else None
+            ends = [(_value(lo) if lo else -math.inf, _value(hi)) for lo, hi in brackets]
+            room, scaled, kernel = (np.empty(MMD_BLOCK * MMD_ROWS) for _ in range(3))
+            low, within = (np.empty(MMD_BLOCK * MMD_ROWS, bool) for _ in range(2))
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    for d in _distances(row, room):
+                        for i, (lo, hi) in enumerate(ends):
+                            under, found = np.less(d, lo, out=low[: len(d)]), np.less(d, hi, out=within[: len(d)])
+                            below[i] += np.count_nonzero(under)
+                            if not np.not_equal(under, found, out=found).any():
+                                continue
+                            values = (np.maximum(d[found], 0.0) + 0.0).view(np.int64)  # no negative zero
+                            if cells is not None:
+                                cells[i] += np.bincount((values - brackets[i][0]) >> shift, minlength=CELLS)
+                            else:
+                                for v, c in zip(*map(np.ndarray.tolist, np.unique(values, return_counts=True))):
+                                    inside[i][v] = inside[i].get(v, 0) + c
+                        if gamma is not None:
+                            t = np.multiply(d, -gamma, out=scaled[: len(d)])
+                            k = np.exp(t, out=kernel[: len(d)])
+                            sums[row.l_side + row.r_side] += k.sum(), np.dot(t, k) / gamma
+            rows = [("below", i, 0, int(c), 0.0) for i, c in enumerate(below)]
+            rows += [("sum", kind, order, 0, float(v)) for (kind, order), v in np.ndenumerate(sums)]
+            if cells is not None:
+                rows += [("in", int(i), int(at), int(cells[i, at]), 0.0) for i, at in zip(*np.nonzero(cells))]
+            else:
+                rows += [("in", i, v, c, 0.0) for i, held in enumerate(inside) for v, c in held.items()]
+            yield pd.DataFrame(rows, columns=["kind", "i", "key", "c", "s"])
+
+        out = pairs.mapInPandas(run, "kind string, i int, key long, c long, s double")
+        return out.groupBy("kind", "i", "key").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).toArrow().to_pandas()  # CELLS or LISTED rows a bracket
+
+    few = np.array([r[0] for r in sides.orderBy(F.xxhash64(F.col(id_col).cast("string"), "_s")).limit(1024).select(vec_col).collect()], float)
+    near = np.concatenate([np.maximum(d, 0.0) for d in _distances(SimpleNamespace(l_data=few.tobytes(), r_data=few.tobytes(), l_n=len(few), r_n=len(few), l_tile=0, r_tile=0))])
+    near, share = near[np.isfinite(near)], 0.5 / math.sqrt(len(few))
+    everything = (0, _bits(math.inf))
+    held = [everything] * 2
+    if len(near):
+        lower, upper = np.quantile(near, [0.5 - share, 0.5 + share])
+        held = [(_bits(lower), _bits(upper) + 1)] * 2
+    listed, middles = total <= LISTED, []
+    while len(middles) < 2:
+        brackets = sorted(set(held))
+        shift = None if listed else max(0, max(hi - lo - 1 for lo, hi in brackets).bit_length() - CELLS.bit_length() + 1)
+        middle = sum((_value(lo) + _value(hi - 1)) / 2 for lo, hi in held) / 2 + 1e-12
+        narrow = listed and all(_value(hi - 1) - _value(lo) <= NARROW * middle for lo, hi in brackets)
+        found = measured(brackets, shift, 1.0 / middle if narrow else None)
+        below = dict(zip(found.i[found.kind == "below"], found.c[found.kind == "below"]))
+        inside = found[found.kind == "in"].sort_values(["i", "key"])
+        middles, crowd = [], 0
+        for k, rank in enumerate(ranks):
+            lo, hi = held[k]
+            i = brackets.index(held[k])
+            mine = inside[inside.i == i]
+            upto = below[i] + mine.c.cumsum().to_numpy()
+            at = int(np.searchsorted(upto, rank, "right"))
+            if below[i] <= rank and at < len(upto):
+                lo = int(mine.key.iloc[at]) if shift is None else lo + (int(mine.key.iloc[at]) << shift)
+                held[k] = lo, min(lo + (1 << (shift or 0)), hi)
+                crowd += int(mine.c.iloc[at])
+            elif held[k] != everything:  # the rank is outside of the bracket
+                held[k], crowd = everything, total
+            else:  # not even there: the middle distance is no number
+                middles.append(math.nan)
+            if held[k][1] - held[k][0] == 1:
+                middles.append(_value(held[k][0]))
+        listed = crowd <= 2 * LISTED
+    median = sum(middles) / 2
+    gamma = 1.0 / (median + 1e-12)
+    if not narrow:
+        middle, found = median + 1e-12, measured([], None, gamma)
+    sums = found[found.kind == "sum"].pivot(index="i", columns="key", values="s").to_numpy()
+    step = gamma - 1.0 / middle
+    xx, xy, yy = sums @ [1.0, step]
+    value = 2.0 * xx / (m * (m - 1)) + 2.0 * yy / (n * (n - 1)) - 2.0 * xy / (m * n)
+    return x.sparkSession.range(1, numPartitions=1).select(
+        F.round(F.lit(float(max(value, 0.0))), 6).alias("mmd2"), F.round(F.lit(1.0 / gamma), 6).alias("bandwidth"))

@@ -666,3 +666,38 @@ def test_grams_of_the_same_sets_are_one(spark):
     assert held == {0: 2, 1: 2, 2: 2, 9: 1} and sorted(np.frombuffer(tile["times"], np.int32)) == [1, 1, 1, 1, 16, 16, 16]
     got = {(r["a"], r["b"]): (r["shared"], r["union_size"]) for r in textstats.shared_ngram_pairs(df, "id", "text").collect()}
     assert got == {(0, 1): (17, 21), (0, 2): (17, 21), (1, 2): (17, 21), (0, 9): (1, 19), (1, 9): (1, 19), (2, 9): (1, 19)}
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "two clusters"])
+def test_mmd_in_two_passes(spark, monkeypatch, kind):
+    """Beyond what is listed by value: the exact median and the kernel sums take two passes over all pairs, four before; ties and
+    a gap at the median change nothing."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(70, 6)), rng.normal(0.4, 1, size=(50, 6))
+    if kind == "ties":
+        x, y = np.round(x * 0.4), np.round(y * 0.4)
+    if kind == "two clusters":
+        x, y = np.vstack([x[:35], x[35:] + 50]), np.vstack([y[:25] + 50, y[25:]])
+    passes = []
+    frames = type(spark.range(1))
+    plain = frames.mapInPandas
+    monkeypatch.setattr(frames, "mapInPandas", lambda self, run, schema, *rest: passes.append("kind" in schema) or plain(self, run, schema, *rest))
+    monkeypatch.setattr(textstats, "LISTED", 40)
+    monkeypatch.setattr(textstats, "MMD_ROWS", 32)
+    monkeypatch.setattr(textstats, "MMD_BLOCK", 8)
+    frame = lambda m, o: spark.createDataFrame([(o + i, [float(v) for v in r]) for i, r in enumerate(m)], "id long, vec array<double>").repartition(3)
+    got = textstats.mmd2(frame(x, 0), frame(y, 1000), "id", "vec").first()
+    both = np.vstack([x, y])
+    d = ((both[:, None] - both[None]) ** 2).sum(2)
+    median = np.median(d[np.triu_indices(len(both), 1)])
+    k = np.exp(-d / (median + 1e-12))
+    np.fill_diagonal(k, 0)
+    m, n = len(x), len(y)
+    expect = k[:m, :m].sum() / (m * (m - 1)) + k[m:, m:].sum() / (n * (n - 1)) - 2 * k[:m, m:].mean()
+    assert got["bandwidth"] == pytest.approx(median, abs=2e-6) and got["mmd2"] == pytest.approx(max(expect, 0), abs=2e-6)
+    assert sum(passes) == 2 if kind == "spread" else sum(passes) <= 8
+
+
+def test_mmd_without_numbers(spark):
+    frame = lambda o, bad: spark.createDataFrame([(o + i, [float(i), bad if i > 1 else 1.0]) for i in range(9)], "id long, vec array<double>")
+    assert np.isnan(textstats.mmd2(frame(0, float("nan")), frame(100, 2.0), "id", "vec").first()["mmd2"])
